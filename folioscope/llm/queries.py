@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import lookalikes
+from . import lookalikes, scanned
+
+
+def _scans(spark: SparkSession, sf_dir: str) -> scanned.Scans:
+    return scanned.Scans(table(spark, sf_dir, "alto_string"), table(spark, sf_dir, "page_line"), table(spark, sf_dir, "lexicon"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of page furniture, rows whose last word goes on in the next line, rows with a misread word."""
+    return _scans(spark, sf_dir).found()
+
+
+def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' running text in paragraphs."""
+    return _scans(spark, sf_dir).paragraphs()
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +34,6 @@ def p4_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.normalised_rows(rows, table(spark, sf_dir, "lexicon"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_normalised)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_paragraphs, p4_found, p4_normalised)}
 
 ORACLES: dict[str, str] = {}
