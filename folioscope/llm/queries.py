@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import lookalikes, scanned
+from . import lookalikes, mixing, packing, quality, scanned
 
 
 def _scans(spark: SparkSession, sf_dir: str) -> scanned.Scans:
@@ -34,6 +34,36 @@ def p4_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.normalised_rows(rows, table(spark, sf_dir, "lexicon"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_paragraphs, p4_found, p4_normalised)}
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in containers of each kind."""
+    return packing.pack(packing.sized_texts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "container_kind"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill_report(p6_containers(spark, sf_dir), table(spark, sf_dir, "container_kind"))
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of sources in its order."""
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target")).rows()
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of the mixture."""
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target")).shares()
+
+
+def p8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, probability of prose and verdict of every document."""
+    return quality.document_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_label"), table(spark, sf_dir, "lexicon"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are not prose."""
+    return p8_quality(spark, sf_dir).filter("verdict <> 'prose'").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_paragraphs, p4_found, p4_normalised, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_quality)}
 
 ORACLES: dict[str, str] = {}

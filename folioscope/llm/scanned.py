@@ -229,7 +229,7 @@ def misreadings(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
     ``counts`` has (core, n), a word's comparison form and its count over the whole corpus. Numbers
     are right; digits or signs among letters make a misreading even without a better word.
     """
-    known = _known(lexicon)
+    known = _known(lexicon).filter("word_in <> ''")
     flagged = cut(_flag(counts, F.col("core"), _small(known), "in_lexicon"))
     number = F.col("core").rlike(r"\A[\p{N}]+(?:[.,:/\-–][\p{N}]+)*(?:st|nd|rd|th|er|e|te|ten|n)?\z") | F.col("core").rlike(r"\A\p{L}{0,2}[²³½¼¾]\z")
     unknown = flagged.filter(~F.col("in_lexicon") & ~number & (F.col("core") != ""))
@@ -277,7 +277,7 @@ class Scans:
         The second next is kept because the next may be a section heading met only once.
         """
         run = self.lines.filter(~F.col("is_furniture") & ~F.col("is_heading") & (F.size("words") > 0))
-        first = F.col("words")[0]["tok"]
+        first = F.get("words", F.lit(0))["tok"]
         short = (F.size("words") <= 4) & ~F.element_at("words", -1)["tok"].rlike(r"[.,;:!?،؟…]\z|[\p{L}][" + HYPHENS + r"]\z")
         head = F.struct(F.col("line_ord").alias("ord"), first.alias("tok"), short.alias("short"))
         by = W.partitionBy(*_PAGE).orderBy("line_ord")
@@ -368,7 +368,7 @@ class Scans:
         j = self.joins()
         gives = j.select("tbl", "mets_id", F.col("next_page").alias("page_no"), F.col("next_ord").alias("line_ord"), F.lit(True).alias("gives")).distinct()
         takes = j.select(*_PAGE, "line_ord", F.col("next_page"), F.col("next_ord"), "hyphen")
-        firsts = self.lines.select("tbl", "mets_id", F.col("page_no").alias("next_page"), F.col("line_ord").alias("next_ord"), F.col("words")[0]["tok"].alias("rest"))
+        firsts = self.lines.select("tbl", "mets_id", F.col("page_no").alias("next_page"), F.col("line_ord").alias("next_ord"), F.get("words", F.lit(0))["tok"].alias("rest"))
         takes = takes.join(firsts, ["tbl", "mets_id", "next_page", "next_ord"], "left").drop("next_page", "next_ord")
         run = self.lines.filter(~F.col("is_furniture") & (F.size("words") > 0))
         run = run.join(fixes, [*_PAGE, "line_ord"], "left").join(gives, [*_PAGE, "line_ord"], "left").join(takes, [*_PAGE, "line_ord"], "left")
