@@ -66,6 +66,9 @@ def folded(x: Column) -> Column:
 
 
 _FOLD = str.maketrans({**{c: None for c in ZERO_WIDTH}, **WIDE, **LOOKS_LATIN, "ک": "ك", "ſ": "s"})
+_CAPITALS = str.maketrans({k: v for k, v in LOOKS_CYRILLIC.items() if k.isupper()})
+#: A letter that no Latin one looks like, so that the word is a Cyrillic one.
+_CYRILLIC = re.compile("[" + "".join(c for c in map(chr, range(0x410, 0x450)) if c not in LOOKS_LATIN) + "]")
 _UNSEEN = re.compile(f"(?<![{JOINING}]){NON_JOINER}+|{NON_JOINER}+(?![\u0620-\u06ff])")
 _INNER_YEH = re.compile("[یى](?=[\u0620-\u065f\u066e-\u06d3])")
 _SMALL_E = re.compile("([aou])\u0364")
@@ -76,7 +79,10 @@ def word_form(word: str) -> str:
     above as umlaut. Both sides of a comparison must be brought to it."""
     if word.isascii():
         return word.lower()
-    w = unicodedata.normalize("NFC", word).translate(_FOLD)
+    w = unicodedata.normalize("NFC", word)
+    if _CYRILLIC.search(w):  # capitals and small letters of this script look alike in different ways
+        w = w.translate(_CAPITALS).lower()
+    w = w.translate(_FOLD)
     if NON_JOINER in w:
         w = _UNSEEN.sub("", w)
     w = _INNER_YEH.sub("ي", w).replace("ی", "ى").lower()

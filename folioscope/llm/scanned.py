@@ -41,11 +41,16 @@ BROADCAST_WORDS = 200_000
 HYPHENS = "-⸗=¬‐‑­"
 # Words before which a hyphen stands for the rest of a compound.
 CONJUNCTIONS = ("und", "oder", "bzw", "sowie", "and", "or", "et", "ou", "и", "или", "و", "أو", "یا")
-# What is read for what; both become the same in a word's skeleton.
-CONFUSIONS = (
-    ("rn", "m"), ("cl", "d"), ("li", "h"), ("vv", "w"), ("ii", "u"), ("ri", "n"), ("ss", "ff"), ("1", "l"), ("|", "l"), ("!", "l"), ("i", "l"),
-    (";", "l"), ("0", "o"), ("5", "s"), ("8", "b"), ("6", "b"), ("9", "g"), ("q", "g"), ("f", "s"), ("c", "e"), ("n", "u"), ("t", "r"),
+# What is read for what, in two orders, since some of them overlap ("nicli", "smd").
+# Both forms of a pair become the same in a word's skeleton.
+_SINGLE = (
+    ("1", "l"), ("|", "l"), ("!", "l"), ("i", "l"), (";", "l"), ("0", "o"), ("5", "s"), ("8", "b"), ("6", "b"), ("9", "g"), ("q", "g"),
+    ("f", "s"), ("c", "e"), ("n", "u"), ("t", "r"), ("ä", "a"), ("ö", "o"), ("ü", "u"),
 )
+CONFUSIONS = (
+    (("rn", "m"), ("cl", "d"), ("li", "h"), ("vv", "w"), ("ii", "u"), ("ri", "n"), ("ss", "ff"), *_SINGLE),
+    (("li", "h"), ("rn", "m"), ("in", "m"), ("ni", "m"), ("nn", "m"), ("vv", "w"), ("ſſ", "ff"), *_SINGLE),
+)
 #: Digits that letters are read for.
 _DIGITS = ("OoQDlI|iZzSsBbGgqT", "000011112255886997")
 
@@ -168,13 +173,13 @@ def page_furniture(lines: DataFrame) -> DataFrame:
     )
     again = F.coalesce(F.col("head_before") | F.col("head_after"), F.lit(False))
     opens = ~F.coalesce(F.col("head_before"), F.lit(False)) & ~F.col("top_no") & (F.col("top_usual") | (F.coalesce(F.col("head_earlier"), F.lit(0)) >= 2))
-    is_head = F.col("inline") | (again & ~opens)
+    is_head = F.col("inline") | (again & ~opens) | F.col("l2_whole_no")
     foot = F.coalesce(F.col("foot_before") | F.col("foot_after"), F.lit(False))
     places = F.array(
         F.when(F.col("l1_whole_no") | is_head, F.col("l1.line_ord")), F.when(F.col("l2_whole_no"), F.col("l2.line_ord")),
         F.when(F.col("lz_whole_no") | foot, F.col("lz.line_ord")),
     )
-    return pages.select(*_PAGE, F.array_compact(places).alias("furniture"), F.when(again & opens & ~F.col("inline"), F.col("l1.line_ord")).alias("heading"))
+    return pages.select(*_PAGE, F.array_compact(places).alias("furniture"), F.when(again & ~is_head, F.col("l1.line_ord")).alias("heading"))
 
 
 @F.pandas_udf(T.StringType())
@@ -208,12 +213,16 @@ def _flag(df: DataFrame, on: Column, words: DataFrame, flag: str) -> DataFrame:
     return df.join(w, on == F.col("_w"), "left").drop("_w").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def _skeleton(x: Column) -> Column:
-    for a, b in CONFUSIONS:
+def _skeleton(x: Column, order: int = 0) -> Column:
+    for a, b in CONFUSIONS[order]:
         x = F.replace(x, F.lit(a), F.lit(b))
     return x
 
 
+def _skeleton_distance(a: Column, b: Column) -> Column:
+    return F.least(*[F.levenshtein(_skeleton(a, k), _skeleton(b, k)) for k in range(len(CONFUSIONS))])
+
+
 def _deletions(x: Column) -> Column:
     """Hashes of a skeleton and of what one (from 8 letters on: up to two) deletions leave of it."""
     less = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
@@ -236,12 +245,15 @@ def misreadings(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
     goal = flagged.filter("in_lexicon").select("core", "n").unionByName(known.select(F.col("word_in").alias("core"), F.lit(0).cast("bigint").alias("n")))
     goal = goal.groupBy("core").agg(F.max("n").alias("n")).withColumn("lex", F.lit(True))
     goal = goal.unionByName(unknown.filter((F.col("n") >= NAME_COUNT) & F.col("core").rlike(r"\A[\p{L}\p{M}]+\z")).select("core", "n", F.lit(False).alias("lex")))
-    keys = lambda df, *c: df.select(*c, F.explode(_deletions(_skeleton(F.col("core")))).alias("key"))
+    keys = lambda df, *c: df.select(*c, F.explode(F.array_distinct(F.concat(*[_deletions(_skeleton(F.col("core"), k)) for k in range(len(CONFUSIONS))]))).alias("key"))
     pairs = keys(unknown, F.col("core").alias("bad"), F.col("n").alias("bad_n"), "core").drop("core").join(
-        keys(goal, "core", "n", "lex").select("key", F.col("core").alias("good"), F.col("n").alias("good_n"), "lex"), "key")
-    d = F.least(F.levenshtein("bad", "good"), F.levenshtein(_skeleton(F.col("bad")), _skeleton(F.col("good"))) + 1)
+        keys(goal, "core", "n", "lex").select("key", F.col("core").alias("good"), F.col("n").alias("good_n"), "lex"), "key").drop("key").distinct()
+    d = F.least(F.levenshtein("bad", "good"), _skeleton_distance(F.col("bad"), F.col("good")) + 1)
     room = F.when(F.length("bad") >= 8, 2).otherwise(1)
-    fits = (F.col("bad") != F.col("good")) & (F.col("lex") | (F.col("good_n") >= DOMINANCE * F.col("bad_n"))) & (F.levenshtein(_skeleton(F.col("bad")), _skeleton(F.col("good"))) <= room)
+    apart = _skeleton_distance(F.col("bad"), F.col("good"))
+    # A frequent word is a name, unless it is one slip away from a word of the lexicon or far rarer than its model.
+    clear = F.col("lex") & ((F.col("bad_n") < NAME_COUNT) | (apart == 0) | (F.levenshtein("bad", "good") <= 1))
+    fits = (F.col("bad") != F.col("good")) & (clear | (F.col("good_n") >= DOMINANCE * F.col("bad_n"))) & (apart <= room)
     # A short name must not be taken for a word it only shares some letters with.
     fits = fits & ((F.length("bad") >= 3) | (F.levenshtein("bad", "good") <= 1))
     best = pairs.filter(fits).groupBy("bad").agg(F.min(F.struct(d.alias("d"), (-F.col("good_n")).alias("n"), "good")).alias("best"))
