@@ -223,18 +223,26 @@ def calibration(margin: np.ndarray, y: np.ndarray, noise: float = 0.01, steps: i
     return (float(ab[0]), float(ab[1])) if ab[0] > 0 else (1.0, 0.0)
 
 
+def _sample(rows: DataFrame, key: str, bound: int, *more: str) -> np.ndarray:
+    """About ``bound`` rows at most, those with the least hash of their key; only they reach the driver."""
+    n = rows.count()
+    if n > bound:
+        rows = rows.filter(F.xxhash64(F.col(key)) < F.lit(int(-(2**63) + 2**64 * bound / n)))
+    return rows.select(*FEATURES, *more).toPandas().to_numpy(dtype=float)
+
+
 def train(stats: DataFrame, labels: DataFrame, key: str = "doc_id") -> Callable[[np.ndarray], np.ndarray]:
     """A function from statistics to the probability of prose.
 
     ``labels`` has (doc_id, doc_kind); a document labelled more than once counts with its majority,
     and not at all on a tie. Without usable labels the margins stay uncalibrated.
     """
-    sample = stats.orderBy(F.xxhash64(F.col(key)), key).limit(TRAIN_ROWS).select(*FEATURES).toPandas().to_numpy(dtype=float)
+    sample = _sample(stats, key, TRAIN_ROWS)
     weak = weak_labels(sample) if len(sample) else np.zeros(0)
     model = BoostedTrees().fit(sample[weak >= 0], weak[weak >= 0].astype(float))
     prose = F.avg((F.col("doc_kind") == "prose").cast("int"))
     majority = labels.filter("doc_kind IS NOT NULL").groupBy(key).agg(prose.alias("_prose")).filter("_prose <> 0.5")
-    checked = stats.join(majority, key).orderBy(F.xxhash64(F.col(key)), key).limit(CALIBRATION_ROWS).select(*FEATURES, "_prose").toPandas().to_numpy(dtype=float)
+    checked = _sample(stats.join(majority, key), key, CALIBRATION_ROWS, "_prose")
     a, b = calibration(model.margin(checked[:, :-1]), (checked[:, -1] > 0.5).astype(float)) if len(checked) else (1.0, 0.0)
     return lambda x: 1 / (1 + np.exp(-np.clip(a * model.margin(x) + b, -30, 30)))
 
