@@ -150,11 +150,19 @@ def flat_table(
     graph = schema_graph(struct, codes)
     fields = graph[want].fields if want in graph else {}
     records = df.select(key, column).distinct()
+    taken, named = {key.lower(), "parent_path", "path", "kind"}, {}
+    for name in fields:  # an element's field never hides a key
+        new = name
+        while new.lower() in taken:
+            new += "_"
+        taken.add(new.lower())
+        named[name] = new
     lists = _elements(F.col(column), struct, F.lit(root), F.lit(""), codes, want, fields, parts, where)
     if not lists:
         raise ValueError(f"no way leads to {want!r}")
     rows = F.concat(*lists) if len(lists) > 1 else lists[0]
-    return records.select(key, F.inline(rows))
+    out = records.select(F.col(key).alias("_0"), F.inline(rows))
+    return out.toDF(key, "parent_path", "path", "kind", *(named.values() if want != "*" and want in graph else out.columns[4:]))
 
 
 def inlined_root(df: DataFrame, key: str, column: str) -> DataFrame:
