@@ -21,7 +21,7 @@ TOKEN_BREAK = r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}
 #: Characters that a dictionary's words lack.
 NOT_IN_WORDS = "0123456789“„\"'?!*.;:-=[]()|"
 #: Hyphens at which a line goes on in the next one.
-WRAP_HYPHENS = "⸗-—"
+WRAP_HYPHENS = "⸗—-"
 #: Marks of direction and joining that training texts do without.
 DIRECTION_MARKS = "‏‎﻿‌‬"
 SMALL_E = "ͤ"

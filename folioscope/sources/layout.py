@@ -69,7 +69,10 @@ def _piece(**values) -> dict:
     return {c: None for c in _COLUMNS} | values
 
 
-def _corners(e: ET.Element) -> list[dict]:
+def _corners(e: ET.Element) -> list[dict] | None:
+    """The four corners of an element; null where it has no box."""
+    if any(e.get(a) is None for a in ("HPOS", "VPOS", "WIDTH", "HEIGHT")):
+        return None
     x, y, w, h = (int(float(e.get(a))) for a in ("HPOS", "VPOS", "WIDTH", "HEIGHT"))
     return [{"x": float(a), "y": float(b)} for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]
 
@@ -313,7 +316,7 @@ def _content_box(content: bytes) -> dict | None:
             pts = [tuple(map(float, p.split(","))) for p in (tag.get("VALUE") or tag.get("LABEL") or "").split()]
             if len(pts) >= 3:
                 return dict(zip(("minx", "miny", "maxx", "maxy"), (*pts[0], *pts[2]), strict=True))
-        pts = [c for s in _all(root, "String") if s.get("CONTENT") and not s.get("CONTENT")[0].isdigit() for c in _corners(s)]
+        pts = [c for s in _all(root, "String") if s.get("CONTENT") and not s.get("CONTENT")[0].isdigit() for c in _corners(s) or ()]
     else:
         lines = [c for t in _all(root, "TextLine") for c in _page_points(t)]
         border = [c for b in _all(root, "Border") for c in _page_points(b)]
