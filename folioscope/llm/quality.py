@@ -38,6 +38,8 @@ _BREAK = re.compile(r"[⸗=¬\-\xad]\n(?=[^\W\d_])")
 #: Marks that may end a line of running text, also behind closing quotation marks.
 _ENDS = frozenset(".!?؟;:,؛،…\"”“»«)]")
 _MIN_WORDS = 4
+#: Characters of a table's cell at most.
+CELL = 60
 
 
 def _plain(text: str) -> str:
@@ -51,8 +53,10 @@ def _plain(text: str) -> str:
 
 
 def _is_row(line: str) -> bool:
-    """A row of a table, an entry with leader dots: such a line is no part of a sentence."""
-    return "\t" in line or "   " in line.strip() or "...." in line or ". . . ." in line or line.count("|") > 1
+    """A row of a table, an entry with leader dots: such a line is no part of a sentence. A lone tab
+    or gap in a long line makes no row."""
+    gaps = line.count("\t") + line.strip().count("   ")
+    return gaps > 0 and len(line) < CELL * (gaps + 1) or "...." in line or ". . . ." in line or line.count("|") > 1
 
 
 def text_statistics(text: str | None, common: frozenset, known: frozenset) -> tuple[float, ...]:
