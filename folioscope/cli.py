@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .operators import geometry, reports, training_pairs
 from .operators.pairing import match_images
 from .plans.evaluation import Evaluation
+from .session import cut
 from .sources import layout, mets, writers
 
 
@@ -97,16 +98,16 @@ def run(argv: Sequence[str], spark: SparkSession) -> list[str]:
             lines += [r["line"] for r in reports.pair_lines(ev.scores()).orderBy("path_candidate").toLocalIterator()]
         return lines + [r["line"] for r in reports.summary_lines(ev.run()).orderBy("eval_key", "part").toLocalIterator()]
     if a.command == "frame":
-        pieces = layout.read_pieces(layout.files(spark, a.input)).cache()
-        cut = geometry.cut_to_frame(pieces.filter("error IS NULL"), _polygon(a.points))
-        writers.write_xml(writers.to_xml(cut), a.output)
-        log = geometry.change_log(pieces.filter("error IS NULL"), cut).orderBy("level", "change")
+        pieces = cut(layout.read_pieces(layout.files(spark, a.input)))
+        framed = geometry.cut_to_frame(pieces.filter("error IS NULL"), _polygon(a.points))
+        writers.write_xml(writers.to_xml(framed), a.output)
+        log = geometry.change_log(pieces.filter("error IS NULL"), framed).orderBy("level", "change")
         return [f"{r['level']} {r['change']}: {r['n']}" for r in log.toLocalIterator()]
     if a.command == "corpus":
         return [r["href"] for r in mets.select_hrefs(mets.read_mets(layout.files(spark, a.mets, "*", recursive=False)), a.filter_by).toLocalIterator()]
     pages = layout.files(spark, a.data, recursive=False)
-    pieces = layout.read_pieces(pages).filter("error IS NULL")
-    images = _images(spark, pages, a.images)
+    pieces = cut(layout.read_pieces(pages).filter("error IS NULL"))
+    images = cut(_images(spark, pages, a.images))
     if a.command == "show":
         return [f"{r['path']} {r['stage']}: {r['shapes']} -> {r['file']}" for r in training_pairs.show_pages(pieces, images, a.output).toLocalIterator()]
     lines = training_pairs.training_lines(pieces, a.minchars, a.reorder)

@@ -21,6 +21,7 @@ from ..operators.geometry import words_in_frame
 from ..operators.grouping import Grouping, explode_directories, explode_keys, with_entry_columns
 from ..operators.pairing import pair_by_prefix
 from ..operators.statistics import summarise_cleared
+from ..session import cut
 from ..sources import layout, mets
 
 #: Measures by short and long name, in the order of the reports.
@@ -135,12 +136,12 @@ class Evaluation:
 
     def _texts(self, folder: str, wanted: DataFrame, frame: Sequence[tuple[float, float]] | None) -> DataFrame:
         rows = layout.files(self.spark, folder, "*.{xml,txt}").join(wanted, "path", "left_semi")
-        pieces = layout.read_pieces(rows)
+        pieces = cut(layout.read_pieces(rows))  # several steps read them, each file is parsed once
         return layout.texts_of(rows, words_in_frame(pieces, frame) if frame else pieces)
 
     def scores(self) -> DataFrame:
         """One row per pair and measure."""
-        e = apply_filters(self.entries(), [f for _, f in self._filters])
+        e = cut(apply_filters(self.entries(), [f for _, f in self._filters]))
         stop = tx.default_stop_words(self.spark) if self._stop is None else self._stop
         c = self._texts(self._candidates, e.select(F.col("path_candidate").alias("path")), self._frame)
         r = self._texts(self._reference, e.select(F.col("path_groundtruth").alias("path")), None)
@@ -150,6 +151,6 @@ class Evaluation:
 
     def run(self) -> DataFrame:
         """Summary per key, sorted by key. Without a grouping the keys are directories and types."""
-        s = self.scores()
+        s = cut(self.scores())
         keyed = explode_keys(s, self._grouping[1]) if self._grouping else explode_directories(s, by_type=True)
         return summarise_cleared(keyed, ["eval_key"], self._weighted, self._strict).orderBy("eval_key")

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 NS = {"mets": "http://www.loc.gov/METS/", "mods": "http://www.loc.gov/mods/v3", "xlink": "http://www.w3.org/1999/xlink"}
 _HREF = f"{{{NS['xlink']}}}href"
 
@@ -79,7 +81,7 @@ def read_mets(rows: DataFrame, dimensions: dict[str, str] | None = None) -> Mets
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 yield pd.DataFrame(list(_rows(path, bytes(content), paths)), columns=_COLUMNS)
 
-    all_ = rows.select("path", "content").mapInPandas(parse, _SCHEMA).cache()
+    all_ = cut(rows.select("path", "content").mapInPandas(parse, _SCHEMA))
     part = lambda name, *cols: all_.filter(F.col("part") == name).select("mets", *cols, "ord")
     return Mets(
         part("file", "file_id", "href", "grp_use", "file_dmdid", "grp_dmdid"), part("div", "kind", "div_id", "dmdid", "attrs"),
@@ -158,6 +160,7 @@ def with_metadata(entries: DataFrame, m: Mets, specs: list[str]) -> DataFrame:
             continue
         if column in entries.columns:
             continue
+        entries = cut(entries)  # its plan is used twice below, so that it would double with every key
         paired = match_hrefs(entries.select("path_groundtruth").distinct().filter("path_groundtruth IS NOT NULL"), known.select("href", "ord"))
         got = paired.join(values.select("href", F.col("value").alias(column)), "href").select("path_groundtruth", column)
         entries = entries.join(got.groupBy("path_groundtruth").agg(F.first(column, ignorenulls=True).alias(column)), "path_groundtruth", "left")
