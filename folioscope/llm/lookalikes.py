@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
+from ..session import cut
 from .characters import folded, plain_form
 
 #: A word with its accents and joiners, or one mark or blank beyond ASCII.
@@ -68,9 +69,9 @@ def canonical_values(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
         .groupBy("script", "value").agg(F.count("*").alias("n"))
     )
     members = values.withColumn("plain", _plain("value", "script"))
-    members = members.withColumn("mapped", folded(F.col("plain")))
+    members = cut(members.withColumn("mapped", folded(F.col("plain"))))
     plain = members.select("script", F.col("plain").alias("value"), F.lit(0).cast("bigint").alias("n"), "plain", "mapped")
-    everyone = members.unionByName(plain.filter("plain <> ''")).groupBy("script", "value", "plain", "mapped").agg(F.sum("n").alias("n"))
+    everyone = cut(members.unionByName(plain.filter("plain <> ''")).groupBy("script", "value", "plain", "mapped").agg(F.sum("n").alias("n")))
     scripts = F.create_map(*[F.lit(x) for kv in SCRIPTS.items() for x in kv])
     known = lexicon.select(scripts[F.col("lang")].alias("script"), F.lower("word").alias("lower_word")).filter("script is not null").distinct()
     names = {n: f"folio_{n}_{id(rows)}" for n in ("members", "known")}
@@ -92,7 +93,7 @@ def canonical_values(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def deviating_values(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(tbl, row_id, script, value, canonical) for each value of a row that is not its class's canonical member."""
-    rows = with_script(rows)
+    rows = cut(with_script(rows))  # read twice: for the classes, and to meet them
     odd = canonical_values(rows, lexicon).filter("value <> canonical")
     # Plain ASCII on a Latin page is canonical by construction, so such values need not meet the classes.
     seen = rows.select("tbl", "row_id", "script", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(VALUE), F.lit(0)))).alias("value"))
