@@ -38,9 +38,12 @@ class Mixture:
 
     Records without a source, of sources without a target and without tokens stay out. Shares are
     taken relative to their sum over the sources that have tokens; the others are reported with
-    nothing reached. The default budget is the largest at which every source can still give its
-    share within its repeats; beyond it (``budget_tokens``) sources that run out fall behind and the
-    report says so. Ties of the finish time fall by source, copy and id.
+    nothing reached. ``feasible`` is the largest budget at which every source can give its share
+    within its repeats. The default budget is that of the points where a source runs out at which
+    the shares are expected to come nearest to the targets: a larger one leaves scarce sources
+    behind, a smaller one is coarser, as a record is never divided. With large tables it is the
+    feasible one, unless a source has next to nothing. ``budget_tokens`` sets another. Ties of the
+    finish time fall by source, copy and id.
     """
 
     def __init__(self, documents: DataFrame, targets: DataFrame, budget_tokens: float | None = None, seed: int = 7):
@@ -50,16 +53,29 @@ class Mixture:
         names = [r["source"] for r in rows]
         docs = documents.filter(F.col("source").isin(names) & (F.col("tokens") > 0)) if names else documents.limit(0)
         self.docs = cut(docs.select("doc_id", "source", "tokens", F.xxhash64(F.lit(seed), "doc_id").alias("draw")))
-        have = {r["source"]: (r["n"], r["t"]) for r in self.docs.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).collect()}
+        square = F.sum(F.col("tokens").cast("double") * F.col("tokens")).alias("q")
+        counts = self.docs.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), square).collect()
+        have = {r["source"]: (r["n"], r["t"]) for r in counts}
+        self.grain = {r["source"]: r["q"] / r["t"] for r in counts}
         total = sum(r["share"] for r in rows if r["source"] in have) or 1.0
         self.weights = {r["source"]: r["share"] / total for r in rows if r["source"] in have}
         self.repeats = {r["source"]: r["repeats"] for r in rows if r["source"] in have}
         self.sizes = {s: t for s, (n, t) in have.items()}
         self.feasible = min((self.repeats[s] * self.sizes[s] / w for s, w in self.weights.items()), default=0.0)
-        self.budget = self.feasible if budget_tokens is None else float(budget_tokens)
+        self.budget = self._nearest() if budget_tokens is None else float(budget_tokens)
         most = max((n for n, _ in have.values()), default=1)
         self.bits = max(0, math.ceil(math.log2(max(1, most / BUCKET_ROWS))))
 
+    def _nearest(self) -> float:
+        """The budget, of those at which a source runs out, with the least expected distance to the targets."""
+
+        def distance(v: float) -> float:
+            got = {s: min(w * v, self.repeats[s] * self.sizes[s]) for s, w in self.weights.items()}
+            total = sum(got.values())
+            return sum(abs(got[s] / total - w) + self.grain[s] / total for s, w in self.weights.items()) / 2
+
+        return min((self.repeats[s] * self.sizes[s] / w for s, w in self.weights.items()), key=lambda v: (distance(v), v), default=0.0)
+
     def _constants(self) -> DataFrame:
         spark = self.docs.sparkSession
         rows = [(s, float(w), int(self.repeats[s]), int(self.sizes[s])) for s, w in self.weights.items()]
