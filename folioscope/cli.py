@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .operators import geometry, reports, training_pairs
 from .operators.pairing import match_images
 from .plans.evaluation import Evaluation
-from .session import cut
+from .session import cut, ship
 from .sources import layout, mets, writers
 
 
@@ -86,6 +86,7 @@ def _images(spark: SparkSession, pages: DataFrame, folder: str) -> DataFrame:
 def run(argv: Sequence[str], spark: SparkSession) -> list[str]:
     """The lines a command prints; wrong specifications raise a ValueError before any file is read."""
     a = parser().parse_args(argv)
+    ship(spark)
     if a.command == "eval":
         ev = Evaluation(spark).candidates(a.candidates).reference(a.reference).metrics(a.metrics).where(*a.filter_by).group(a.aggregate_by)
         ev.options(weighted=a.weighted_mean, strict=a.no_outliers, form=a.utf8)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per context, so that it need not be installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_folioscope_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    with tempfile.NamedTemporaryFile(prefix="folioscope-", suffix=".zip", delete=False) as f, zipfile.ZipFile(f, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    sc.addPyFile(f.name)
+    sc._folioscope_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the session's ``spark.checkpoint.dir``.
 
