@@ -5,11 +5,12 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from folioscope.session import local_session  # noqa: E402
+from folioscope.session import local_session, ship  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     s = local_session(4, "tests")
     s.sparkContext.setLogLevel("ERROR")
+    ship(s)
     return s
