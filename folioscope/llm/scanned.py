@@ -231,14 +231,15 @@ def _deletions(x: Column) -> Column:
     return F.transform(F.array_distinct(F.concat(F.array(x), once, twice)), lambda s: F.xxhash64(s))
 
 
-def misreadings(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
+def misreadings(counts: DataFrame, known: DataFrame) -> DataFrame:
     """(core, n, better, name) for words outside the lexicon: ``better`` is the word of which ``core``
     is a misreading, else null; ``name`` says that the corpus uses it like a word of its own.
 
-    ``counts`` has (core, n), a word's comparison form and its count over the whole corpus. Numbers
+    ``counts`` has (core, n), a word's comparison form and its count over the whole corpus, ``known``
+    the lexicon's words in comparison form (``word_in``). Numbers
     are right; digits or signs among letters make a misreading even without a better word.
     """
-    known = _known(lexicon).filter("word_in <> ''")
+    known = known.filter("word_in <> ''")
     flagged = cut(_flag(counts, F.col("core"), _small(known), "in_lexicon"))
     number = F.col("core").rlike(r"\A[\p{N}]+(?:[.,:/\-–][\p{N}]+)*(?:st|nd|rd|th|er|e|te|ten|n)?\z") | F.col("core").rlike(r"\A\p{L}{0,2}[²³½¼¾]\z")
     unknown = flagged.filter(~F.col("in_lexicon") & ~number & (F.col("core") != ""))
@@ -272,7 +273,7 @@ class Scans:
     """
 
     def __init__(self, alto_string: DataFrame, page_line: DataFrame, lexicon: DataFrame):
-        self.lexicon = lexicon
+        self.known = cut(_known(lexicon))
         raw = cut(page_words(alto_string, page_line))
         marks = page_furniture(raw)
         lines = raw.join(marks, _PAGE, "left")
@@ -314,7 +315,7 @@ class Scans:
         hyphen = F.col("a").rlike(rf"[\p{{L}}\p{{M}}][{HYPHENS}]+[\x{{200B}}-\x{{200F}}\x{{2060}}\x{{FEFF}}\x{{202C}}]*\z")
         open_end = F.col("a").rlike(r"[\p{L}\p{M}\p{Cf}\p{N}]\z")
         e = e.filter(hyphen | open_end).withColumns({"hyphen": hyphen, "fa": _form("a"), "f1": _form("b1.tok"), "f2": _form("b2.tok")})
-        known = _small(_known(self.lexicon))
+        known = _small(self.known)
         names = self.types().filter("name").select(F.col("core").alias("word_in"))
         e = e.withColumns({"c1": F.concat("fa", "f1"), "c2": F.concat("fa", "f2")})
         for flag, col in (("a_is", "fa"), ("b_is", "f1"), ("b2_is", "f2"), ("j1", "c1"), ("j2", "c2")):
@@ -345,14 +346,14 @@ class Scans:
         """``misreadings`` over the corpus."""
         if self._types is None:
             self._forms = cut(self.forms())
-            self._types = cut(misreadings(self._forms.groupBy("core").agg(F.sum("n").alias("n")), self.lexicon))
+            self._types = cut(misreadings(self._forms.groupBy("core").agg(F.sum("n").alias("n")), self.known))
         return self._types
 
     def misread_tokens(self) -> DataFrame:
         """Words with a wrong character that are not broken over two lines, with the better word."""
         bad = self.types().filter("better IS NOT NULL").select("core", "better")
-        prefixes = self.lexicon.filter("word IS NOT NULL").select(_form("word").alias("w")).select(
-            F.explode(F.transform(F.sequence(F.lit(2), F.length("w")), lambda i: F.substring(F.col("w"), F.lit(1), i))).alias("word_in")).distinct()
+        stems = F.transform(F.sequence(F.lit(2), F.length("word_in")), lambda i: F.substring(F.col("word_in"), F.lit(1), i))
+        prefixes = self.known.filter(F.length("word_in") >= 2).select(F.explode(stems).alias("word_in")).distinct()
         forms = self._forms.join(bad, "core")
         # "Land-" before "oder" is the beginning of a word, not a misread one.
         forms = _flag(forms.filter(F.col("tok").isNotNull()), F.when(F.col("tok").rlike(rf"[{HYPHENS}]\W*\z"), F.col("core")), prefixes, "stem").filter(~F.col("stem"))
