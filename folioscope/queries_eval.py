@@ -457,6 +457,18 @@ def alto_line_words(elems: Column) -> Column:
     return F.when(F.exists(elems, lambda e: e["tag"] == "SP"), F.aggregate(elems, step, add, closed)).otherwise(F.transform(strings, lambda e: e["content"]))
 
 
+def alto_text_blocks(space: Column) -> Column:
+    """(path, b) of all TextBlocks of a print space: its own, those of its ComposedBlocks and of the ComposedBlocks inside these."""
+
+    def own(e: Column, above: Column) -> Column:
+        return F.coalesce(F.transform(e["text_blocks"], lambda b, i: F.struct(F.concat(above, F.lit("tb:"), i.cast("string")).alias("path"), b.alias("b"))), F.array())
+
+    def composed(e: Column, above: Column, of) -> Column:
+        return F.coalesce(F.flatten(F.transform(e["composed_blocks"], lambda c, i: of(c, F.concat(above, F.lit("cb:"), i.cast("string"), F.lit("/"))))), F.array())
+
+    return F.concat(own(space, F.lit("")), composed(space, F.lit(""), lambda c, at: F.concat(own(c, at), composed(c, at, own))))
+
+
 @query("""WITH page AS (SELECT DISTINCT page_id, print_space AS ps FROM alto_page), tb AS (SELECT page_id, 'tb:' || (i - 1) AS path, ps.text_blocks[i] AS e FROM page, range(1, 100000) r(i) WHERE i <= len(ps.text_blocks)),
 tl AS (SELECT page_id, path || '/tl:' || (i - 1) AS path, e.text_lines[i].elems AS es FROM tb, range(1, 100000) r(i) WHERE i <= len(e.text_lines)),
 el AS (SELECT page_id, path, i, es[i].tag AS tag, es[i].content AS content, sum(CASE WHEN es[i].tag = 'SP' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, path ORDER BY i) AS island,
@@ -464,10 +476,10 @@ el AS (SELECT page_id, path, i, es[i].tag AS tag, es[i].content AS content, sum(
 w AS (SELECT page_id, path, CASE WHEN sps > 0 THEN island ELSE i END AS island, string_agg(content, '' ORDER BY i) AS word FROM el WHERE tag = 'String' AND trim(content) <> '' GROUP BY ALL)
 SELECT page_id, path, string_agg(word, ' ' ORDER BY island) AS text FROM w GROUP BY ALL""")
 def sp_gap_island(spark, sf_dir):
-    """Words of nested ALTO lines directly below the page: Strings between blanks are one word."""
-    p = table(spark, sf_dir, "alto_page").select("page_id", F.col("print_space.text_blocks").alias("tb")).distinct()
-    b = p.select("page_id", F.posexplode("tb").alias("i", "b")).select("page_id", "i", F.posexplode("b.text_lines").alias("j", "l"))
-    path = F.concat(F.lit("tb:"), F.col("i").cast("string"), F.lit("/tl:"), F.col("j").cast("string"))
+    """Words of all nested ALTO lines, at any depth of ComposedBlocks: Strings between blanks are one word."""
+    p = table(spark, sf_dir, "alto_page").select("page_id", "print_space").distinct()
+    b = p.select("page_id", F.inline(alto_text_blocks(F.col("print_space")))).select("page_id", F.col("path").alias("block"), F.posexplode("b.text_lines").alias("j", "l"))
+    path = F.concat(F.col("block"), F.lit("/tl:"), F.col("j").cast("string"))
     return b.select("page_id", path.alias("path"), F.array_join(alto_line_words(F.col("l.elems")), " ").alias("text")).filter("text <> ''")
 
 
