@@ -486,9 +486,9 @@ def sp_gap_island(spark, sf_dir):
 @query("""SELECT mets_id, page_no, first(text_equiv ORDER BY equiv_index, line_rid) AS text FROM (SELECT DISTINCT line_rid, mets_id, page_no, equiv_index, text_equiv FROM page_line
 WHERE trim(text_equiv) <> '' AND equiv_index IS NOT NULL) GROUP BY ALL""")
 def first_by_index(spark, sf_dir):
-    """The text with the least index, compared as a string."""
-    p = table(spark, sf_dir, "page_line").filter("trim(text_equiv) <> '' AND equiv_index IS NOT NULL").select("line_rid", "mets_id", "page_no", "equiv_index", "text_equiv").distinct()
-    return pairing.first_of(p, ["mets_id", "page_no"], [F.col("equiv_index"), F.col("line_rid")]).select("mets_id", "page_no", F.col("text_equiv").alias("text"))
+    """The text with the least index, compared as a string; a missing index is the empty string."""
+    p = table(spark, sf_dir, "page_line").filter("trim(text_equiv) <> ''").select("line_rid", "mets_id", "page_no", "equiv_index", "text_equiv").distinct()
+    return pairing.first_of(p, ["mets_id", "page_no"], [F.coalesce("equiv_index", F.lit("")), F.col("line_rid")]).select("mets_id", "page_no", F.col("text_equiv").alias("text"))
 
 
 @query("""WITH d AS (SELECT l_orderkey, l_linenumber - 1 AS metric_idx, l_extendedprice AS value, lag(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS b

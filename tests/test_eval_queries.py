@@ -19,3 +19,9 @@ def test_sp_gap_island_reads_blocks_at_any_depth(spark, tmp_path):
     got = sorted(tuple(r) for r in q.sp_gap_island(spark, str(tmp_path)).collect())
     assert got == [(1, "cb:0/cb:1/tb:0/tl:0", "deeper still"), (1, "cb:0/tb:0/tl:0", "in side"), (1, "cb:0/tb:1/tl:0", "b c"),
                    (1, "tb:0/tl:0", "to p"), (1, "tb:0/tl:1", "x y"), (2, "tb:0/tl:0", "only")]
+
+
+def test_first_by_index_takes_a_missing_index_as_empty(spark, tmp_path):
+    lines = [(1, 1, 1, "0", "zero"), (3, 1, 1, None, "later"), (2, 1, 1, None, "none"), (4, 1, 1, None, " "), (5, 1, 2, "10", "ten"), (6, 1, 2, "2", "two"), (7, 1, 3, None, "alone"), (8, 1, 4, None, None)]
+    spark.createDataFrame(lines, "line_rid long, mets_id long, page_no int, equiv_index string, text_equiv string").write.parquet(str(tmp_path / "page_line.parquet"))
+    assert sorted(tuple(r) for r in q.first_by_index(spark, str(tmp_path)).collect()) == [(1, 1, "none"), (1, 2, "ten"), (1, 3, "alone")]
