@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import bounded_collect, cut
 from .tokens import VOCABULARY, token_count
 
 #: Items of one block on average.
@@ -31,6 +31,8 @@ POPULATION = 5
 CROSSOVERS = 14
 #: Share of a parent's containers that one crossover injects at most.
 INJECTED = 0.12
+#: Container kinds at most; a larger table raises.
+MAX_KINDS = 1_000
 
 
 def best_fit(sizes: list[int], order: list[int], capacity: int, bins: list[int], rooms: list[tuple[int, int]], n_bins: int) -> int:
@@ -147,12 +149,13 @@ def pack(sizes: DataFrame, kinds: DataFrame, islands: int = ISLANDS) -> DataFram
 
     ``sizes`` has (doc_id, tokens), ``kinds`` (container_kind, capacity_tokens). A text of no tokens
     takes a place without room. A kind that stands again counts once; one without capacity is left
-    out. Every token of every text is in exactly one container of each kind.
+    out. Every token of every text is in exactly one container of each kind. More kinds than
+    ``MAX_KINDS`` raise.
     """
     sizes = cut(sizes.select("doc_id", F.coalesce("tokens", F.lit(0)).alias("tokens")))
     kinds = kinds.filter("container_kind IS NOT NULL AND capacity_tokens > 0").select("container_kind", F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct()
     # Each text meets the few kinds through an array in the row, not through a product of tables.
-    listed = F.array(*[F.struct(F.lit(r["container_kind"]).alias("container_kind"), F.lit(r["capacity"]).cast("bigint").alias("capacity")) for r in kinds.limit(1000).collect()])
+    listed = F.array(*[F.struct(F.lit(r["container_kind"]).alias("container_kind"), F.lit(r["capacity"]).cast("bigint").alias("capacity")) for r in bounded_collect(kinds, MAX_KINDS, "container_kind")])
     items = sizes.select("doc_id", F.col("tokens").alias("all"), F.inline(listed))
     whole = F.floor(F.col("all") / F.col("capacity"))
     full = F.when(whole * F.col("capacity") == F.col("all"), F.greatest(whole - 1, F.lit(0))).otherwise(whole)
