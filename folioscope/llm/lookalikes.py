@@ -4,7 +4,8 @@ Every word or mark of the texts is a value. Values are mapped (zero-width signs
 width and look-alike letters to one) and grouped in SQL under the accent-sensitive collation
 ``UNICODE``, which also holds composed and combining accents equal. Each class gets one canonical
 member: one of the lexicon, else one in plain characters, else the more frequent, else the lesser in
-binary order. The members are joined back to the rows.
+binary order. Of zero-width signs alone the canonical member is the empty text. The members are joined
+back to the rows.
 
 Classes are kept per script of the page, so that a one-letter word that exists in two scripts is
 judged by its page. All counts are pre-aggregated; only values that differ from their canonical
@@ -79,12 +80,12 @@ def canonical_values(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     known.createOrReplaceTempView(names["known"])
     out = spark.sql(f"""
         WITH member AS (
-            SELECT m.script, m.value, m.mapped COLLATE UNICODE AS looks, m.n, k.lower_word IS NOT NULL AND m.value = m.plain AS in_lexicon, m.value = m.plain AS is_plain
+            SELECT m.script, m.value, m.plain, m.mapped COLLATE UNICODE AS looks, m.n, k.lower_word IS NOT NULL AND m.value = m.plain AS in_lexicon, m.value = m.plain AS is_plain
             FROM {names["members"]} m LEFT JOIN {names["known"]} k ON m.script = k.script AND lower(m.value) = k.lower_word),
         class AS (
             SELECT script, looks, min_by(value, struct(NOT in_lexicon, NOT is_plain, -n, value)) AS chosen
             FROM member GROUP BY script, looks)
-        SELECT member.script, member.value, CASE WHEN member.in_lexicon THEN member.value ELSE class.chosen END AS canonical
+        SELECT member.script, member.value, CASE WHEN member.plain = '' THEN '' WHEN member.in_lexicon THEN member.value ELSE class.chosen END AS canonical
         FROM member JOIN class ON member.script = class.script AND member.looks = class.looks""")
     for n in names.values():
         spark.catalog.dropTempView(n)
