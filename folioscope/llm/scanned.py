@@ -3,7 +3,7 @@ misread words put right.
 
 * Page numbers: a number at the edge of a page whose difference to the scan's number is one that
   recurs in the work.
-* Running heads and feet: a line at the edge that recurs fuzzily on one of the four scans before or
+* Running heads and feet: the line at the edge, or the one next to a page number there, that recurs fuzzily on one of the four scans before or
   after. The first of such a run that opens a chapter (no number at the top where the work has it
   there, or another head before it) is a section heading and stays.
 * Broken words: a line whose last word ends in a hyphen, unless a conjunction follows ("Land- und");
@@ -103,18 +103,26 @@ def _near(a: Column, b: Column, least: int = 1) -> Column:
 
 
 def _neighbours(pages: DataFrame, col: str) -> DataFrame:
-    """Per page whether ``col`` recurs fuzzily on scans before and after it, and whether scans before exist."""
-    texts = pages.select(*_PAGE, F.col(col).alias("t"))
+    """Per page whether ``col`` recurs fuzzily on scans before and after it, and whether scans before exist.
+
+    ``{col}_in`` says that the line stands next to a page number. Such a line may be the text's own,
+    so what meets it must recur on two scans at least: the last words of two pages are alike by chance.
+    """
+    texts = pages.select(*_PAGE, F.col(col).alias("t"), F.col(f"{col}_in").alias("i"))
     shift = F.explode(F.array(*[F.lit(k) for k in range(-REACH, REACH + 1) if k]))
-    sent = texts.withColumn("k", shift).select("tbl", "mets_id", (F.col("page_no") + F.col("k")).alias("page_no"), (-F.col("k")).alias("k"), F.col("t").alias("other"))
-    return (
-        texts.join(sent, _PAGE).groupBy(*_PAGE)
+    sent = texts.withColumn("k", shift).select("tbl", "mets_id", (F.col("page_no") + F.col("k")).alias("page_no"), (-F.col("k")).alias("k"), F.col("t").alias("other"), F.col("i").alias("other_i"))
+    near, outer = F.col("near"), ~(F.col("i") | F.col("other_i"))
+    met = (
+        texts.join(sent, _PAGE).withColumn("near", _near(F.col("t"), F.col("other"))).groupBy(*_PAGE)
         .agg(
-            F.max((F.col("k") < 0) & _near(F.col("t"), F.col("other"))).alias(f"{col}_before"),
-            F.max((F.col("k") > 0) & _near(F.col("t"), F.col("other"))).alias(f"{col}_after"),
-            F.sum(F.when((F.col("k") < 0) & (F.col("k") >= -2), 1).otherwise(0)).alias(f"{col}_earlier"),
+            F.max((F.col("k") < 0) & near & outer).alias("before"), F.max((F.col("k") > 0) & near & outer).alias("after"),
+            F.max((F.col("k") < 0) & near).alias("any_before"), F.max((F.col("k") > 0) & near).alias("any_after"),
+            F.sum(near.cast("int")).alias("times"),
+            F.sum(F.when((F.col("k") < 0) & (F.col("k") >= -2) & ~F.col("other_i"), 1).otherwise(0)).alias(f"{col}_earlier"),
         )
     )
+    often = F.col("times") >= 2
+    return met.select(*_PAGE, (F.col("before") | (often & F.col("any_before"))).alias(f"{col}_before"), (F.col("after") | (often & F.col("any_after"))).alias(f"{col}_after"), f"{col}_earlier")
 
 
 def page_furniture(lines: DataFrame) -> DataFrame:
@@ -124,11 +132,12 @@ def page_furniture(lines: DataFrame) -> DataFrame:
     by = W.partitionBy(*_PAGE)
     full = full.withColumns({"up": F.row_number().over(by.orderBy("line_ord")), "down": F.row_number().over(by.orderBy(F.desc("line_ord")))})
     at = lambda cond: F.max(F.when(cond, F.struct("line_ord", _edge_text(F.col("words")).alias("text"))))
-    pages = full.filter("up <= 2 OR down = 1").groupBy(*_PAGE).agg(
-        at(F.col("up") == 1).alias("l1"), at(F.col("up") == 2).alias("l2"), at((F.col("down") == 1) & (F.col("up") > 2)).alias("lz")
-    )
+    pages = full.filter("up <= 2 OR down <= 2").groupBy(*_PAGE).agg(
+        at(F.col("up") == 1).alias("l1"), at(F.col("up") == 2).alias("l2"),
+        at((F.col("down") == 2) & (F.col("up") > 2)).alias("ly"), at((F.col("down") == 1) & (F.col("up") > 2)).alias("lz"),
+    )
     cols = {}
-    for name in ("l1", "l2", "lz"):
+    for name in ("l1", "l2", "ly", "lz"):
         text = F.col(f"{name}.text")
         cols[f"{name}_whole"] = F.nullif(F.regexp_extract(text, _WHOLE, 1), F.lit(""))
     cols["last"] = F.nullif(F.regexp_extract("l1.text", _LAST, 2), F.lit(""))
@@ -136,7 +145,7 @@ def page_furniture(lines: DataFrame) -> DataFrame:
     pages = cut(pages.withColumns(cols))
 
     # The page-number sequence: differences between printed and scanned number that recur in the work.
-    seen = F.array(*[F.struct(_value(F.col(c)).alias("v")) for c in ("l1_whole", "l2_whole", "lz_whole", "last", "first")])
+    seen = F.array(*[F.struct(_value(F.col(c)).alias("v")) for c in ("l1_whole", "l2_whole", "ly_whole", "lz_whole", "last", "first")])
     diffs = (
         pages.select("mets_id", "tbl", "page_no", F.explode(seen).alias("s")).filter("s.v IS NOT NULL")
         .select("mets_id", "tbl", "page_no", (F.col("s.v") - F.col("page_no")).alias("diff")).distinct()
@@ -154,14 +163,17 @@ def page_furniture(lines: DataFrame) -> DataFrame:
         ragged = ~F.col(c).rlike("[0-9]") & (F.length(c) >= 3) & (F.abs(_value(F.col(c)) - expected) <= 0)
         return F.coalesce(same | close | ragged, F.lit(False))
 
-    pages = pages.withColumns({f"{c}_no": printed(c) for c in ("l1_whole", "l2_whole", "lz_whole", "last", "first")})
+    pages = pages.withColumns({f"{c}_no": printed(c) for c in ("l1_whole", "l2_whole", "ly_whole", "lz_whole", "last", "first")})
     inline = F.col("last_no") | F.col("first_no")
+    # A head stands below a number in the first line, a foot above one in the last.
+    below, above = F.when(~F.col("l2_whole_no"), F.col("l2.text")), F.when(~F.col("ly_whole_no"), F.col("ly.text"))
     bare = (
-        F.when(F.col("last_no"), F.regexp_extract("l1.text", _LAST, 1)).when(F.col("first_no"), F.regexp_extract("l1.text", _FIRST, 2))
-        .when(~F.col("l1_whole_no"), F.col("l1.text"))
+        F.when(F.col("l1_whole_no"), below).when(F.col("last_no"), F.regexp_extract("l1.text", _LAST, 1))
+        .when(F.col("first_no"), F.regexp_extract("l1.text", _FIRST, 2)).otherwise(F.col("l1.text"))
     )
     pages = pages.withColumns({
-        "head": F.lower(F.trim(bare)), "foot": F.when(~F.col("lz_whole_no"), F.lower(F.col("lz.text"))), "inline": inline,
+        "head": F.lower(F.trim(bare)), "foot": F.lower(F.trim(F.when(F.col("lz_whole_no"), above).otherwise(F.col("lz.text")))), "inline": inline,
+        "head_in": F.col("l1_whole_no"), "foot_in": F.coalesce("lz_whole_no", F.lit(False)),
         "top_no": inline | F.col("l1_whole_no") | F.col("l2_whole_no"),
     })
     pages = cut(pages)
@@ -176,8 +188,8 @@ def page_furniture(lines: DataFrame) -> DataFrame:
     is_head = F.col("inline") | (again & ~opens) | F.col("l2_whole_no")
     foot = F.coalesce(F.col("foot_before") | F.col("foot_after"), F.lit(False))
     places = F.array(
-        F.when(F.col("l1_whole_no") | is_head, F.col("l1.line_ord")), F.when(F.col("l2_whole_no"), F.col("l2.line_ord")),
-        F.when(F.col("lz_whole_no") | foot, F.col("lz.line_ord")),
+        F.when(F.col("l1_whole_no") | is_head, F.col("l1.line_ord")), F.when(F.col("l2_whole_no") | (F.col("l1_whole_no") & again), F.col("l2.line_ord")),
+        F.when(F.col("ly_whole_no") | (F.col("lz_whole_no") & foot), F.col("ly.line_ord")), F.when(F.col("lz_whole_no") | foot, F.col("lz.line_ord")),
     )
     return pages.select(*_PAGE, F.array_compact(places).alias("furniture"), F.when(again & ~is_head, F.col("l1.line_ord")).alias("heading"))
 
