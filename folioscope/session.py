@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Name of this process's tables in the checkpoint folder, and the folders it has written to.
+_RUN = uuid.uuid4().hex[:12]
+_FOLDERS: dict[str, SparkSession] = {}
+
+
 def local_session(cores: int | str = 8, app: str = "folioscope") -> SparkSession:
     """A local session for tests and benches; a cluster brings its own session."""
     return (
@@ -65,10 +72,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder: later stages read the files, so a lost
-    executor neither recomputes the lineage nor changes values that depend on row order."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared checkpoint folder as a compressed table: later stages read the columns
+    they need of it, so a lost executor neither recomputes the lineage nor changes values that depend on
+    row order. ``clear_cuts`` takes the tables away; where the process ends first, it does so then."""
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/folioscope-{_RUN}"
+    if folder not in _FOLDERS:
+        _FOLDERS[folder] = spark
+        atexit.register(clear_cuts, folder)
+    at = f"{folder}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def clear_cuts(folder: str | None = None) -> None:
+    """Deletes the tables that ``cut`` wrote (below ``folder``, or all). Results that still read them must be done."""
+    for f in [folder] if folder else list(_FOLDERS):
+        spark = _FOLDERS.pop(f, None)
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001, S110 - the session may be gone: the folder's owner clears it then
+            pass
 
 
 def bounded_collect(df: DataFrame, bound: int, what: str) -> list:
