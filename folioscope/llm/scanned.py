@@ -3,16 +3,22 @@ misread words put right.
 
 * Page numbers: a number at the edge of a page whose difference to the scan's number is one that
   recurs in the work.
-* Running heads and feet: the line at the edge, or the one next to a page number there, that recurs fuzzily on one of the four scans before or
-  after. The first of such a run that opens a chapter (no number at the top where the work has it
-  there, or another head before it) is a section heading and stays.
+* Running heads and feet: the line at the edge, or the one next to a page number there, that recurs
+  fuzzily at that edge of one of the four scans before or after, or, where it stands alone among its
+  neighbours, on three scans of the whole work or more (equal in all but one word, or but one letter).
+  Lines further in, up to ``EDGE_LINES`` from the edge, belong to it as well if all lines outside them
+  do and they recur on two neighbouring scans or on three of the work. The first of a run that opens a
+  chapter (no number at the top where the work has it there, or another head before it) is a section
+  heading and stays.
 * Broken words: a line whose last word ends in a hyphen, unless a conjunction follows ("Land- und");
   without a hyphen, where the two parts make a word of the vocabulary and are none themselves.
 * Misread words: a word that is neither in the lexicon nor a name of the corpus (a frequent word that
   is no near miss of a more frequent one), and is a near miss of a word that is.
 
-Only pages and lines meet by key (work and page, or word); neighbours come by an equi-join on shifted
-page numbers, so that a work with a third of all pages is spread like any other.
+Pages are kept by blocks of ``BLOCK`` scans. Work-wide counts are summed up per block, then per work,
+and handed back to the blocks, so that no step gathers a work: a work with a third of all pages is
+spread like any other. Words meet the vocabulary through ``_meet``, which parts frequent words from
+the others, so that no word is gathered either.
 """
 
 from __future__ import annotations
@@ -26,16 +32,24 @@ from pyspark.sql import types as T
 from ..session import cut
 from .characters import BLANK_CLASS, ZERO_WIDTH, _BMP_WIDE, word_form
 
-#: Scans before and after a page on which its edge lines are sought.
+#: Scans before and after a page on which its edge lines are sought one by one.
 REACH = 4
+#: Scans that one block holds.
+BLOCK = 64
+#: Lines at the upper and at the lower edge of a page that may be heads and feet.
+EDGE_LINES = 4
+#: Scans of a work on which a line must stand at the edge if none of its neighbours has it.
+FAR_PAGES = 3
 #: Share of a head's characters that may differ between two pages.
 HEAD_DIFFERENCE = 0.2
 #: Least count in the corpus of a word outside the lexicon that is taken for a name.
 NAME_COUNT = 5
 #: A word so many times as frequent makes a rare near miss of it a misreading.
 DOMINANCE = 10
-#: Lexicon rows that are shipped to every task at most; a larger one is joined by shuffle.
+#: Words that are shipped to every task at most; a larger vocabulary is joined by shuffle.
 BROADCAST_WORDS = 200_000
+#: A word that makes up more than this part of all is frequent: there are at most as many of them as the number says.
+FREQUENT = 10_000
 
 # Signs that break a word at the end of a line.
 HYPHENS = "-⸗=¬‐‑­"
@@ -55,22 +69,28 @@ CONFUSIONS = (
 _DIGITS = ("OoQDlI|iZzSsBbGgqT", "000011112255886997")
 
 _PAGE = ["tbl", "mets_id", "page_no"]
+_KEY = ["tbl", "mets_id", "block", "page_no", "lone"]
 
 
 def page_words(alto_string: DataFrame, page_line: DataFrame) -> DataFrame:
-    """Lines (tbl, mets_id, page_no, line_ord, words) of both page tables, words = array of (id, tok).
+    """Pages (tbl, mets_id, block, page_no, lone, lines) of both page tables; lines = array of (line_ord,
+    ids, words) in order, words = array of (id, tok).
 
-    Rows that stand again count once; rows without text keep their place in ``ids`` only. Everything
-    of a page lies in one partition, so that the steps per line and per page need no further shuffle.
+    Rows that stand again count once; rows without text keep their place in ``ids`` only. A row of
+    which work, page or line is null has no place on any page: it makes a page of its own (``lone`` is
+    its id). Copies of a row fall together before anything is shuffled.
     """
-    pieces = lambda c: F.filter(F.split(F.coalesce(F.col(c), F.lit("")), BLANK_CLASS + "+"), lambda t: t != "")
-    a = alto_string.select(F.lit("alto_string").alias("tbl"), "mets_id", "page_no", "line_ord", F.col("string_ord").alias("ord"), F.col("string_rid").alias("row_id"), pieces("content").alias("toks"))
-    p = page_line.select(F.lit("page_line").alias("tbl"), "mets_id", "page_no", "line_ord", F.lit(0).alias("ord"), F.col("line_rid").alias("row_id"), pieces("text_equiv").alias("toks"))
-    rows = a.unionByName(p).filter(F.col("row_id").isNotNull()).repartition(*_PAGE)
-    rows = rows.dropDuplicates([*_PAGE, "row_id"])
-    lines = rows.groupBy(*_PAGE, "line_ord").agg(F.array_sort(F.collect_list(F.struct("ord", "row_id", "toks"))).alias("rows"))
-    words = F.flatten(F.transform("rows", lambda r: F.transform(r["toks"], lambda t: F.struct(r["row_id"].alias("id"), t.alias("tok")))))
-    return lines.select(*_PAGE, "line_ord", F.transform("rows", lambda r: r["row_id"]).alias("ids"), words.alias("words"))
+    a = alto_string.select(F.lit("alto_string").alias("tbl"), "mets_id", "page_no", "line_ord", F.col("string_ord").alias("ord"), F.col("string_rid").alias("row_id"), F.col("content").alias("text"))
+    p = page_line.select(F.lit("page_line").alias("tbl"), "mets_id", "page_no", "line_ord", F.lit(0).alias("ord"), F.col("line_rid").alias("row_id"), F.col("text_equiv").alias("text"))
+    placed = F.col("mets_id").isNotNull() & F.col("page_no").isNotNull() & F.col("line_ord").isNotNull()
+    rows = a.unionByName(p).filter(F.col("row_id").isNotNull()).distinct()
+    rows = rows.withColumns({"block": F.floor(F.col("page_no") / BLOCK), "lone": F.when(~placed, F.col("row_id"))})
+    rows = rows.repartition("tbl", "mets_id", "block", "lone")
+    lines = rows.groupBy(*_KEY, "line_ord").agg(F.array_sort(F.collect_list(F.struct("ord", "row_id", "text"))).alias("rows"))
+    toks = lambda r: F.filter(F.split(F.coalesce(r["text"], F.lit("")), BLANK_CLASS + "+"), lambda t: t != "")
+    words = F.flatten(F.transform("rows", lambda r: F.transform(toks(r), lambda t: F.struct(r["row_id"].alias("id"), t.alias("tok")))))
+    line = F.struct("line_ord", F.array_distinct(F.transform("rows", lambda r: r["row_id"])).alias("ids"), words.alias("words"))
+    return lines.select(*_KEY, line.alias("line")).groupBy(*_KEY).agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
 
 def _edge_text(words: Column) -> Column:
@@ -102,96 +122,136 @@ def _near(a: Column, b: Column, least: int = 1) -> Column:
     return F.coalesce((F.abs(F.length(a) - F.length(b)) <= room) & (F.levenshtein(a, b) <= room), F.lit(False))
 
 
-def _neighbours(pages: DataFrame, col: str) -> DataFrame:
-    """Per page whether ``col`` recurs fuzzily on scans before and after it, and whether scans before exist.
+def _lettered(text: Column) -> Column:
+    """Whether a line is text: four letters or more, which make up half of it."""
+    n = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    return F.coalesce((n >= 4) & (2 * n >= F.length(text)), F.lit(False))
 
-    ``{col}_in`` says that the line stands next to a page number. Such a line may be the text's own,
-    so what meets it must recur on two scans at least: the last words of two pages are alike by chance.
-    """
-    texts = pages.select(*_PAGE, F.col(col).alias("t"), F.col(f"{col}_in").alias("i"))
-    shift = F.explode(F.array(*[F.lit(k) for k in range(-REACH, REACH + 1) if k]))
-    sent = texts.withColumn("k", shift).select("tbl", "mets_id", (F.col("page_no") + F.col("k")).alias("page_no"), (-F.col("k")).alias("k"), F.col("t").alias("other"), F.col("i").alias("other_i"))
-    near, outer = F.col("near"), ~(F.col("i") | F.col("other_i"))
-    met = (
-        texts.join(sent, _PAGE).withColumn("near", _near(F.col("t"), F.col("other"))).groupBy(*_PAGE)
-        .agg(
-            F.max((F.col("k") < 0) & near & outer).alias("before"), F.max((F.col("k") > 0) & near & outer).alias("after"),
-            F.max((F.col("k") < 0) & near).alias("any_before"), F.max((F.col("k") > 0) & near).alias("any_after"),
-            F.sum(near.cast("int")).alias("times"),
-            F.sum(F.when((F.col("k") < 0) & (F.col("k") >= -2) & ~F.col("other_i"), 1).otherwise(0)).alias(f"{col}_earlier"),
-        )
-    )
-    often = F.col("times") >= 2
-    return met.select(*_PAGE, (F.col("before") | (often & F.col("any_before"))).alias(f"{col}_before"), (F.col("after") | (often & F.col("any_after"))).alias(f"{col}_after"), f"{col}_earlier")
 
+def _per_work(pages: DataFrame, work: DataFrame) -> DataFrame:
+    """``pages`` with the columns of ``work`` (tbl, mets_id, …), which are handed to each block of scans first."""
+    blocks = pages.select("tbl", "mets_id", "block").distinct()
+    return pages.join(blocks.join(work, ["tbl", "mets_id"]), ["tbl", "mets_id", "block"], "left")
 
-def page_furniture(lines: DataFrame) -> DataFrame:
-    """Per page (tbl, mets_id, page_no) the places of its furniture lines (``furniture``, an array of
-    line_ord) and of a section heading in the place of the head (``heading``, a line_ord or null)."""
-    full = lines.filter(F.size("words") > 0).select(*_PAGE, "line_ord", "words")
-    by = W.partitionBy(*_PAGE)
-    full = full.withColumns({"up": F.row_number().over(by.orderBy("line_ord")), "down": F.row_number().over(by.orderBy(F.desc("line_ord")))})
-    at = lambda cond: F.max(F.when(cond, F.struct("line_ord", _edge_text(F.col("words")).alias("text"))))
-    pages = full.filter("up <= 2 OR down <= 2").groupBy(*_PAGE).agg(
-        at(F.col("up") == 1).alias("l1"), at(F.col("up") == 2).alias("l2"),
-        at((F.col("down") == 2) & (F.col("up") > 2)).alias("ly"), at((F.col("down") == 1) & (F.col("up") > 2)).alias("lz"),
-    )
-    cols = {}
-    for name in ("l1", "l2", "ly", "lz"):
-        text = F.col(f"{name}.text")
-        cols[f"{name}_whole"] = F.nullif(F.regexp_extract(text, _WHOLE, 1), F.lit(""))
-    cols["last"] = F.nullif(F.regexp_extract("l1.text", _LAST, 2), F.lit(""))
-    cols["first"] = F.nullif(F.regexp_extract("l1.text", _FIRST, 1), F.lit(""))
-    pages = cut(pages.withColumns(cols))
-
-    # The page-number sequence: differences between printed and scanned number that recur in the work.
-    seen = F.array(*[F.struct(_value(F.col(c)).alias("v")) for c in ("l1_whole", "l2_whole", "ly_whole", "lz_whole", "last", "first")])
+
+def _with_numbers(pages: DataFrame) -> DataFrame:
+    """Adds which edge lines hold the page's number: ``{l1,l2,ly,lz}_whole_no``, ``last_no``, ``first_no``."""
+    names = ("l1_whole", "l2_whole", "ly_whole", "lz_whole", "last", "first")
+    seen = F.array_compact(F.array_distinct(F.array(*[_value(F.col(c)) - F.col("page_no") for c in names])))
     diffs = (
-        pages.select("mets_id", "tbl", "page_no", F.explode(seen).alias("s")).filter("s.v IS NOT NULL")
-        .select("mets_id", "tbl", "page_no", (F.col("s.v") - F.col("page_no")).alias("diff")).distinct()
-        .groupBy("mets_id", "tbl", "diff").agg(F.count("*").alias("n"))
-        .groupBy("mets_id", "tbl").agg(F.max(F.struct("n", "diff")).alias("best"))
-        .filter("best.n >= 2").select("mets_id", "tbl", F.col("best.diff").alias("diff"))
+        pages.select("tbl", "mets_id", F.explode(seen).alias("diff")).groupBy("tbl", "mets_id", "diff").agg(F.count("*").alias("n"))
+        .groupBy("tbl", "mets_id").agg(F.max(F.struct("n", "diff")).alias("best")).filter("best.n >= 2").select("tbl", "mets_id", F.col("best.diff").alias("diff"))
     )
-    pages = pages.join(diffs, ["mets_id", "tbl"], "left")
+    pages = _per_work(pages, diffs)
     expected = F.col("page_no") + F.col("diff")
-    digits = lambda c: F.translate(F.col(c), *_DIGITS)
 
     def printed(c: str) -> Column:
         same = _value(F.col(c)) == expected
-        close = F.col(c).rlike("[0-9]") & (F.length(c) == F.length(expected.cast("string"))) & (F.levenshtein(digits(c), expected.cast("string")) <= 1) & (F.length(c) >= 2)
-        ragged = ~F.col(c).rlike("[0-9]") & (F.length(c) >= 3) & (F.abs(_value(F.col(c)) - expected) <= 0)
-        return F.coalesce(same | close | ragged, F.lit(False))
+        close = F.col(c).rlike("[0-9]") & (F.length(c) == F.length(expected.cast("string"))) & (F.levenshtein(F.translate(F.col(c), *_DIGITS), expected.cast("string")) <= 1) & (F.length(c) >= 2)
+        return F.coalesce(same | close, F.lit(False))
 
-    pages = pages.withColumns({f"{c}_no": printed(c) for c in ("l1_whole", "l2_whole", "ly_whole", "lz_whole", "last", "first")})
-    inline = F.col("last_no") | F.col("first_no")
+    return pages.withColumns({f"{c}_no": printed(c) for c in names}).drop(*names, "diff")
+
+
+def _recurring_afar(lone: DataFrame) -> DataFrame:
+    """Of the edge lines (tbl, mets_id, block, page_no, side, at, text) those that stand on ``FAR_PAGES``
+    scans of their work or more at the same place, equal in all but one word or, if they are one word, but one letter.
+
+    Each line has a key for its skeleton and for what is left of it without each word or letter; the
+    keys are counted per block and then per work, so lines never meet in pairs.
+    """
+    x = F.trim(_skeleton(F.regexp_replace("text", r"[^\p{L}\p{M}\p{N} ]", "")))
+    lone = lone.select("tbl", "mets_id", "block", "page_no", "side", "at", x.alias("x")).withColumn("words", F.split("x", " +"))
+    but = lambda a, i: F.concat(F.slice(a, F.lit(1), i), F.slice(a, i + 2, F.size(a)))
+    less = F.transform("words", lambda w, i: F.array_join(but(F.col("words"), i), " "))
+    keys = F.when(F.size("words") == 1, _deletions(F.col("x"), twice=False)).otherwise(F.transform(F.array_distinct(F.concat(F.array("x"), less)), lambda t: F.xxhash64(t)))
+    rows = lone.withColumn("key", F.explode(F.array_distinct(keys))).drop("x", "words")
+    by = ["tbl", "mets_id", "side", "at", "key"]
+    block = rows.groupBy(*by, "block").agg(F.count_distinct("page_no").alias("n"))
+    often = block.groupBy(*by).agg(F.sum("n").alias("n")).filter(F.col("n") >= FAR_PAGES).select(*by)
+    often = block.select(*by, "block").join(often, by)
+    return rows.join(often, [*by, "block"], "left_semi").select(*_PAGE, F.concat("side", "at").alias("place")).groupBy(*_PAGE).agg(F.collect_set("place").alias("afar"))
+
+
+def page_furniture(pages: DataFrame) -> DataFrame:
+    """Per page (tbl, mets_id, page_no) the places of its furniture lines (``furniture``, an array of
+    line_ord) and of a section heading in the place of the head (``heading``, a line_ord or null)."""
+    full = F.filter("lines", lambda x: F.size(x["words"]) > 0)
+    edge = lambda a: F.transform(a, lambda x: F.struct(x["line_ord"].alias("line_ord"), _edge_text(x["words"]).alias("text")))
+    pages = pages.filter("lone IS NULL").select("tbl", "mets_id", "block", "page_no", full.alias("full")).filter("size(full) > 0")
+    n = F.size("full")
+    pages = pages.select(
+        "tbl", "mets_id", "block", "page_no", edge(F.slice("full", 1, EDGE_LINES)).alias("top"),
+        # The lines from the last one upwards; the first two of the page are none of them.
+        F.reverse(edge(F.slice("full", F.greatest(n - EDGE_LINES, F.lit(2)) + 1, F.lit(EDGE_LINES)))).alias("end"),
+    )
+    cols = {"l1": F.get("top", F.lit(0)), "l2": F.get("top", F.lit(1)), "lz": F.get("end", F.lit(0)), "ly": F.get("end", F.lit(1))}
+    pages = pages.withColumns(cols)
+    whole = {f"{c}_whole": F.nullif(F.regexp_extract(F.col(f"{c}.text"), _WHOLE, 1), F.lit("")) for c in cols}
+    pages = pages.withColumns({**whole, "last": F.nullif(F.regexp_extract("l1.text", _LAST, 2), F.lit("")), "first": F.nullif(F.regexp_extract("l1.text", _FIRST, 1), F.lit(""))})
+    pages = _with_numbers(cut(pages))
     # A head stands below a number in the first line, a foot above one in the last.
     below, above = F.when(~F.col("l2_whole_no"), F.col("l2.text")), F.when(~F.col("ly_whole_no"), F.col("ly.text"))
     bare = (
         F.when(F.col("l1_whole_no"), below).when(F.col("last_no"), F.regexp_extract("l1.text", _LAST, 1))
         .when(F.col("first_no"), F.regexp_extract("l1.text", _FIRST, 2)).otherwise(F.col("l1.text"))
     )
+    low = lambda x: F.lower(F.trim(x))
+    inner = lambda side, skip: F.transform(F.slice(side, F.when(skip, 3).otherwise(2), 2), lambda x: F.struct(x["line_ord"].alias("line_ord"), low(x["text"]).alias("text")))
     pages = pages.withColumns({
-        "head": F.lower(F.trim(bare)), "foot": F.lower(F.trim(F.when(F.col("lz_whole_no"), above).otherwise(F.col("lz.text")))), "inline": inline,
-        "head_in": F.col("l1_whole_no"), "foot_in": F.coalesce("lz_whole_no", F.lit(False)),
-        "top_no": inline | F.col("l1_whole_no") | F.col("l2_whole_no"),
-    })
-    pages = cut(pages)
-    usual = pages.groupBy("mets_id", "tbl").agg((F.avg(F.col("top_no").cast("int")) > 0.5).alias("top_usual"))
-    pages = (
-        pages.join(usual, ["mets_id", "tbl"])
-        .join(_neighbours(pages.filter("head IS NOT NULL"), "head"), _PAGE, "left")
-        .join(_neighbours(pages.filter("foot IS NOT NULL"), "foot"), _PAGE, "left")
-    )
-    again = F.coalesce(F.col("head_before") | F.col("head_after"), F.lit(False))
-    opens = ~F.coalesce(F.col("head_before"), F.lit(False)) & ~F.col("top_no") & (F.col("top_usual") | (F.coalesce(F.col("head_earlier"), F.lit(0)) >= 2))
-    is_head = F.col("inline") | (again & ~opens) | F.col("l2_whole_no")
-    foot = F.coalesce(F.col("foot_before") | F.col("foot_after"), F.lit(False))
-    places = F.array(
-        F.when(F.col("l1_whole_no") | is_head, F.col("l1.line_ord")), F.when(F.col("l2_whole_no") | (F.col("l1_whole_no") & again), F.col("l2.line_ord")),
+        "head": low(bare), "foot": low(F.when(F.col("lz_whole_no"), above).otherwise(F.col("lz.text"))), "inline": F.col("last_no") | F.col("first_no"),
+        "head_in": F.col("l1_whole_no"), "foot_in": F.col("lz_whole_no"),
+        "head_more": inner("top", F.col("l1_whole_no") | F.col("l2_whole_no")), "foot_more": inner("end", F.col("lz_whole_no") | F.col("ly_whole_no")),
+        "top_no": F.col("last_no") | F.col("first_no") | F.col("l1_whole_no") | F.col("l2_whole_no"),
+    }).drop("top", "end")
+
+    # The scans around each page: those at a block's border stand in the next block as well.
+    reach = [F.floor((F.col("page_no") + d) / BLOCK) for d in (-REACH, 0, REACH)]
+    spread = pages.withColumn("at", F.explode(F.array_distinct(F.array(*reach))))
+    around = W.partitionBy("tbl", "mets_id", "at").orderBy("page_no").rangeBetween(-REACH, REACH)
+    texts = lambda c: F.transform(c, lambda x: x["text"])
+    row = F.struct("page_no", "head", "head_in", "foot", "foot_in", texts("head_more").alias("head_more"), texts("foot_more").alias("foot_more"))
+    pages = spread.withColumn("around", F.collect_list(row).over(around)).filter("at = block").drop("at")
+    other = lambda x: x["page_no"] != F.col("page_no")
+    for c in ("head", "foot"):
+        like = F.filter("around", lambda x: other(x) & x[c].isNotNull() & _near(F.col(c), x[c]))  # noqa: B023
+        pages = pages.withColumn(f"{c}_like", F.transform(like, lambda x: F.struct(x["page_no"].alias("p"), (F.col(f"{c}_in") | x[f"{c}_in"]).alias("i"))))  # noqa: B023
+        # Next to a number may stand the text's own line, so what meets it must recur on two scans at least.
+        met = lambda cond: F.exists(f"{c}_like", lambda x: cond(x) & (~x["i"] | (F.size(f"{c}_like") >= 2)))  # noqa: B023, E731
+        pages = pages.withColumns({f"{c}_before": met(lambda x: x["p"] < F.col("page_no")), f"{c}_after": met(lambda x: x["p"] > F.col("page_no"))})
+        for k in range(2):
+            t = F.get(f"{c}_more", F.lit(k))["text"]
+            times = F.size(F.filter("around", lambda x: other(x) & _near(t, F.get(x[f"{c}_more"], F.lit(k)))))  # noqa: B023
+            pages = pages.withColumn(f"{c}_more_{k}", F.when(_lettered(t), times >= 2).otherwise(F.lit(False)))
+    earlier = F.size(F.filter("around", lambda x: (x["page_no"] < F.col("page_no")) & (x["page_no"] >= F.col("page_no") - 2) & x["head"].isNotNull() & ~x["head_in"]))
+    pages = cut(pages.withColumn("earlier", F.when(F.col("head").isNotNull(), earlier).otherwise(0)).drop("around", "head_like", "foot_like"))
+
+    side = lambda name, at, text, alone: F.when(alone & _lettered(text), F.struct(F.lit(name).alias("side"), F.lit(str(at)).alias("at"), text.alias("text")))
+    listed = []
+    for c in ("head", "foot"):
+        listed.append(side(c, 0, F.col(c), ~F.col(f"{c}_before") & ~F.col(f"{c}_after")))
+        listed += [side(c, k + 1, F.get(f"{c}_more", F.lit(k))["text"], ~F.col(f"{c}_more_{k}")) for k in range(2)]
+    afar = _recurring_afar(pages.select("tbl", "mets_id", "block", "page_no", F.inline(F.array_compact(F.array(*listed)))))
+    usual = pages.groupBy("tbl", "mets_id", "block").agg(F.sum(F.col("top_no").cast("int")).alias("k"), F.count("*").alias("n"))
+    usual = usual.groupBy("tbl", "mets_id").agg((F.sum("k") > F.sum("n") * 0.5).alias("top_usual"))
+    pages = _per_work(pages, usual).join(afar, _PAGE, "left")
+    far = lambda place: F.coalesce(F.array_contains("afar", place), F.lit(False))
+
+    again = F.col("head_before") | F.col("head_after")
+    opens = ~F.col("head_before") & ~F.col("top_no") & (F.col("top_usual") | (F.col("earlier") >= 2))
+    afar_head = far("head0") & ~(F.col("top_usual") & ~F.col("top_no"))
+    is_head = F.col("inline") | (again & ~opens) | F.col("l2_whole_no") | afar_head
+    head = F.when(F.col("l1_whole_no"), again | afar_head).otherwise(is_head)
+    foot = F.col("foot_before") | F.col("foot_after") | far("foot0")
+    places = [
+        F.when(F.col("l1_whole_no") | is_head, F.col("l1.line_ord")), F.when(F.col("l2_whole_no") | (F.col("l1_whole_no") & head), F.col("l2.line_ord")),
         F.when(F.col("ly_whole_no") | (F.col("lz_whole_no") & foot), F.col("ly.line_ord")), F.when(F.col("lz_whole_no") | foot, F.col("lz.line_ord")),
-    )
-    return pages.select(*_PAGE, F.array_compact(places).alias("furniture"), F.when(again & ~is_head, F.col("l1.line_ord")).alias("heading"))
+    ]
+    for c, outer in (("head", head), ("foot", foot)):
+        for k in range(2):
+            outer = outer & (F.col(f"{c}_more_{k}") | far(f"{c}{k + 1}"))
+            places.append(F.when(outer, F.get(f"{c}_more", F.lit(k))["line_ord"]))
+    return pages.select(*_PAGE, F.array_distinct(F.array_compact(F.array(*places))).alias("furniture"), F.when(again & ~is_head, F.col("l1.line_ord")).alias("heading"))
 
 
 @F.pandas_udf(T.StringType())
@@ -214,15 +274,28 @@ def _known(lexicon: DataFrame) -> DataFrame:
     return lexicon.filter("word IS NOT NULL").select(_form("word").alias("word_in")).distinct()
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """With a broadcast hint while the checked size allows it."""
-    return F.broadcast(df) if df.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS else df
+def _few(df: DataFrame, bound: int) -> bool:
+    return df.limit(bound + 1).count() <= bound
+
 
+def _meet(df: DataFrame, on: Column, words: DataFrame, key: str, how: str = "left", small: bool | None = None) -> DataFrame:
+    """``df`` joined with ``words`` (one row per ``key``, which goes) where the expression ``on`` is the key.
 
-def _flag(df: DataFrame, on: Column, words: DataFrame, flag: str) -> DataFrame:
-    """``df`` with the boolean ``flag``: the expression ``on`` is one of ``words.word_in``."""
-    w = words.select(F.col("word_in").alias("_w"), F.lit(True).alias(flag))
-    return df.join(w, on == F.col("_w"), "left").drop("_w").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    Up to ``BROADCAST_WORDS`` words are sent to every task (``small`` tells if that has been checked).
+    Of more, the frequent ones (of which there are ``FREQUENT`` at most, whatever the size of ``df``) are
+    sent, and only rows with other words are shuffled by their word.
+    """
+    w = words.withColumnRenamed(key, "_w")
+    if _few(w, BROADCAST_WORDS) if small is None else small:
+        return df.join(F.broadcast(w), on == F.col("_w"), how).drop("_w")
+    df = df.withColumn("_on", on)
+    counts = df.groupBy("_on").agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    often = cut(counts.filter((F.col("_n") > total / FREQUENT) & F.col("_on").isNotNull()).select("_on"))
+    hot, cold = df.join(F.broadcast(often), "_on", "left_semi"), df.join(F.broadcast(often), "_on", "left_anti")
+    hot_words = w.join(F.broadcast(often), F.col("_w") == F.col("_on"), "left_semi")
+    hot = hot.join(F.broadcast(hot_words), F.col("_on") == F.col("_w"), how)
+    return hot.unionByName(cold.join(w, F.col("_on") == F.col("_w"), how)).drop("_w", "_on")
 
 
 def _skeleton(x: Column, order: int = 0) -> Column:
@@ -231,153 +304,170 @@ def _skeleton(x: Column, order: int = 0) -> Column:
     return x
 
 
-def _skeleton_distance(a: Column, b: Column) -> Column:
-    return F.least(*[F.levenshtein(_skeleton(a, k), _skeleton(b, k)) for k in range(len(CONFUSIONS))])
-
-
-def _deletions(x: Column) -> Column:
-    """Hashes of a skeleton and of what one (from 8 letters on: up to two) deletions leave of it."""
+def _deletions(x: Column, twice: bool = True) -> Column:
+    """Hashes of a skeleton and of what one (from 8 letters on: up to two, if ``twice``) deletions leave of it."""
     less = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
     once = F.when(F.length(x) > 1, less(x)).otherwise(F.array(x))
-    twice = F.when(F.length(x) >= 8, F.flatten(F.transform(once, less))).otherwise(F.array(x))
-    return F.transform(F.array_distinct(F.concat(F.array(x), once, twice)), lambda s: F.xxhash64(s))
+    more = F.when(F.length(x) >= 8, F.flatten(F.transform(once, less))).otherwise(F.array(x)) if twice else F.array(x)
+    return F.transform(F.array_distinct(F.concat(F.array(x), once, more)), lambda s: F.xxhash64(s))
 
 
 def misreadings(counts: DataFrame, known: DataFrame) -> DataFrame:
     """(core, n, better, name) for words outside the lexicon: ``better`` is the word of which ``core``
     is a misreading, else null; ``name`` says that the corpus uses it like a word of its own.
 
-    ``counts`` has (core, n), a word's comparison form and its count over the whole corpus, ``known``
-    the lexicon's words in comparison form (``word_in``). Numbers
-    are right; digits or signs among letters make a misreading even without a better word.
+    ``counts`` has (core, n, n_inside), a word's comparison form, its count over the whole corpus and
+    that of its places inside a line (at the ends of lines stand parts of broken words), ``known``
+    the lexicon's words in comparison form (``word_in``). Numbers are right; digits or signs among letters make a misreading even without a better word.
     """
     known = known.filter("word_in <> ''")
-    flagged = cut(_flag(counts, F.col("core"), _small(known), "in_lexicon"))
+    flagged = counts.withColumn("often", F.col("n_inside") >= NAME_COUNT)
+    flagged = _meet(flagged, F.col("core"), known.withColumn("in_lexicon", F.lit(True)), "word_in")
+    flagged = cut(flagged.withColumn("in_lexicon", F.coalesce("in_lexicon", F.lit(False))))
     number = F.col("core").rlike(r"\A[\p{N}]+(?:[.,:/\-–][\p{N}]+)*(?:st|nd|rd|th|er|e|te|ten|n)?\z") | F.col("core").rlike(r"\A\p{L}{0,2}[²³½¼¾]\z")
     unknown = flagged.filter(~F.col("in_lexicon") & ~number & (F.col("core") != ""))
     goal = flagged.filter("in_lexicon").select("core", "n").unionByName(known.select(F.col("word_in").alias("core"), F.lit(0).cast("bigint").alias("n")))
     goal = goal.groupBy("core").agg(F.max("n").alias("n")).withColumn("lex", F.lit(True))
-    goal = goal.unionByName(unknown.filter((F.col("n") >= NAME_COUNT) & F.col("core").rlike(r"\A[\p{L}\p{M}]+\z")).select("core", "n", F.lit(False).alias("lex")))
-    keys = lambda df, *c: df.select(*c, F.explode(F.array_distinct(F.concat(*[_deletions(_skeleton(F.col("core"), k)) for k in range(len(CONFUSIONS))]))).alias("key"))
-    pairs = keys(unknown, F.col("core").alias("bad"), F.col("n").alias("bad_n"), "core").drop("core").join(
-        keys(goal, "core", "n", "lex").select("key", F.col("core").alias("good"), F.col("n").alias("good_n"), "lex"), "key").drop("key").distinct()
-    d = F.least(F.levenshtein("bad", "good"), _skeleton_distance(F.col("bad"), F.col("good")) + 1)
-    room = F.when(F.length("bad") >= 8, 2).otherwise(1)
-    apart = _skeleton_distance(F.col("bad"), F.col("good"))
+    goal = goal.unionByName(unknown.filter(F.col("often") & F.col("core").rlike(r"\A[\p{L}\p{M}]+\z")).select("core", "n", F.lit(False).alias("lex")))
+    orders = range(len(CONFUSIONS))
+
+    def keys(df: DataFrame, to: str, *more: str) -> DataFrame:
+        """The words as ``to`` with their skeletons, once per deletion key; the skeletons are made once a word."""
+        df = df.select(F.col("core").alias(to), *[F.col(c).alias(f"{to}_{c}") for c in more], *[_skeleton(F.col("core"), k).alias(f"{to}_s{k}") for k in orders])
+        return df.withColumn("key", F.explode(F.array_distinct(F.concat(*[_deletions(F.col(f"{to}_s{k}")) for k in orders]))))
+
+    pairs = keys(unknown, "bad", "n", "often").join(keys(goal, "good", "n", "lex"), "key").drop("key").filter(F.col("bad") != F.col("good")).distinct()
+    pairs = pairs.withColumn("apart", F.least(*[F.levenshtein(f"bad_s{k}", f"good_s{k}") for k in orders]))
+    d = F.least(F.levenshtein("bad", "good"), F.col("apart") + 1)
+    room, apart = F.when(F.length("bad") >= 8, 2).otherwise(1), F.col("apart")
     # A frequent word is a name, unless it is one slip away from a word of the lexicon or far rarer than its model.
-    clear = F.col("lex") & ((F.col("bad_n") < NAME_COUNT) | (apart == 0) | (F.levenshtein("bad", "good") <= 1))
-    fits = (F.col("bad") != F.col("good")) & (clear | (F.col("good_n") >= DOMINANCE * F.col("bad_n"))) & (apart <= room)
+    clear = F.col("good_lex") & (~F.col("bad_often") | (apart == 0) | (F.levenshtein("bad", "good") <= 1))
+    fits = (clear | (F.col("good_n") >= DOMINANCE * F.col("bad_n"))) & (apart <= room)
     # A short name must not be taken for a word it only shares some letters with.
     fits = fits & ((F.length("bad") >= 3) | (F.levenshtein("bad", "good") <= 1))
     best = pairs.filter(fits).groupBy("bad").agg(F.min(F.struct(d.alias("d"), (-F.col("good_n")).alias("n"), "good")).alias("best"))
-    out = unknown.join(best, F.col("core") == F.col("bad"), "left").select("core", "n", F.col("best.good").alias("better"))
+    out = unknown.join(best, F.col("core") == F.col("bad"), "left").select("core", "n", "often", F.col("best.good").alias("better"))
     mixed = F.col("core").rlike(r"[\p{N}\p{P}\p{S}&&[^'’\-⸗]]")
     return out.select("core", "n", F.when(F.col("better").isNull() & mixed, F.lit("")).otherwise(F.col("better")).alias("better"),
-                      (F.col("better").isNull() & ~mixed & (F.col("n") >= NAME_COUNT)).alias("name"))
+                      (F.col("better").isNull() & ~mixed & F.col("often")).alias("name"))
 
 
 class Scans:
     """The steps over one set of page tables; each intermediate table is written once.
 
     Null, empty and blank texts have no words and belong to no case unless they stand in a furniture
-    line. A page of which all lines are blank has no furniture. Lines that share a place keep the
-    order of their rows. Empty tables give empty results.
+    line. A page of which all lines are blank has no furniture. Lines that share a place are one line,
+    in the order of their rows. Rows without a work, page or line can hold misread words only. Empty
+    tables give empty results.
     """
 
     def __init__(self, alto_string: DataFrame, page_line: DataFrame, lexicon: DataFrame):
         self.known = cut(_known(lexicon))
+        self.known_small = _few(self.known, BROADCAST_WORDS)
         raw = cut(page_words(alto_string, page_line))
-        marks = page_furniture(raw)
-        lines = raw.join(marks, _PAGE, "left")
-        lines = lines.withColumns({
-            "is_furniture": F.coalesce(F.array_contains("furniture", F.col("line_ord")), F.lit(False)),
-            "is_heading": F.coalesce(F.col("heading") == F.col("line_ord"), F.lit(False)),
-        }).drop("furniture", "heading")
-        self.lines = cut(lines)
+        pages = raw.join(page_furniture(raw), _PAGE, "left")
+        # A row without a place meets no page's furniture, since its work, page or line is null.
+        marked = F.transform("lines", lambda x: F.struct(
+            x["line_ord"].alias("line_ord"), x["ids"].alias("ids"), x["words"].alias("words"),
+            F.coalesce(F.col("lone").isNull() & F.array_contains("furniture", x["line_ord"]), F.lit(False)).alias("is_furniture"),
+            F.coalesce(F.col("lone").isNull() & (F.col("heading") == x["line_ord"]), F.lit(False)).alias("is_heading"),
+        ))
+        self.pages = cut(pages.select(*_KEY, marked.alias("lines")))
         self._joins = self._types = None
 
     def line_ends(self) -> DataFrame:
         """Running lines with their last word and the first words of the next two running lines.
 
-        The second next is kept because the next may be a section heading met only once.
+        The second next is kept because the next may be a section heading met only once. Only the last
+        line of a page looks for the next page.
         """
-        run = self.lines.filter(~F.col("is_furniture") & ~F.col("is_heading") & (F.size("words") > 0))
-        first = F.get("words", F.lit(0))["tok"]
-        short = (F.size("words") <= 4) & ~F.element_at("words", -1)["tok"].rlike(r"[.,;:!?،؟…]\z|[\p{L}][" + HYPHENS + r"]\z")
-        head = F.struct(F.col("line_ord").alias("ord"), first.alias("tok"), short.alias("short"))
-        by = W.partitionBy(*_PAGE).orderBy("line_ord")
-        run = run.withColumns({"a": F.element_at("words", -1)["tok"], "a_id": F.element_at("words", -1)["id"], "place": F.row_number().over(by),
-                               "n1": F.lead(head, 1).over(by), "n2": F.lead(head, 2).over(by)})
-        run = run.select(*_PAGE, "line_ord", "a", "a_id", "place", "n1", "n2", head.alias("own"), F.size("words").alias("n_words"))
-        tops = run.filter("place <= 2").groupBy(*_PAGE).agg(F.max(F.when(F.col("place") == 1, F.col("own"))).alias("t1"), F.max(F.when(F.col("place") == 2, F.col("own"))).alias("t2"))
-        tops = tops.select("tbl", "mets_id", (F.col("page_no") - 1).alias("page_no"), "t1", "t2")
-        run = run.join(tops, _PAGE, "left")
-        across = F.col("n1").isNull()
-        return run.select(
-            *_PAGE, "line_ord", "a", "a_id", "n_words", across.alias("across"),
-            F.when(across, F.col("t1")).otherwise(F.col("n1")).alias("b1"),
-            F.when(across & F.col("t1.short"), F.col("t2")).alias("b2"),
-        ).filter("b1 IS NOT NULL")
+        pages = self.pages.filter("lone IS NULL").select(*_PAGE, F.filter("lines", lambda x: ~x["is_furniture"] & ~x["is_heading"] & (F.size(x["words"]) > 0)).alias("run"))
+        ends = r"[.,;:!?،؟…]\z|[\p{L}][" + HYPHENS + r"]\z"
+
+        def head(x: Column) -> Column:
+            short = (F.size(x["words"]) <= 4) & ~F.element_at(x["words"], -1)["tok"].rlike(ends)
+            return F.when(x.isNotNull(), F.struct(x["line_ord"].alias("ord"), F.get(x["words"], F.lit(0))["tok"].alias("tok"), short.alias("short")))
+
+        def line(x: Column, i: Column) -> Column:
+            last = F.element_at(x["words"], -1)
+            return F.struct(x["line_ord"].alias("line_ord"), last["tok"].alias("a"), last["id"].alias("a_id"), F.size(x["words"]).alias("n_words"),
+                            head(F.get("run", i + 1)).alias("b1"), head(F.get("run", i + 2)).alias("b2"))
+
+        lines = pages.select(*_PAGE, F.inline(F.transform("run", line)))
+        tops = pages.filter("size(run) > 0").select(
+            "tbl", "mets_id", (F.col("page_no") - 1).alias("page_no"), head(F.get("run", F.lit(0))).alias("t1"), head(F.get("run", F.lit(1))).alias("t2"))
+        last = lines.filter("b1 IS NULL").drop("b1", "b2").join(tops, _PAGE).withColumns({"b1": F.col("t1"), "b2": F.when(F.col("t1.short"), F.col("t2"))}).drop("t1", "t2")
+        inner = lines.filter("b1 IS NOT NULL").withColumn("b2", F.lit(None).cast(lines.schema["b2"].dataType))
+        return inner.withColumn("across", F.lit(False)).unionByName(last.withColumn("across", F.lit(True)))
 
     def joins(self) -> DataFrame:
-        """(tbl, mets_id, page_no, line_ord, a_id, next_page, next_ord, hyphen): lines whose last word goes on."""
+        """(tbl, mets_id, page_no, line_ord, a_id, n_words, hyphen, rest, next_page, next_ord): lines whose last word goes on with ``rest``."""
         if self._joins is not None:
             return self._joins
         e = self.line_ends()
         hyphen = F.col("a").rlike(rf"[\p{{L}}\p{{M}}][{HYPHENS}]+[\x{{200B}}-\x{{200F}}\x{{2060}}\x{{FEFF}}\x{{202C}}]*\z")
         open_end = F.col("a").rlike(r"[\p{L}\p{M}\p{Cf}\p{N}]\z")
         e = e.filter(hyphen | open_end).withColumns({"hyphen": hyphen, "fa": _form("a"), "f1": _form("b1.tok"), "f2": _form("b2.tok")})
-        known = _small(self.known)
-        names = self.types().filter("name").select(F.col("core").alias("word_in"))
         e = e.withColumns({"c1": F.concat("fa", "f1"), "c2": F.concat("fa", "f2")})
-        for flag, col in (("a_is", "fa"), ("b_is", "f1"), ("b2_is", "f2"), ("j1", "c1"), ("j2", "c2")):
-            e = _flag(e, F.col(col), known, flag)
-        for flag, col in (("m1", "c1"), ("m2", "c2")):
-            e = _flag(e, F.col(col), names, flag)
-        w1, w2 = F.col("j1") | F.col("m1"), F.col("j2") | F.col("m2")
-        both = F.col("a_is") & F.col("b_is")
-        conj = lambda f: F.col(f).isin(*CONJUNCTIONS) | F.col(f).isin("uud", "nnd", "uncl", "aud", "odcr")
+        # One vocabulary for all questions: is it a word, a name, a conjunction (also a misread one)?
+        own = self.types()
+        says = lambda df, word, **f: df.select(F.col(word).alias("word"), *[f.get(n, F.lit(False)).alias(n) for n in ("known", "name", "conj")])
+        conj = F.col("better").isin(*CONJUNCTIONS)
+        vocabulary = says(self.known, "word_in", known=F.lit(True)).unionByName(says(own.filter(F.col("name") | conj), "core", name=F.col("name"), conj=F.coalesce(conj, F.lit(False))))
+        vocabulary = cut(vocabulary.groupBy("word").agg(*[F.max(n).alias(n) for n in ("known", "name", "conj")]))
+        small = _few(vocabulary, BROADCAST_WORDS)
+        for c in ("fa", "f1", "f2", "c1", "c2"):
+            e = _meet(e, F.col(c), vocabulary.select("word", F.struct("known", "name", "conj").alias(f"is_{c}")), "word", small=small)
+        is_ = lambda c, what: F.coalesce(F.col(f"is_{c}.{what}"), F.lit(False))
+        w1, w2 = is_("c1", "known") | is_("c1", "name"), is_("c2", "known") | is_("c2", "name")
         starts = F.col("b1.tok").rlike(r"\A[\p{L}\p{M}\p{Cf}]")
-        second = ~w1 & w2 & (F.col("hyphen") | ~(F.col("a_is") & F.col("b2_is")))
-        first = F.when(F.col("hyphen"), w1 | (F.length("f1") > 0) & ~conj("f1")).otherwise(w1 & ~both & starts & (F.length("fa") > 0) & (F.length("f1") > 0))
-        pick = F.when(second, F.col("b2")).when(first, F.col("b1"))
-        out = e.withColumn("b", pick).filter("b IS NOT NULL")
-        self._joins = cut(out.select(*_PAGE, "line_ord", "a_id", "n_words", "hyphen", F.when(F.col("across"), F.col("page_no") + 1).otherwise(F.col("page_no")).alias("next_page"), F.col("b.ord").alias("next_ord")))
+        second = ~w1 & w2 & (F.col("hyphen") | ~(is_("fa", "known") & is_("f2", "known")))
+        bare = w1 & ~(is_("fa", "known") & is_("f1", "known")) & starts & (F.length("fa") > 0) & (F.length("f1") > 0)
+        rest_of_compound = F.col("f1").isin(*CONJUNCTIONS) | is_("f1", "conj")
+        first = F.when(F.col("hyphen"), w1 | (F.length("f1") > 0) & ~rest_of_compound).otherwise(bare)
+        out = e.withColumn("b", F.when(second, F.col("b2")).when(first, F.col("b1"))).filter("b IS NOT NULL")
+        self._joins = cut(out.select(*_PAGE, "line_ord", "a_id", "n_words", "hyphen", F.col("b.tok").alias("rest"),
+                                     (F.col("page_no") + F.col("across").cast("int")).alias("next_page"), F.col("b.ord").alias("next_ord")))
         return self._joins
 
     def _tokens(self) -> DataFrame:
         """Words of all lines but furniture, with their place in the line."""
-        return self.lines.filter(~F.col("is_furniture")).select(*_PAGE, "line_ord", F.size("words").alias("n_words"), F.posexplode("words").alias("pos", "w")).select(
-            *_PAGE, "line_ord", "n_words", "pos", F.col("w.id").alias("id"), F.col("w.tok").alias("tok"))
+        lines = self.pages.select("tbl", "mets_id", "page_no", "lone", F.explode(F.filter("lines", lambda x: ~x["is_furniture"])).alias("l"))
+        lines = lines.select(*_PAGE, "lone", F.col("l.line_ord").alias("line_ord"), F.size("l.words").alias("n_words"), F.posexplode("l.words").alias("pos", "w"))
+        return lines.select(*_PAGE, "lone", "line_ord", "n_words", "pos", F.col("w.id").alias("id"), F.col("w.tok").alias("tok"))
 
     def forms(self) -> DataFrame:
-        """Distinct words as they stand with their count and comparison form."""
-        return self._tokens().groupBy("tok").agg(F.count("*").alias("n")).withColumn("core", _form("tok"))
+        """Distinct words as they stand with their count, that of their places inside a line, and their comparison form."""
+        inside = (F.col("pos") > 0) & (F.col("pos") < F.col("n_words") - 1)
+        return self._tokens().groupBy("tok").agg(F.count("*").alias("n"), F.sum(inside.cast("int")).alias("n_inside")).withColumn("core", _form("tok"))
 
     def types(self) -> DataFrame:
         """``misreadings`` over the corpus."""
         if self._types is None:
             self._forms = cut(self.forms())
-            self._types = cut(misreadings(self._forms.groupBy("core").agg(F.sum("n").alias("n")), self.known))
+            counts = self._forms.groupBy("core").agg(F.sum("n").alias("n"), F.sum("n_inside").alias("n_inside"))
+            self._types = cut(misreadings(counts, self.known))
         return self._types
 
     def misread_tokens(self) -> DataFrame:
         """Words with a wrong character that are not broken over two lines, with the better word."""
         bad = self.types().filter("better IS NOT NULL").select("core", "better")
         stems = F.transform(F.sequence(F.lit(2), F.length("word_in")), lambda i: F.substring(F.col("word_in"), F.lit(1), i))
-        prefixes = self.known.filter(F.length("word_in") >= 2).select(F.explode(stems).alias("word_in")).distinct()
-        forms = self._forms.join(bad, "core")
+        prefixes = self.known.filter(F.length("word_in") >= 2).select(F.explode(stems).alias("stem")).distinct()
+        forms = self._forms.join(bad, "core").filter(F.col("tok").isNotNull())
         # "Land-" before "oder" is the beginning of a word, not a misread one.
-        forms = _flag(forms.filter(F.col("tok").isNotNull()), F.when(F.col("tok").rlike(rf"[{HYPHENS}]\W*\z"), F.col("core")), prefixes, "stem").filter(~F.col("stem"))
-        tokens = self._tokens().join(forms.select("tok", "better"), "tok")
+        open_ = F.when(F.col("tok").rlike(rf"[{HYPHENS}]\W*\z"), F.col("core"))
+        forms = forms.join(prefixes, open_ == F.col("stem"), "left_anti")
+        tokens = _meet(self._tokens(), F.col("tok"), cut(forms.select(F.col("tok").alias("word"), "better")), "word", "inner")
         j = self.joins()
         ends = j.select(*_PAGE, "line_ord", (F.col("n_words") - 1).alias("pos"))
         starts = j.select("tbl", "mets_id", F.col("next_page").alias("page_no"), F.col("next_ord").alias("line_ord"), F.lit(0).alias("pos"))
-        return tokens.join(ends.unionByName(starts).distinct(), [*_PAGE, "line_ord", "pos"], "left_anti")
+        return tokens.join(ends.unionByName(starts), [*_PAGE, "line_ord", "pos"], "left_anti")
 
     def found(self) -> DataFrame:
         """(tbl, row_id, kind): furniture, joined and misread rows."""
-        furniture = self.lines.filter("is_furniture").select("tbl", F.explode("ids").alias("row_id"), F.lit("furniture").alias("kind"))
+        lines = self.pages.select("tbl", F.explode(F.filter("lines", lambda x: x["is_furniture"])).alias("l"))
+        furniture = lines.select("tbl", F.explode("l.ids").alias("row_id"), F.lit("furniture").alias("kind"))
         joined = self.joins().select("tbl", F.col("a_id").alias("row_id"), F.lit("joined").alias("kind"))
         misread = self.misread_tokens().select("tbl", F.col("id").alias("row_id"), F.lit("misread").alias("kind"))
         return furniture.unionByName(joined).unionByName(misread).distinct()
@@ -387,29 +477,36 @@ class Scans:
 
         A broken word stands whole where it begins, also across pages. A paragraph ends at a line
         that ends a sentence and is clearly shorter than the page's lines, and around a heading.
+        What there is to change on a page meets it as one row.
         """
-        fixes = self.misread_tokens().select(*_PAGE, "line_ord", F.struct("pos", "tok", "better").alias("fix")).filter("fix.better <> ''")
-        fixes = fixes.groupBy(*_PAGE, "line_ord").agg(F.map_from_entries(F.collect_set(F.struct("fix.pos", "fix.better"))).alias("fixes"))
         j = self.joins()
-        gives = j.select("tbl", "mets_id", F.col("next_page").alias("page_no"), F.col("next_ord").alias("line_ord"), F.lit(True).alias("gives")).distinct()
-        takes = j.select(*_PAGE, "line_ord", F.col("next_page"), F.col("next_ord"), "hyphen")
-        firsts = self.lines.select("tbl", "mets_id", F.col("page_no").alias("next_page"), F.col("line_ord").alias("next_ord"), F.get("words", F.lit(0))["tok"].alias("rest"))
-        takes = takes.join(firsts, ["tbl", "mets_id", "next_page", "next_ord"], "left").drop("next_page", "next_ord")
-        run = self.lines.filter(~F.col("is_furniture") & (F.size("words") > 0))
-        run = run.join(fixes, [*_PAGE, "line_ord"], "left").join(gives, [*_PAGE, "line_ord"], "left").join(takes, [*_PAGE, "line_ord"], "left")
-        fix = lambda w, i: F.when(F.try_element_at("fixes", i).isNotNull(), _refit(w["tok"], F.try_element_at("fixes", i))).otherwise(w["tok"])
-        toks = F.transform("words", fix)
-        toks = F.when(F.col("gives"), F.slice(toks, 2, F.greatest(F.size("words") - 1, F.lit(0)))).otherwise(toks)
-        text = F.translate(F.array_join(toks, " "), ZERO_WIDTH, "")
-        text = F.when(F.col("rest").isNotNull(), F.concat(F.when(F.col("hyphen"), F.regexp_replace(text, rf"[{HYPHENS}]+\z", "")).otherwise(text), "rest")).otherwise(text)
-        run = run.select(*_PAGE, "line_ord", "is_heading", text.alias("text"))
-        page = W.partitionBy(*_PAGE)
-        ends = F.col("text").rlike(r"[.!?؟]\W*\z") & (F.length("text") < 0.8 * F.avg(F.length("text")).over(page))
-        run = run.withColumn("ends", ends | F.col("is_heading"))
-        order = page.orderBy("line_ord")
-        starts = F.coalesce(F.lag("ends").over(order), F.lit(False)) | F.col("is_heading")
-        run = run.withColumn("para_no", F.sum(starts.cast("int")).over(order))
-        para = run.filter("text <> ''").groupBy(*_PAGE, "para_no").agg(F.array_sort(F.collect_list(F.struct("line_ord", "text"))).alias("ls"))
+        change = "struct<line_ord:int,pos:int,better:string,rest:string,hyphen:boolean>"
+        place = lambda line, pos, better=F.lit(None), rest=F.lit(None), hyphen=F.lit(None): F.struct(
+            F.col(line).alias("line_ord"), pos.alias("pos"), better.alias("better"), rest.alias("rest"), hyphen.alias("hyphen")).cast(change).alias("change")
+        fixes = self.misread_tokens().filter("better <> '' AND lone IS NULL").select(*_PAGE, place("line_ord", F.col("pos"), better=F.col("better")))
+        takes = j.select(*_PAGE, place("line_ord", F.lit(-1), rest=F.col("rest"), hyphen=F.col("hyphen")))
+        gives = j.select("tbl", "mets_id", F.col("next_page").alias("page_no"), place("next_ord", F.lit(0)))
+        changes = fixes.unionByName(takes).unionByName(gives).groupBy(*_PAGE).agg(F.collect_set("change").alias("changes"))
+        pages = self.pages.join(changes, _PAGE, "left").withColumn("changes", F.coalesce("changes", F.array().cast(f"array<{change}>")))
+
+        def text(x: Column) -> Column:
+            own = F.filter("changes", lambda c: c["line_ord"] == x["line_ord"])
+            better = lambda i: F.get(F.filter(own, lambda c: (c["pos"] == i) & c["better"].isNotNull()), F.lit(0))["better"]
+            take = F.get(F.filter(own, lambda c: c["pos"] < 0), F.lit(0))
+            toks = F.transform(x["words"], lambda w, i: F.coalesce(_refit(w["tok"], better(i)), w["tok"]))
+            gone = F.exists(own, lambda c: (c["pos"] == 0) & c["better"].isNull())
+            toks = F.when(gone, F.slice(toks, F.lit(2), F.greatest(F.size(toks) - 1, F.lit(0)))).otherwise(toks)
+            t = F.translate(F.array_join(toks, " "), ZERO_WIDTH, "")
+            return F.when(take.isNotNull(), F.concat(F.when(take["hyphen"], F.regexp_replace(t, rf"[{HYPHENS}]+\z", "")).otherwise(t), take["rest"])).otherwise(t)
+
+        run = F.filter("lines", lambda x: ~x["is_furniture"] & (F.size(x["words"]) > 0))
+        pages = cut(pages.select(*_PAGE, "lone", F.transform(run, lambda x: F.struct(text(x).alias("text"), x["is_heading"].alias("is_heading"))).alias("run")))
+        usual = F.aggregate("run", F.lit(0.0), lambda a, x: a + F.length(x["text"])) / F.nullif(F.size("run"), F.lit(0))
+        ends = lambda x: x["is_heading"] | (x["text"].rlike(r"[.!?؟]\W*\z") & (F.length(x["text"]) < 0.8 * F.col("usual")))
+        lines = pages.withColumn("usual", usual).select(*_PAGE, "lone", F.posexplode(F.transform("run", lambda x, i: F.struct(
+            x["text"].alias("text"), (x["is_heading"] | ((i > 0) & F.coalesce(ends(F.get("run", i - 1)), F.lit(False)))).cast("int").alias("begins")))).alias("at", "l"))
+        lines = lines.withColumn("para_no", F.sum("l.begins").over(W.partitionBy(*_PAGE, "lone").orderBy("at")))
+        para = lines.filter("l.text <> ''").groupBy(*_PAGE, "lone", "para_no").agg(F.array_sort(F.collect_list(F.struct("at", "l.text"))).alias("ls"))
         return para.select(*_PAGE, "para_no", F.array_join(F.transform("ls", lambda r: r["text"]), " ").alias("text"))
 
 
