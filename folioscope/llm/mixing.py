@@ -38,12 +38,13 @@ class Mixture:
 
     Records without a source, of sources without a target and without tokens stay out. Shares are
     taken relative to their sum over the sources that have tokens; the others are reported with
-    nothing reached. ``feasible`` is the largest budget at which every source can give its share
-    within its repeats. The default budget is that of the points where a source runs out at which
-    the shares are expected to come nearest to the targets: a larger one leaves scarce sources
-    behind, a smaller one is coarser, as a record is never divided. With large tables it is the
-    feasible one, unless a source has next to nothing. ``budget_tokens`` sets another. Ties of the
-    finish time fall by source, copy and id.
+    nothing reached and the reason. ``budget_tokens`` is the size of the whole mixture: where a source
+    runs out of its repeats the others fill its place by their weights, until all have run out. Without
+    it the size is that, of the points where a source runs out, at which the shares are expected to come
+    nearest to the targets: a larger mixture leaves scarce sources behind, a smaller one is coarser, as a
+    record is never divided. ``feasible`` is the largest size at which every source can give its share.
+    The mixture ends at the last record that fits, so each source stays less than one record below its
+    part. Ties of the finish time fall by source, copy and id.
     """
 
     def __init__(self, documents: DataFrame, targets: DataFrame, budget_tokens: float | None = None, seed: int = 7):
@@ -62,12 +63,29 @@ class Mixture:
         self.repeats = {r["source"]: r["repeats"] for r in rows if r["source"] in have}
         self.sizes = {s: t for s, (n, t) in have.items()}
         self.feasible = min((self.repeats[s] * self.sizes[s] / w for s, w in self.weights.items()), default=0.0)
-        self.budget = self._nearest() if budget_tokens is None else float(budget_tokens)
+        #: Virtual time at which the mixture ends, and the tokens it holds then (but for the last records).
+        self.ends = self._nearest() if budget_tokens is None else self._time_of(float(budget_tokens))
+        self.budget = self._given(self.ends)
         most = max((n for n, _ in have.values()), default=1)
         self.bits = max(0, math.ceil(math.log2(max(1, most / BUCKET_ROWS))))
 
+    def _given(self, time: float) -> float:
+        """Tokens that all sources have given at a virtual time."""
+        return sum(min(w * time, self.repeats[s] * self.sizes[s]) for s, w in self.weights.items())
+
+    def _time_of(self, tokens: float) -> float:
+        """The virtual time at which so many tokens have been given: between the points where sources run
+        out (one a source) their sum rises evenly. Beyond the last of them it is that point."""
+        before = 0.0
+        for after in sorted(self.repeats[s] * self.sizes[s] / w for s, w in self.weights.items()):
+            low, high = self._given(before), self._given(after)
+            if tokens <= high:
+                return before + (after - before) * max(0.0, tokens - low) / (high - low) if high > low else after
+            before = after
+        return before
+
     def _nearest(self) -> float:
-        """The budget, of those at which a source runs out, with the least expected distance to the targets."""
+        """The time, of those at which a source runs out, with the least expected distance to the targets."""
 
         def distance(v: float) -> float:
             got = {s: min(w * v, self.repeats[s] * self.sizes[s]) for s, w in self.weights.items()}
@@ -83,7 +101,8 @@ class Mixture:
 
     def queued(self) -> DataFrame:
         """(doc_id, source, copy, tokens, finish) of all copies within the budget, not yet sorted."""
-        bucket = F.shiftrightunsigned(F.col("draw"), 64 - self.bits) if self.bits else F.lit(0).cast("bigint")
+        # The upper bits with their sign: buckets in order hold the draws in order, however many there are.
+        bucket = F.shiftright(F.col("draw"), 64 - self.bits) if self.bits else F.lit(0).cast("bigint")
         docs = self.docs.withColumn("bucket", bucket)
         totals = docs.groupBy("source", "bucket").agg(F.sum("tokens").alias("t"))
         before = F.coalesce(F.sum("t").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -92,7 +111,7 @@ class Mixture:
         docs = docs.withColumn("inside", inside).join(totals, ["source", "bucket"]).join(self._constants(), "source")
         upto = F.col("before") + F.col("inside")
         # A hair of tolerance: at the feasible budget the last record of the scarcest source ends exactly on it.
-        copies = F.floor((self.budget * (1 + 1e-12) * F.col("weight") - upto) / F.col("source_tokens")) + 1
+        copies = F.floor((self.ends * (1 + 1e-12) * F.col("weight") - upto) / F.col("source_tokens")) + 1
         copies = F.least(F.greatest(copies, F.lit(0)), F.col("repeats")).cast("int")
         docs = docs.withColumns({"upto": upto, "copies": copies}).filter("copies > 0")
         docs = docs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
@@ -104,12 +123,21 @@ class Mixture:
         return self.queued().repartitionByRange(*order).sortWithinPartitions(*order)
 
     def shares(self) -> DataFrame:
-        """Per source of the targets: target and actual share, tokens, records and most copies of one."""
+        """Per source of the targets: target and actual share, tokens, records, most copies of one, the tokens
+        that its repeats could give, and the ``reason`` of a share that was missed: ``no tokens``, ``ran out``,
+        ``too coarse`` (the next record would not fit), else null (within half a point of its weight)."""
         got = self.queued().groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("records"), (F.max("copy") + 1).alias("most_copies"))
-        total = F.sum("tokens").over(W.partitionBy())
         t = self.targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).join(got, "source", "left")
-        t = t.fillna(0, ["tokens", "records", "most_copies"])
-        return t.withColumn("actual_share", F.when(total > 0, F.col("tokens") / total).otherwise(0.0))
+        total = got.agg(F.sum("tokens").alias("_total"))  # one row
+        t = t.join(self._constants().select("source", "weight", "source_tokens"), "source", "left").join(F.broadcast(total))
+        t = t.fillna(0, ["tokens", "records", "most_copies", "source_tokens", "_total"])
+        could = F.col("max_repeats") * F.col("source_tokens")
+        share = F.when(F.col("_total") > 0, F.col("tokens") / F.col("_total")).otherwise(0.0)
+        reason = (
+            F.when(F.col("source_tokens") == 0, "no tokens").when((could <= F.col("weight") * self.ends) & (F.col("weight") - share > 0.005), "ran out")
+            .when(F.col("weight") - share > 0.005, "too coarse")
+        )
+        return t.select("source", "target_share", "max_repeats", "tokens", "records", "most_copies", could.alias("available_tokens"), share.alias("actual_share"), reason.alias("reason"))
 
 
 def mixture(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, **options) -> Mixture:

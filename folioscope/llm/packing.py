@@ -4,8 +4,11 @@ A text larger than the container is divided into full pieces and a rest; nothing
 Items fall by hash into blocks of a bounded number, whatever their source. Each block is solved by
 several islands: populations of packings whose genes are whole containers. A crossover injects
 well-filled containers of one parent into the other, removes the containers that hold an injected
-item, and puts the displaced items back by best fit. After the first round each island's elite moves
-on to the next island of its block, and the best packing of the second round is taken.
+item, and puts the displaced items back by best fit: into a bin that they all but fill, else into new
+bins with the one or two others that fit best beside them. After the first round each island's elite
+moves on to the next island of its block, and the best packing of the second round is taken. The least
+filled containers of a block (at least one, whose room no packing of the block can use) are packed
+anew together with those of other blocks.
 
 All random numbers come from the block's and the island's number, so a task that runs again gives the
 same packing.
@@ -28,9 +31,15 @@ from .tokens import VOCABULARY, token_count
 BLOCK_ITEMS = 2_500
 ISLANDS = 2
 POPULATION = 5
-CROSSOVERS = 14
+CROSSOVERS = 60
 #: Share of a parent's containers that one crossover injects at most.
 INJECTED = 0.12
+#: Share of a block's containers, the least filled ones and one at least, that are packed again across blocks.
+LOOSE = 0.02
+#: Blocks whose loose containers are packed together.
+JOINED_BLOCKS = 32
+#: Share of the receiver's containers, the least filled ones, that one crossover opens at most.
+OPENED = 0.4
 #: Container kinds at most; a larger table raises.
 MAX_KINDS = 1_000
 
@@ -53,6 +62,70 @@ def best_fit(sizes: list[int], order: list[int], capacity: int, bins: list[int],
     return n_bins
 
 
+def best_company(items: list[int], sizes: list[int], room: int) -> list[int]:
+    """Places in ``items`` (by falling size) of the one item or the two that leave the least of ``room``."""
+    best, left = [], room
+    lo, hi = 0, len(items) - 1
+    while lo <= hi:
+        big = sizes[items[lo]]
+        if big > room:
+            lo += 1
+            continue
+        if room - big < left:
+            best, left = [lo], room - big
+        if lo == hi or not left:
+            break
+        both = big + sizes[items[hi]]
+        if both > room:
+            lo += 1
+        else:
+            if room - both < left:
+                best, left = [lo, hi], room - both
+            hi -= 1
+    return best
+
+
+def refill(sizes: list[int], order: list[int], capacity: int, bins: list[int], rooms: list[tuple[int, int]], n_bins: int) -> int:
+    """``best_fit`` that fills each new bin with the items that fit it best together.
+
+    An item goes to an open bin only if it all but fills it; the rest open new bins, each with the one or
+    two others that leave the least room. At the end what is left over goes by plain ``best_fit``.
+    """
+    tight, left = capacity // 100, []
+    for i in order:
+        at = bisect_left(rooms, (sizes[i], -1))
+        if at < len(rooms) and rooms[at][0] - sizes[i] <= tight:
+            room, b = rooms.pop(at)
+            bins[i] = b
+            if room > sizes[i]:
+                insort(rooms, (room - sizes[i], b))
+        else:
+            left.append(i)
+    loose = []
+    while left:
+        i = left[0]
+        company = best_company(left[1:], sizes, capacity - sizes[i])
+        room = capacity - sizes[i] - sum(sizes[left[1 + c]] for c in company)
+        while company and room > tight:  # small items: go on filling
+            more = best_company([x for k, x in enumerate(left[1:]) if k not in company], sizes, room)
+            if not more:
+                break
+            kept = [k for k in range(len(left) - 1) if k not in company]
+            company = [*company, *(kept[m] for m in more)]
+            room = capacity - sizes[i] - sum(sizes[left[1 + c]] for c in company)
+        chosen = {0, *(1 + c for c in company)}
+        if room <= tight:
+            for k in chosen:
+                bins[left[k]] = n_bins
+            if room:
+                insort(rooms, (room, n_bins))
+            n_bins += 1
+        else:
+            loose += [left[k] for k in sorted(chosen)]
+        left = [x for k, x in enumerate(left) if k not in chosen]
+    return best_fit(sizes, sorted(loose, key=lambda i: -sizes[i]), capacity, bins, rooms, n_bins)
+
+
 class Packing:
     """Bins of all items with the fill of each bin."""
 
@@ -79,9 +152,9 @@ def crossover(a: Packing, b: Packing, sizes: np.ndarray, plain: list[int], capac
     injected = mask[b.bins]
     hit = np.zeros(len(a.fill), dtype=bool)
     hit[a.bins[injected]] = True
-    # Bins of the receiver that are clearly underfilled are opened as well, so that they can be filled up.
-    loose = np.argsort(a.fill, kind="stable")[: 1 + len(a.fill) // 50]
-    hit[loose] = True
+    # The least filled bins of the receiver are opened as well, so that their items find better company.
+    loose = np.argsort(a.fill, kind="stable")[: 1 + int(len(a.fill) * OPENED * rng.random())]
+    hit[loose[a.fill[loose] < capacity]] = True
     displaced = np.flatnonzero(hit[a.bins] & ~injected)
     bins = a.bins.copy()
     n = len(a.fill)
@@ -96,15 +169,21 @@ def crossover(a: Packing, b: Packing, sizes: np.ndarray, plain: list[int], capac
         insort(rooms, (int(capacity - b.fill[c]), int(renamed[c])))
     order = displaced[np.argsort(-sizes[displaced], kind="stable")].tolist()
     out = bins.tolist()
-    best_fit(plain, order, capacity, out, rooms, n)
+    refill(plain, order, capacity, out, rooms, n)
     return Packing(np.array(out, dtype=np.int64), sizes, capacity)
 
 
 def evolve(sizes: np.ndarray, capacity: int, seed: list[int], elites: list[np.ndarray]) -> Packing:
-    """The best packing of an island's population after its crossovers."""
+    """The best packing of an island's population after its crossovers.
+
+    A population starts with best fit by falling sizes. It ends as soon as no packing can have fewer bins.
+    """
     rng = np.random.default_rng(seed)
-    plain = sizes.tolist()
+    plain, least = sizes.tolist(), -(-int(sizes.sum()) // capacity)
     group = [Packing(e, sizes, capacity) for e in elites] or [first_packing(sizes, capacity, rng, 0.0)]
+    best = max(group, key=lambda p: p.fitness)
+    if len(best.fill) <= least:
+        return best
     while len(group) < POPULATION:
         group.append(first_packing(sizes, capacity, rng, 0.05 + 0.3 * rng.random()))
     for _ in range(CROSSOVERS):
@@ -114,6 +193,8 @@ def evolve(sizes: np.ndarray, capacity: int, seed: list[int], elites: list[np.nd
         worst = min(range(len(group)), key=lambda k: group[k].fitness)
         if child.fitness > group[worst].fitness:
             group[worst] = child
+        if len(child.fill) <= least:
+            break
     return max(group, key=lambda p: p.fitness)
 
 
@@ -135,7 +216,19 @@ def _second_round(rows: pd.DataFrame) -> pd.DataFrame:
     elites = [g["bin"].to_numpy(dtype=np.int64) for _, g in rows.groupby("origin")]
     own = rows[rows["origin"] == rows["origin"][0]].reset_index(drop=True)
     best = evolve(own["tokens"].to_numpy(dtype=np.int64), capacity, [capacity, block, island, 2], elites)
-    return own[_KEYS].assign(bin=best.bins, fitness=best.fitness)
+    loose = np.zeros(len(best.fill), dtype=bool)
+    loose[np.argsort(best.fill, kind="stable")[: max(1, int(len(best.fill) * LOOSE))]] = True
+    loose &= best.fill < capacity
+    return own[_KEYS].assign(bin=best.bins, fitness=best.fitness, loose=loose[best.bins])
+
+
+def _across_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+    """The loose containers of some blocks, packed anew; the packing they come with is the first elite."""
+    rows = rows.sort_values(["block", "bin", "doc_id", "piece"], ignore_index=True)
+    capacity, joined = int(rows["capacity"][0]), int(rows["joined"][0])
+    own = rows.groupby(["block", "bin"]).ngroup().to_numpy(dtype=np.int64)
+    best = evolve(rows["tokens"].to_numpy(dtype=np.int64), capacity, [capacity, joined, 3], [own])
+    return rows[["container_kind", "doc_id", "piece", "tokens", "capacity", "joined"]].assign(bin=best.bins)
 
 
 def sized_texts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -173,19 +266,40 @@ def pack(sizes: DataFrame, kinds: DataFrame, islands: int = ISLANDS) -> DataFram
     first = rest.groupBy(*group).applyInPandas(_first_round, _ROUND_1)
     onward = F.array_distinct(F.array(F.col("origin"), F.pmod(F.col("origin") + 1, F.lit(islands))))
     moved = first.withColumnRenamed("island", "origin").withColumn("island", F.explode(onward))
-    second = moved.groupBy(*group).applyInPandas(_second_round, _ROUND_1 + ", fitness double")
+    second = moved.groupBy(*group).applyInPandas(_second_round, _ROUND_1 + ", fitness double, loose boolean")
     top = F.max(F.struct("fitness", (-F.col("island")).alias("i"))).over(W.partitionBy("container_kind", "capacity", "block"))
     best = second.withColumn("top", top).filter("island = -top.i")
-    shared = best.select("container_kind", F.concat_ws("-", "container_kind", "block", "bin").alias("container_id"), "doc_id", "piece", "tokens", "capacity")
+    name = lambda *parts: F.concat_ws("-", "container_kind", *parts).alias("container_id")
+    if blocks > 1:
+        best = cut(best)
+        joined = best.filter("loose").withColumn("joined", F.floor(F.col("block") / JOINED_BLOCKS)).select("container_kind", "capacity", "joined", "block", "bin", "doc_id", "piece", "tokens")
+        schema = "container_kind string, doc_id long, piece long, tokens long, capacity long, joined long, bin long"
+        again = joined.groupBy("container_kind", "capacity", "joined").applyInPandas(_across_blocks, schema)
+        alone = alone.unionByName(again.select("container_kind", name(F.lit("joined"), "joined", "bin"), "doc_id", "piece", "tokens", "capacity"))
+        best = best.filter("NOT loose")
+    shared = best.select("container_kind", name("block", "bin"), "doc_id", "piece", "tokens", "capacity")
     out = alone.unionByName(shared)
     return out.select("container_kind", "container_id", "doc_id", "piece", (F.col("piece") * F.col("capacity")).alias("token_start"), "tokens")
 
 
+def _best_fit_only(rows: pd.DataFrame) -> pd.DataFrame:
+    capacity = int(rows["capacity"].iloc[0])
+    packed = first_packing(rows["tokens"].to_numpy(dtype=np.int64), capacity, np.random.default_rng(0), 0.0)
+    return pd.DataFrame({"container_kind": [rows["container_kind"].iloc[0]], "bins": [len(packed.fill)]})
+
+
 def fill_report(packed: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Per kind: containers, tokens, share of the room in use, and the least possible number of containers."""
+    """Per kind: containers, tokens, share of the room in use, the least possible number of containers, and
+    the number that best fit by falling size alone needs (in blocks of the same number of items)."""
+    packed = cut(packed)
+    k = kinds.groupBy("container_kind").agg(F.max("capacity_tokens").cast("bigint").alias("capacity_tokens"))
     c = packed.groupBy("container_kind", "container_id").agg(F.sum("tokens").alias("t")).groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("t").alias("tokens"))
-    k = kinds.groupBy("container_kind").agg(F.max("capacity_tokens").alias("capacity_tokens"))
-    return c.join(k, "container_kind").withColumns({
+    blocks = max(1, round(packed.filter("piece = 0").select("doc_id").distinct().count() / BLOCK_ITEMS))
+    items = packed.join(F.broadcast(k), "container_kind").select("container_kind", F.col("capacity_tokens").alias("capacity"), "tokens", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(blocks)).alias("block"))
+    full = items.filter("tokens = capacity").groupBy("container_kind").agg(F.count("*").alias("bins"))
+    plain = items.filter("tokens < capacity").groupBy("container_kind", "capacity", "block").applyInPandas(_best_fit_only, "container_kind string, bins long")
+    plain = full.unionByName(plain).groupBy("container_kind").agg(F.sum("bins").alias("best_fit_containers"))
+    return c.join(k, "container_kind").join(plain, "container_kind").withColumns({
         "fill": F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")),
         "least_containers": F.ceil(F.col("tokens") / F.col("capacity_tokens")),
     })

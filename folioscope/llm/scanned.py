@@ -119,7 +119,8 @@ def _value(token: Column) -> Column:
 
 def _near(a: Column, b: Column, least: int = 1) -> Column:
     room = F.greatest(F.lit(least), F.floor(F.greatest(F.length(a), F.length(b)) * HEAD_DIFFERENCE)).cast("int")
-    return F.coalesce((F.abs(F.length(a) - F.length(b)) <= room) & (F.levenshtein(a, b) <= room), F.lit(False))
+    # Beyond ``room`` the distance is not worked out (-1).
+    return F.coalesce((F.abs(F.length(a) - F.length(b)) <= room) & (F.call_function("levenshtein", a, b, room) >= 0), F.lit(False))
 
 
 def _lettered(text: Column) -> Column:
@@ -167,7 +168,7 @@ def _recurring_afar(lone: DataFrame) -> DataFrame:
     keys = F.when(F.size("words") == 1, _deletions(F.col("x"), twice=False)).otherwise(F.transform(F.array_distinct(F.concat(F.array("x"), less)), lambda t: F.xxhash64(t)))
     rows = lone.withColumn("key", F.explode(F.array_distinct(keys))).drop("x", "words")
     by = ["tbl", "mets_id", "side", "at", "key"]
-    block = rows.groupBy(*by, "block").agg(F.count_distinct("page_no").alias("n"))
+    block = rows.groupBy(*by, "block").agg(F.count("*").alias("n"))  # a page has a place and key once
     often = block.groupBy(*by).agg(F.sum("n").alias("n")).filter(F.col("n") >= FAR_PAGES).select(*by)
     often = block.select(*by, "block").join(often, by)
     return rows.join(often, [*by, "block"], "left_semi").select(*_PAGE, F.concat("side", "at").alias("place")).groupBy(*_PAGE).agg(F.collect_set("place").alias("afar"))
@@ -219,10 +220,12 @@ def page_furniture(pages: DataFrame) -> DataFrame:
         # Next to a number may stand the text's own line, so what meets it must recur on two scans at least.
         met = lambda cond: F.exists(f"{c}_like", lambda x: cond(x) & (~x["i"] | (F.size(f"{c}_like") >= 2)))  # noqa: B023, E731
         pages = pages.withColumns({f"{c}_before": met(lambda x: x["p"] < F.col("page_no")), f"{c}_after": met(lambda x: x["p"] > F.col("page_no"))})
+        outside = F.col(f"{c}_before") | F.col(f"{c}_after") | (F.col("top_no") if c == "head" else F.col("lz_whole_no") | F.col("ly_whole_no"))
         for k in range(2):
             t = F.get(f"{c}_more", F.lit(k))["text"]
             times = F.size(F.filter("around", lambda x: other(x) & _near(t, F.get(x[f"{c}_more"], F.lit(k)))))  # noqa: B023
-            pages = pages.withColumn(f"{c}_more_{k}", F.when(_lettered(t), times >= 2).otherwise(F.lit(False)))
+            pages = pages.withColumn(f"{c}_more_{k}", F.when(outside & _lettered(t), times >= 2).otherwise(F.lit(False)))
+            outside = F.col(f"{c}_more_{k}")
     earlier = F.size(F.filter("around", lambda x: (x["page_no"] < F.col("page_no")) & (x["page_no"] >= F.col("page_no") - 2) & x["head"].isNotNull() & ~x["head_in"]))
     pages = cut(pages.withColumn("earlier", F.when(F.col("head").isNotNull(), earlier).otherwise(0)).drop("around", "head_like", "foot_like"))
 

@@ -28,11 +28,25 @@ def test_mixture_shares_repeats_and_order(spark):
     assert [r[2] for r in rows] == sorted(r[2] for r in rows)
     half = rows[: len(rows) // 2]
     assert abs(sum(t for s, t, _ in half if s == "a") / sum(t for _, t, _ in half) - 2 / 3) < 0.03
-    m.bits = 4
-    assert {(r.doc_id, r.copy) for r in m.queued().collect()} == {(r.doc_id, r["copy"]) for r in m.rows().collect()}
+    small = mixing.Mixture(spark.createDataFrame(docs, "doc_id long, source string, tokens long"), targets, budget_tokens=4000)
+    for x in (m, small):  # the same records in the same order, however many buckets there are
+        chosen = []
+        for x.bits in (0, 2, 4):
+            chosen.append(sorted((r.doc_id, r["copy"], r.finish) for r in x.queued().collect()))
+        assert chosen[0] == chosen[1] == chosen[2]
     assert m.queued().groupBy("doc_id").count().agg(F.max("count")).collect()[0][0] == 3
 
 
+def test_mixture_budget_is_in_tokens(spark):
+    docs = spark.createDataFrame([(i, "a", 10) for i in range(3000)] + [(10_000 + i, "b", 10) for i in range(100)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2), ("c", 0.5, 1)], "source string, target_share double, max_repeats int")
+    for asked, a, b in ((1000, 500, 500), (20_000, 18_000, 2_000), (32_000, 30_000, 2_000), (90_000, 30_000, 2_000)):
+        m = mixing.Mixture(docs, targets, budget_tokens=asked)
+        got = {r.source: r for r in m.shares().collect()}
+        assert abs(got["a"].tokens - a) <= 10 and abs(got["b"].tokens - b) <= 10 and abs(m.budget - min(asked, 32_000)) < 1
+        assert got["c"].reason == "no tokens" and got["a"].reason is None and got["b"].reason == (None if asked == 1000 else "ran out")
+
+
 def test_mixture_without_rows(spark):
     m = mixing.Mixture(spark.createDataFrame([], "doc_id long, source string, tokens long"), spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int"))
     assert m.rows().count() == 0 and m.shares().collect()[0].actual_share == 0.0
@@ -56,6 +70,39 @@ def test_packing_keeps_every_token(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, tokens long"), kinds).count() == 0
 
 
+def triplets(n, rng):
+    """Sizes of which three fill a container of 1000 exactly, n times: best fit by falling size fails on them."""
+    a = rng.integers(380, 490, n)
+    b = np.array([rng.integers(251, (1000 - x) // 2 + 1) for x in a])
+    return rng.permutation(np.concatenate([a, b, 1000 - a - b]))
+
+
+def test_genetic_packing_beats_best_fit():
+    for n in (60, 300):
+        sizes = triplets(n, np.random.default_rng(n))
+        plain = len(packing.first_packing(sizes, 1000, np.random.default_rng(0), 0.0).fill)
+        best = packing.evolve(sizes, 1000, [1, 2], [])
+        assert best.fill.max() <= 1000 and best.fill.sum() == sizes.sum()
+        assert n <= len(best.fill) < plain and len(best.fill) - n < 0.7 * (plain - n)
+
+
+def test_loose_containers_are_packed_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ITEMS", 50)
+    sizes = triplets(200, np.random.default_rng(7)).tolist() + [7] * 200
+    df = spark.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "doc_id long, tokens long")
+    kinds = spark.createDataFrame([("k", 1000), ("wide", 20_000)], "container_kind string, capacity_tokens int")
+    rows = packing.pack(df, kinds).collect()
+    for kind, capacity in (("k", 1000), ("wide", 20_000)):
+        fill = {}
+        for r in rows:
+            if r.container_kind == kind:
+                fill[r.container_id] = fill.get(r.container_id, 0) + r.tokens
+        assert sorted(r.doc_id for r in rows if r.container_kind == kind) == list(range(800)) and max(fill.values()) <= capacity
+        assert capacity == 1000 or len(fill) <= -(-sum(sizes) // capacity) + 1
+    report = {r.container_kind: r for r in packing.fill_report(packing.pack(df, kinds), kinds).collect()}
+    assert report["k"].containers < report["k"].best_fit_containers and report["wide"].containers < report["wide"].best_fit_containers
+
+
 def test_crossover_is_a_packing():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 40, 200)
