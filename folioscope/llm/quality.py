@@ -1,13 +1,15 @@
 """Text statistics of documents and the verdict whether a document is running prose.
 
 The statistics of a document come in one pass over its whole text. Gradient-boosted trees are
-trained on documents that simple rules label with confidence (weak labels): prose by its whole
-sentences, structural junk by its lines, signs and unknown words. The trees' margins are then
-calibrated to probabilities on the hand-checked sample, which is used for nothing else.
-
-Sampling bounds: at most ``TRAIN_ROWS`` weakly labelled documents (those with the least hash of
-their id) and ``CALIBRATION_ROWS`` labelled ones reach the driver, as numbers only. Statistics and
-verdicts cover all documents.
+trained on documents that several simple rules label by a clear majority (weak labels: vocabulary,
+signs, digits, lines, length). The share of whole sentences, which is what a verdict is about, has no
+vote there; the trees find out by themselves what it tells. The trees' margins are then calibrated to
+probabilities on the hand-checked sample, which is used for nothing else; ``quality_report`` tells on
+its held-out halves how right they are.
+
+Sampling bounds: about ``TRAIN_ROWS`` documents at most (those with the least hash of their id) and
+``CALIBRATION_ROWS`` labelled ones reach the driver, as numbers only. Statistics and verdicts cover
+all documents.
 """
 
 from __future__ import annotations
@@ -137,15 +139,22 @@ def document_statistics(documents: DataFrame, lexicon: DataFrame, text: str = "t
     )
 
 
+#: Weak rules for prose: a statistic, the value from which it speaks for prose, and its votes.
+PROSE_RULES = (("common_ratio", 0.3, 2), ("words_per_line", 5.0, 1), ("words", 20.0, 1))
+#: Weak rules for structural junk, from a value on and up to a value. Known words, few digits or few signs say
+#: nothing for prose, since lists of words have them as well. ``sentence_share`` has no vote: it is the trees' to use.
+JUNK_FROM = (("structural_lines", 0.5, 1), ("digit_ratio", 0.15, 1), ("symbol_ratio", 0.3, 1), ("marks_per_word", 0.6, 1), ("mean_word_length", 8.0, 1))
+JUNK_UP_TO = (("common_ratio", 0.15, 2), ("known_ratio", 0.5, 1), ("words_per_line", 2.5, 2), ("words", 4.0, 2))
+#: Votes by which one side must lead.
+LEAD = 2
+
+
 def weak_labels(x: np.ndarray) -> np.ndarray:
-    """1 prose, 0 structural junk, -1 undecided: the rules' majority, two votes ahead."""
+    """1 prose, 0 structural junk, -1 undecided: the side that leads by ``LEAD`` votes or more."""
     f = {name: x[:, i] for i, name in enumerate(FEATURES)}
-    votes = np.zeros(len(x))
-    votes += np.where(f["sentence_share"] >= 0.55, 2, np.where(f["sentence_share"] <= 0.45, -2, 0))
-    votes += np.where((f["common_ratio"] > 0.2) & (f["known_ratio"] > 0.6), 1, np.where(f["common_ratio"] < 0.08, -1, 0))
-    votes += np.where(f["structural_lines"] > 0.6, -1, 0) + np.where(f["digit_ratio"] > 0.2, -1, 0) + np.where(f["symbol_ratio"] > 0.35, -1, 0)
-    votes += np.where(f["words"] < _MIN_WORDS, -2, 0) + np.where(f["known_ratio"] < 0.3, -1, 0)
-    return np.where(votes >= 2, 1, np.where(votes <= -2, 0, -1))
+    votes = sum(np.where(f[n] >= v, k, 0) for n, v, k in PROSE_RULES)
+    votes = votes - sum(np.where(f[n] >= v, k, 0) for n, v, k in JUNK_FROM) - sum(np.where(f[n] <= v, k, 0) for n, v, k in JUNK_UP_TO)
+    return np.where(votes >= LEAD, 1, np.where(votes <= -LEAD, 0, -1))
 
 
 class BoostedTrees:
@@ -227,28 +236,78 @@ def calibration(margin: np.ndarray, y: np.ndarray, noise: float = 0.01, steps: i
     return (float(ab[0]), float(ab[1])) if ab[0] > 0 else (1.0, 0.0)
 
 
-def _sample(rows: DataFrame, key: str, bound: int, *more: str) -> np.ndarray:
-    """About ``bound`` rows at most, those with the least hash of their key; only they reach the driver."""
+def _bounded(rows: DataFrame, key: str, bound: int) -> DataFrame:
+    """About ``bound`` rows at most: those with the least hash of their key."""
     n = rows.count()
-    if n > bound:
-        rows = rows.filter(F.xxhash64(F.col(key)) < F.lit(int(-(2**63) + 2**64 * bound / n)))
-    return rows.select(*FEATURES, *more).toPandas().to_numpy(dtype=float)
+    return rows.filter(F.xxhash64(F.col(key)) < F.lit(int(-(2**63) + 2**64 * bound / n))) if n > bound else rows
 
 
-def train(stats: DataFrame, labels: DataFrame, key: str = "doc_id") -> Callable[[np.ndarray], np.ndarray]:
-    """A function from statistics to the probability of prose.
+def _numbers(rows: DataFrame, *more: str) -> np.ndarray:
+    return rows.select(*FEATURES, *more).toPandas().to_numpy(dtype=float).reshape(-1, len(FEATURES) + len(more))
+
+
+def trees(stats: DataFrame, key: str = "doc_id") -> BoostedTrees:
+    """Trees fitted on the weakly labelled among about ``TRAIN_ROWS`` documents."""
+    sample = _numbers(_bounded(stats, key, TRAIN_ROWS))
+    weak = weak_labels(sample)
+    return BoostedTrees().fit(sample[weak >= 0], weak[weak >= 0].astype(float))
+
+
+def checked_sample(stats: DataFrame, labels: DataFrame, key: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
+    """Statistics of the hand-checked documents and whether each is prose, in the order of their ids.
 
     ``labels`` has (doc_id, doc_kind); a document labelled more than once counts with its majority,
-    and not at all on a tie. Without usable labels the margins stay uncalibrated.
+    and not at all on a tie. The labels are bounded before they meet the documents.
     """
-    sample = _sample(stats, key, TRAIN_ROWS)
-    weak = weak_labels(sample) if len(sample) else np.zeros(0)
-    model = BoostedTrees().fit(sample[weak >= 0], weak[weak >= 0].astype(float))
     prose = F.avg((F.col("doc_kind") == "prose").cast("int"))
     majority = labels.filter("doc_kind IS NOT NULL").groupBy(key).agg(prose.alias("_prose")).filter("_prose <> 0.5")
-    checked = _sample(stats.join(majority, key), key, CALIBRATION_ROWS, "_prose")
-    a, b = calibration(model.margin(checked[:, :-1]), (checked[:, -1] > 0.5).astype(float)) if len(checked) else (1.0, 0.0)
-    return lambda x: 1 / (1 + np.exp(-np.clip(a * model.margin(x) + b, -30, 30)))
+    rows = _numbers(stats.join(F.broadcast(_bounded(majority, key, CALIBRATION_ROWS)), key).orderBy(key), "_prose")
+    return rows[:, :-1], (rows[:, -1] > 0.5).astype(float)
+
+
+def _probability(margin: np.ndarray, a: float = 1.0, b: float = 0.0) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
+
+
+def train(stats: DataFrame, labels: DataFrame, key: str = "doc_id") -> Callable[[np.ndarray], np.ndarray]:
+    """A function from statistics to the probability of prose. Without usable labels the margins stay uncalibrated."""
+    model = trees(stats, key)
+    a, b = calibration(model.margin((checked := checked_sample(stats, labels, key))[0]), checked[1])
+    return lambda x: _probability(model.margin(x), a, b)
+
+
+REPORT = "model string, documents long, accuracy double, brier double, probability double, share_prose double"
+
+
+def quality_report(documents: DataFrame, labels: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:
+    """How right the verdicts are on the hand-checked sample (model, documents, accuracy, brier, probability, share_prose).
+
+    Rows ``threshold <statistic>`` give the best threshold of a single statistic, chosen on the sample
+    itself; ``trees`` the uncalibrated trees; ``calibrated`` the calibration, each half of the sample
+    being judged by the other; ``reliability`` tells for a tenth of the probabilities its mean and the
+    share of prose. Errors of the labels count against all of them.
+    """
+    rows = documents.select(key, "text").filter(F.col(key).isNotNull()).dropDuplicates([key])
+    stats = cut(document_statistics(rows, lexicon))
+    x, y = checked_sample(stats, labels, key)
+    out: list[tuple] = []
+    if len(y):
+        model = trees(stats, key)
+        for j, name in enumerate(FEATURES):
+            order = np.argsort(x[:, j], kind="stable")
+            last = np.append(np.diff(x[order, j]) > 0, True)
+            below = np.cumsum(1 - y[order]) + (y.sum() - np.cumsum(y[order]))  # right if all up to here are no prose
+            right = np.append(np.concatenate([below[last], len(y) - below[last]]), max(y.sum(), len(y) - y.sum()))
+            out.append((f"threshold {name}", len(y), float(right.max() / len(y)), None, None, None))
+        margin, half = model.margin(x), np.arange(len(y)) % 2
+        p = np.zeros(len(y))
+        for h in (0, 1):
+            p[half == h] = _probability(margin[half == h], *calibration(margin[half != h], y[half != h]))
+        for name, q in (("trees", _probability(margin)), ("calibrated", p)):
+            out.append((name, len(y), float(((q >= 0.5) == (y > 0)).mean()), float(((q - y) ** 2).mean()), None, None))
+        tenth = np.minimum((p * 10).astype(int), 9)
+        out += [("reliability", int((tenth == t).sum()), None, None, float(p[tenth == t].mean()), float(y[tenth == t].mean())) for t in np.unique(tenth)]
+    return stats.sparkSession.createDataFrame(out, REPORT)
 
 
 def document_quality(documents: DataFrame, labels: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -64,6 +64,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_quality(spark, sf_dir).filter("verdict <> 'prose'").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_paragraphs, p4_found, p4_normalised, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_quality)}
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How right the verdicts are on the hand-checked sample."""
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_label"), table(spark, sf_dir, "lexicon"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_paragraphs, p4_found, p4_normalised, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_quality, p8_report)}
 
 ORACLES: dict[str, str] = {}

@@ -139,3 +139,20 @@ def test_trees_held_out_accuracy():
     a, b = quality.calibration(m.margin(x[3000:]), y[3000:])
     assert a > 0 and np.isfinite([a, b]).all()
     assert quality.BoostedTrees().fit(x[:0], y[:0]).margin(x[:2]).tolist() == [0, 0]
+
+
+def test_weak_labels_need_no_sentence_share():
+    common, known = frozenset({"the", "was", "in", "and", "at", "of"}), frozenset(w for _, w, _ in LEX)
+    x = np.array([quality.text_statistics(t, common, known) for t in (PROSE * 3, "mill\t1\t-\n" * 9, "", "house mill door man " * 9)])
+    assert quality.weak_labels(x).tolist() == [1, 0, 0, -1]  # the rules leave a line of bare nouns undecided
+    x[:, quality.FEATURES.index("sentence_share")] = 0.5
+    assert quality.weak_labels(x).tolist() == [1, 0, 0, -1]  # the rules leave a line of bare nouns undecided
+
+
+def test_quality_report(spark):
+    docs = [(i, PROSE * (1 + i % 5)) for i in range(60)] + [(100 + i, "\n".join(f"mill\t{i}.{k}\t-" for k in range(3 + i % 6))) for i in range(60)]
+    labels = [(i, "prose" if i < 60 else "table") for i in (*range(0, 60, 3), *range(100, 160, 3))]
+    args = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(LEX, "lang string, word string, is_common boolean")
+    rows = {r.model: r for r in quality.quality_report(args[0], spark.createDataFrame(labels, "doc_id long, doc_kind string"), args[1]).collect()}
+    assert rows["trees"].accuracy == rows["calibrated"].accuracy == 1.0 and rows["calibrated"].brier < 0.05 and len(rows) >= len(quality.FEATURES) + 3
+    assert quality.quality_report(args[0], spark.createDataFrame([], "doc_id long, doc_kind string"), args[1]).count() == 0
