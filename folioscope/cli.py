@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import spelling
 from .operators import geometry, reports, training_pairs
 from .operators.pairing import match_images
 from .plans.evaluation import Evaluation
@@ -37,6 +38,9 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--aggregate-by", metavar="KEYS")
     e.add_argument("--mets-file")
     e.add_argument("--weighted-mean", action="store_true")
+    e.add_argument("-x", "--extra", choices=["ignore_geometry"], help="ignore_geometry: all words of the candidates count")
+    e.add_argument("-u", "--lt-url", help="address of a spell-check service, for the measure DictLT")
+    e.add_argument("-l", "--language", default="ger", help="language of the texts for DictLT, as key of three letters")
     e.add_argument("-p", "--points", help="only words inside this polygon of the candidates count")
 
     f = sub.add_parser("frame", help="cut pages down to a polygon")
@@ -89,15 +93,26 @@ def run(argv: Sequence[str], spark: SparkSession) -> list[str]:
     ship(spark)
     if a.command == "eval":
         ev = Evaluation(spark).candidates(a.candidates).reference(a.reference).metrics(a.metrics).where(*a.filter_by).group(a.aggregate_by)
-        ev.options(weighted=a.weighted_mean, strict=a.no_outliers, form=a.utf8)
+        ev.options(weighted=a.weighted_mean, strict=a.no_outliers, form=a.utf8, ignore_geometry=a.extra == "ignore_geometry")
         if a.mets_file:
             ev.mets(a.mets_file)
         if a.points:
             ev.frame(_polygon(a.points))
+        if a.lt_url:
+            ev.spell_checker(spelling.service(a.lt_url, a.language))
         lines = []
         if a.verbosity:
-            lines += [r["line"] for r in reports.pair_lines(ev.scores()).orderBy("path_candidate").toLocalIterator()]
-        return lines + [r["line"] for r in reports.summary_lines(ev.run()).orderBy("eval_key", "part").toLocalIterator()]
+            missing = [r["path"] for r in ev.unpaired().orderBy("path").toLocalIterator()]
+            lines += [f"{len(missing)} candidates have no reference"] * bool(missing) + [f"no reference: {p}" for p in missing]
+            lines += [f"{r['path_candidate']}: {r['problem']}" for r in ev.problems().orderBy("path_candidate", "problem").toLocalIterator()]
+        if a.mets_file:
+            lines += mets.coverage_lines(ev.mets_coverage(), a.verbosity > 1)
+        scores = cut(ev.scores())
+        if a.verbosity > 1:
+            lines += [f"{r['path']} {r['line']}" for r in ev.traces().orderBy("path", "at").toLocalIterator()]
+        if a.verbosity:
+            lines += [r["line"] for r in reports.pair_lines(scores).orderBy("path_candidate").toLocalIterator()]
+        return lines + [r["line"] for r in reports.summary_lines(ev.run(scores)).orderBy("eval_key", "part").toLocalIterator()]
     if a.command == "frame":
         pieces = cut(layout.read_pieces(layout.files(spark, a.input)))
         framed = geometry.cut_to_frame(pieces.filter("error IS NULL"), _polygon(a.points))

@@ -1,11 +1,13 @@
 """Similarity of a reference and a candidate, as percentages without rounding.
 
 Measures over characters and token sets are built-in expressions. Only the edit distance of token
-sequences needs Python: it runs bit-parallel on whole integers, a batch at a time.
+sequences, and of characters in long texts, needs Python: it runs bit-parallel on whole integers, a
+batch at a time.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -16,10 +18,26 @@ from pyspark.sql import types as T
 from . import text as tx
 
 
-def character_similarity(reference: Column, candidate: Column) -> Column:
-    """100 less the edit distance relative to the longer text; two empty texts are equal."""
+#: Product of two lengths from which the distance of characters is worked out bit-parallel.
+LONG = 1_000_000
+
+
+def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else sequence_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+
+
+def character_similarity(reference: Column, candidate: Column, long: bool = False) -> Column:
+    """100 less the edit distance relative to the longer text; two empty texts are equal.
+
+    ``long`` is for texts of pages: pairs whose lengths multiply to ``LONG`` or more leave the built-in
+    function, whose time grows with that product, for the bit-parallel one.
+    """
     most = F.greatest(F.length(reference), F.length(candidate))
-    return F.when(most == 0, 100.0).otherwise(100.0 * (1 - F.levenshtein(reference, candidate) / most))
+    distance = F.levenshtein(reference, candidate)
+    if long:
+        big = F.length(reference).cast("bigint") * F.length(candidate) >= LONG
+        distance = F.when(big, F.pandas_udf(_distances, T.LongType())(F.when(big, reference), F.when(big, candidate))).otherwise(distance)
+    return F.when(most == 0, 100.0).otherwise(100.0 * (1 - distance / most))
 
 
 def character_distance(reference: Column, candidate: Column) -> Column:
@@ -27,9 +45,9 @@ def character_distance(reference: Column, candidate: Column) -> Column:
     return 1 - character_similarity(reference, candidate) / 100
 
 
-def letter_similarity(reference: Column, candidate: Column) -> Column:
+def letter_similarity(reference: Column, candidate: Column, long: bool = False) -> Column:
     """``character_similarity`` of letters only."""
-    return character_similarity(tx.letters(reference), tx.letters(candidate))
+    return character_similarity(tx.letters(reference), tx.letters(candidate), long)
 
 
 def sequence_distance(a: Sequence, b: Sequence) -> int:
@@ -54,15 +72,29 @@ def sequence_distance(a: Sequence, b: Sequence) -> int:
     return score
 
 
-def word_similarity(reference: Column, candidate: Column) -> Column:
-    """100 less the edit distance of the token sequences relative to the longer one."""
+def _token_distances(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    rows = []
+    for x, y in zip(a, b, strict=True):
+        if x is None or y is None:
+            rows.append((None, None, None, None))
+            continue
+        r, c = x.split(), y.split()
+        odd = Counter(r)
+        odd.subtract(c)
+        rows.append((sequence_distance(r, c), sum(map(abs, odd.values())), len(r), len(c)))
+    return pd.DataFrame(rows, columns=["words", "odd", "n_r", "n_c"], dtype="Int64")
+
 
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else sequence_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+def token_distances(reference: Column, candidate: Column) -> Column:
+    """Struct (words, odd, n_r, n_c): edit distance of the token sequences, tokens without a partner, tokens of both texts."""
+    return F.pandas_udf(_token_distances, "words long, odd long, n_r long, n_c long")(reference, candidate)
 
-    r, c = tx.tokens(reference), tx.tokens(candidate)
-    most = F.greatest(F.size(r), F.size(c))
-    return F.when(most == 0, 100.0).otherwise(100.0 * (1 - F.pandas_udf(distance, T.LongType())(r, c) / most))
+
+def word_similarity(reference: Column, candidate: Column, distances: Column | None = None) -> Column:
+    """100 less the edit distance of the token sequences relative to the longer one."""
+    d = token_distances(reference, candidate) if distances is None else distances
+    most = F.greatest(d["n_r"], d["n_c"])
+    return F.when(most == 0, 100.0).otherwise(100.0 * (1 - d["words"] / most))
 
 
 def bag_similarity(pairs: DataFrame, key: str, reference: str, candidate: str) -> DataFrame:
@@ -76,14 +108,11 @@ def bag_similarity(pairs: DataFrame, key: str, reference: str, candidate: str) -
     return both.join(odd, key, "left").select(key, value.alias("value"), "n_ref")
 
 
-def bag_value(reference: Column, candidate: Column) -> Column:
-    """``bag_similarity`` within a row, for texts of a page's size: sorted tokens are merged by their count."""
-    r, c = tx.tokens(reference), tx.tokens(candidate)
-    words = F.array_distinct(F.concat(r, c))
-    count = lambda a, t: F.size(F.filter(a, lambda x: x == t))
-    odd = F.aggregate(words, F.lit(0), lambda acc, t: acc + F.abs(count(r, t) - count(c, t)))
-    n = F.size(r) + F.size(c)
-    return F.when(n == 0, 100.0).otherwise(100.0 * (1 - odd / n))
+def bag_value(reference: Column, candidate: Column, distances: Column | None = None) -> Column:
+    """``bag_similarity`` within a row: the tokens of each pair are counted once."""
+    d = token_distances(reference, candidate) if distances is None else distances
+    n = d["n_r"] + d["n_c"]
+    return F.when(n == 0, 100.0).otherwise(100.0 * (1 - d["odd"] / n))
 
 
 def _terms(x: Column, stop: list[str]) -> Column:

@@ -69,15 +69,21 @@ def vertex_mean(poly: Column) -> Column:
 
 
 def centroid(poly: Column) -> Column:
-    """Struct (x, y): the centre of the polygon's area; the mean of its vertices where it has none."""
-    n = F.size(poly)
+    """Struct (x, y): the centre of the polygon's area; the mean of its vertices where it has none.
+
+    Boxes of four corners in order, as most words have, need no sum over edges.
+    """
+    n, at = F.size(poly), lambda i, c: F.get(poly, F.lit(i))[c]
+    turned = [(at(0, a) == at(1, a)) & (at(2, a) == at(3, a)) & (at(1, b) == at(2, b)) & (at(3, b) == at(0, b)) for a, b in (("x", "y"), ("y", "x"))]
+    boxed = (n == 4) & (turned[0] | turned[1])
+    middle = F.struct(((at(0, "x") + at(2, "x")) / 2).alias("x"), ((at(0, "y") + at(2, "y")) / 2).alias("y"))
     edges = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.struct(F.get(poly, i).alias("p"), F.get(poly, (i + 1) % F.greatest(n, F.lit(1))).alias("q")))
     cross = lambda e: e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"]
     total = lambda f: F.aggregate(edges, F.lit(0.0), lambda a, e: a + f(e))
     area2 = F.nullif(total(cross), F.lit(0.0))
     mean = lambda c: total(lambda e: (e["p"][c] + e["q"][c]) * cross(e)) / (3 * area2)
     flat = vertex_mean(poly)
-    return F.when(n > 0, F.struct(F.coalesce(mean("x"), flat["x"]).alias("x"), F.coalesce(mean("y"), flat["y"]).alias("y")))
+    return F.when(boxed, middle).when(n > 0, F.struct(F.coalesce(mean("x"), flat["x"]).alias("x"), F.coalesce(mean("y"), flat["y"]).alias("y")))
 
 
 def convex_hull(points: Sequence[tuple[float, float]]) -> list[tuple[float, float]]:
@@ -125,26 +131,68 @@ def words_in_frame(pieces: DataFrame, frame: Sequence[tuple[float, float]]) -> D
     return pieces.filter(keep)
 
 
-def cut_to_frame(pieces: DataFrame, frame: Sequence[tuple[float, float]], key: str = "path") -> DataFrame:
+def words_in_boxes(pieces: DataFrame, boxes: DataFrame, key: str = "path") -> DataFrame:
+    """Pieces without the words whose centroid lies outside their page's own box.
+
+    ``boxes`` has one row per page (key, box); a page without a box, or with a null one, stays whole.
+    """
+    b = boxes.select(key, F.col("box").alias("_box"))
+    inside = in_box(centroid(F.col("poly")), F.col("_box"))
+    return pieces.join(b, key, "left").filter((F.col("level") != "word") | F.col("_box").isNull() | inside).drop("_box")
+
+
+def boxes_of(pieces: DataFrame, *by: str) -> DataFrame:
+    """(by, minx, miny, maxx, maxy): the box around the polygons of each group."""
+    b = pieces.select(*by, box(F.col("poly")).alias("_b"))
+    return b.groupBy(*by).agg(F.min("_b.minx").alias("minx"), F.min("_b.miny").alias("miny"), F.max("_b.maxx").alias("maxx"), F.max("_b.maxy").alias("maxy"))
+
+
+def ancestors(pieces: DataFrame, key: str = "path") -> DataFrame:
+    """(key, piece_id, parent): each word with every piece above it but the page, by the pieces' ``parent_id``.
+
+    A page has few levels, so the chain is followed by at most four joins of a page's pieces.
+    """
+    up = pieces.select(key, "piece_id", "parent_id", "level")
+    step = up.filter("level = 'word'").select(key, "piece_id", F.col("parent_id").alias("parent"))
+    above = up.filter("level NOT IN ('word', 'page')").select(key, F.col("piece_id").alias("parent"), F.col("parent_id").alias("next"))
+    out = None
+    for _ in range(4):
+        step = step.join(above, [key, "parent"])
+        here = step.select(key, "piece_id", "parent")
+        out = here if out is None else out.unionByName(here)
+        step = step.select(key, "piece_id", F.col("next").alias("parent"))
+    return out
+
+
+def cut_to_frame(pieces: DataFrame, frame: Sequence[tuple[float, float]], key: str = "path", parents_of: DataFrame | None = None) -> DataFrame:
     """``pieces`` cut down to a frame: words outside fall away, lines and regions without words as well,
     and what stays shrinks to the box of its words. The page itself stays as it is.
 
-    Glyphs are not supported: their presence is an error. Each level is one aggregation over the words
-    that carry the ids of their line and region.
+    Glyphs are not supported: their presence is an error. Words carry the ids of their line and region, so
+    words are rolled up to lines and lines to regions; with ``parents_of`` (see ``ancestors``) all
+    levels above the words are, also regions inside regions and tables.
     """
     p = pieces.withColumn("poly", F.when(F.col("level") == "glyph", F.raise_error(F.lit("pieces below words are not supported")).cast(POLYGON)).otherwise(F.col("poly")))
-    words = words_in_frame(p.filter("level = 'word'"), frame).withColumn("_b", box(F.col("poly")))
-    side = [F.min("_b.minx").alias("x0"), F.min("_b.miny").alias("y0"), F.max("_b.maxx").alias("x1"), F.max("_b.maxy").alias("y1")]
-
-    def shrunk(level: str, parents: DataFrame) -> DataFrame:
-        rows = p.filter(F.col("level") == level).join(parents, [key, "piece_id"])
-        return rows.withColumn("poly", box_polygon(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).select(*pieces.columns)
-
-    by = lambda col: words.filter(F.col(col).isNotNull()).groupBy(key, F.col(col).alias("piece_id")).agg(*side)
-    return (
-        p.filter("level = 'page'").unionByName(words.select(*pieces.columns))
-        .unionByName(shrunk("line", by("line_id"))).unionByName(shrunk("region", by("region_id")))
-    )
+    words = words_in_frame(p.filter("level = 'word'"), frame)
+    if parents_of is None:
+        chain = words.filter("line_id IS NOT NULL")
+        lines = boxes_of(chain, key, "line_id", "region_id")
+        above = [("line", lines, "line_id"), ("region", lines.withColumn("poly", _corners_of()).transform(boxes_of, key, "region_id"), "region_id")]
+    else:
+        above = [(level, boxes_of(words.join(parents_of, [key, "piece_id"]), key, "parent"), "parent") for level in ("line", "cell", "region", "table")]
+
+    def shrunk(level: str, boxes: DataFrame, named: str) -> DataFrame:
+        rows = p.filter(F.col("level") == level).join(boxes.filter(F.col(named).isNotNull()).select(key, F.col(named).alias("piece_id"), _corners_of().alias("_poly")), [key, "piece_id"])
+        return rows.withColumn("poly", F.col("_poly")).select(*pieces.columns)
+
+    out = p.filter("level = 'page'").unionByName(words.select(*pieces.columns))
+    for part in above:
+        out = out.unionByName(shrunk(*part))
+    return out
+
+
+def _corners_of() -> Column:
+    return box_polygon(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"))
 
 
 def change_log(before: DataFrame, after: DataFrame, key: str = "path") -> DataFrame:

@@ -36,33 +36,42 @@ def pair_by_prefix(candidates: DataFrame, references: DataFrame) -> DataFrame:
     return c.join(first, "_stem", "left").drop("_stem")
 
 
-def match_hrefs(entries: DataFrame, hrefs: DataFrame, path: str = "path_groundtruth") -> DataFrame:
-    """Entries with the first METS file (by ``ord``) whose href contains the entry's file name or is
-    contained in its path; columns ``href`` and ``ord`` are null without one.
+def _parts(text: Column, lengths: Column) -> Column:
+    """All parts of a text that have one of the lengths."""
+    fit = F.filter(lengths, lambda n: (n > 0) & (n <= F.length(text)))
+    return F.array_distinct(F.flatten(F.transform(fit, lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda at: text.substr(at, n)))))
+
+
+def _lengths(df: DataFrame, text: Column) -> DataFrame:
+    """One row: the lengths that occur, of which there are no more than a name or path is long."""
+    return F.broadcast(df.agg(F.sort_array(F.collect_set(F.length(text))).alias("_ls")))
+
 
-    Hrefs and paths end in the file name, so both meet by that name first; only what is left over is
-    compared by containment, against the distinct hrefs of the METS file.
+def href_matches(entries: DataFrame, hrefs: DataFrame, path: str = "path_groundtruth") -> DataFrame:
+    """(entry's columns, href, ord …): all hrefs that contain the entry's file name or are contained in its path.
+
+    Both directions are equi-joins: hrefs are offered under the parts of their path segments that have
+    the length of a file name, paths under their parts that have the length of an href. If both
+    sides have a column ``mets`` only hrefs of the entry's own METS file meet it.
     """
+    own = ["mets"] if "mets" in entries.columns and "mets" in hrefs.columns else []
     e = entries.withColumn("_file", file_name(F.col(path)))
-    h = hrefs.select("href", "ord").withColumn("_file", file_name(F.col("href")))
-    same = e.join(h, "_file").filter(F.col("href").contains(F.col("_file")) | F.col(path).contains(F.col("href")))
-    keys = [c for c in entries.columns]
-    best = same.groupBy(path).agg(F.min(F.struct("ord", "href")).alias("_m"))
-    rest = e.select(path, "_file").distinct().join(best.select(path), path, "left_anti").filter(F.col(path).isNotNull())
-    wide = rest.join(F.broadcast(h.select("href", "ord")), F.col("href").contains(F.col("_file")) | F.col(path).contains(F.col("href")))
-    best = best.unionByName(wide.groupBy(path).agg(F.min(F.struct("ord", "href")).alias("_m")))
-    return entries.join(best, path, "left").select(*keys, F.col("_m.href").alias("href"), F.col("_m.ord").alias("ord"))
-
-
-def coverage_counts(mapped: DataFrame, hrefs: DataFrame, expected: DataFrame) -> DataFrame:
-    """One row: mapped entries, hrefs met, expected entries without an href, hrefs without an entry."""
-    met = mapped.filter("href IS NOT NULL").select("href")
-    return (
-        mapped.agg(F.count("href").alias("mapped"))
-        .join(hrefs.join(met, "href", "left_semi").agg(F.countDistinct("href").alias("met")))
-        .join(expected.join(mapped.filter("href IS NOT NULL"), "path_groundtruth", "left_anti").agg(F.count("*").alias("missing")))
-        .join(hrefs.join(met, "href", "left_anti").agg(F.countDistinct("href").alias("unused")))
-    )
+    h = hrefs.filter("href IS NOT NULL AND href <> ''")
+    segments = h.join(_lengths(e, F.col("_file"))).withColumn("_s", F.explode(F.array_distinct(F.split("href", "/"))))
+    offered = segments.withColumn("_file", F.explode(_parts(F.col("_s"), F.col("_ls")))).drop("_s", "_ls").distinct()
+    holds = e.join(offered, [*own, "_file"]).drop("_file")
+    parts = e.drop("_file").join(_lengths(h, F.col("href"))).withColumn("href", F.explode(_parts(F.col(path), F.col("_ls")))).drop("_ls")
+    within = parts.join(h, [*own, "href"])
+    return holds.unionByName(within).distinct()
+
+
+def match_hrefs(entries: DataFrame, hrefs: DataFrame, path: str = "path_groundtruth") -> DataFrame:
+    """Entries with the first METS file reference, of either kind, in document order (by ``mets``, if ``hrefs``
+    has it, then ``ord``) that ``href_matches``; its columns are null without one."""
+    new = [c for c in ("mets", "ord", "href") if c in hrefs.columns and c not in entries.columns]
+    keys = [c for c in ("mets", path) if c in entries.columns]
+    best = href_matches(entries.select(*keys).distinct(), hrefs, path).groupBy(*keys).agg(F.min(F.struct(*new)).alias("_m"))
+    return entries.join(best, keys, "left").select(*entries.columns, *[F.col(f"_m.{c}").alias(c) for c in sorted(new, key="href ord mets".split().index)])
 
 
 def match_images(pages: DataFrame, images: DataFrame) -> DataFrame:
@@ -73,11 +82,8 @@ def match_images(pages: DataFrame, images: DataFrame) -> DataFrame:
     """
     stem = lambda c: F.regexp_extract(file_name(F.col(c)), r"\A[^.]*", 0)
     i = images.filter(file_name(F.col("path")).rlike(r"(?i)\.(?:jpe?g|tiff?|png)\z")).select(F.col("path").alias("path_image"), stem("path").alias("_stem"))
-    lengths = i.agg(F.sort_array(F.collect_set(F.length("_stem"))).alias("_ls"))
-    p = pages.withColumn("_name", file_name(F.col("path"))).join(F.broadcast(lengths))
-    parts = F.flatten(F.transform(F.filter("_ls", lambda n: (n > 0) & (n <= F.length("_name"))), lambda n: F.transform(
-        F.sequence(F.lit(1), F.length("_name") - n + 1), lambda at: F.col("_name").substr(at, n))))
-    hit = p.select("path", F.explode(F.array_distinct(parts)).alias("_stem")).join(i, "_stem")
+    p = pages.withColumn("_name", file_name(F.col("path"))).join(_lengths(i, F.col("_stem")))
+    hit = p.select("path", F.explode(_parts(F.col("_name"), F.col("_ls"))).alias("_stem")).join(i, "_stem")
     found = hit.groupBy("path").agg(F.count("*").alias("n_images"), F.min("path_image").alias("path_image"))
     return pages.join(found, "path", "left").fillna(0, ["n_images"])
 

@@ -37,6 +37,14 @@ class LayoutError(Exception):
     """A file that is no layout file, or one that breaks the rules of its format."""
 
 
+class BrokenLayout(LayoutError):
+    """A layout file that breaks the rules of its format."""
+
+    def __init__(self, kind: str, why: str):
+        super().__init__(why)
+        self.kind = kind
+
+
 def files(spark: SparkSession, folder: str, pattern: str = "*.xml", recursive: bool = True) -> DataFrame:
     """(path, content) of the files below a folder."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
@@ -219,12 +227,13 @@ def read_content(content: bytes) -> tuple[str, list[dict]]:
     kind, root = sniff(content)
     try:
         return kind, list((alto_pieces if kind == "alto" else page_pieces)(root))
-    except (TypeError, ValueError) as e:
-        raise LayoutError(f"bad number: {e}") from e
+    except (LayoutError, TypeError, ValueError) as e:
+        raise BrokenLayout(kind, str(e) if isinstance(e, LayoutError) else f"bad number: {e}") from e
 
 
 def read_pieces(rows: DataFrame) -> DataFrame:
-    """Pieces of all files in ``rows`` (path, content); unreadable files have one row with ``error``."""
+    """Pieces of all files in ``rows`` (path, content); unreadable files have one row with ``error``, and with
+    ``format`` if they are layout files that break its rules."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -233,7 +242,7 @@ def read_pieces(rows: DataFrame) -> DataFrame:
                     kind, pieces = read_content(bytes(content or b""))
                     out = [p | {"path": path, "format": kind} for p in pieces]
                 except LayoutError as e:
-                    out = [_piece(path=path, error=str(e))]
+                    out = [_piece(path=path, error=str(e), format=getattr(e, "kind", None))]
                 frame = pd.DataFrame(out, columns=_COLUMNS)
                 for c in ("region_ord", "line_ord", "word_ord"):
                     frame[c] = frame[c].astype("Int32")
@@ -259,10 +268,11 @@ def page_texts(pieces: DataFrame) -> DataFrame:
 
 
 def texts_of(rows: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
-    """(path, text): page text of layout files, and the stripped lines of all others."""
+    """(path, text): page text of layout files, and the stripped lines of files that are none. Layout files
+    that break the rules of their format have no text."""
     pieces = read_pieces(rows) if pieces is None else pieces
     pages = page_texts(pieces.filter("error IS NULL"))
-    broken = pieces.filter("error IS NOT NULL").select("path")
+    broken = pieces.filter("error IS NOT NULL AND format IS NULL").select("path")
     plain = rows.join(broken, "path", "left_semi").select("path", one_line(F.decode("content", "UTF-8")).alias("text"))
     empty = pieces.filter("error IS NULL AND level = 'page'").select("path").join(pages, "path", "left_anti").withColumn("text", F.lit(""))
     return pages.select("path", "text").unionByName(plain).unionByName(empty)
@@ -286,7 +296,8 @@ def bounding_boxes(rows: DataFrame) -> DataFrame:
 
     In this order: the file name's box; of ALTO the tag ``ulb_groundtruth_points`` (its first and
     third point), else the box of the Strings that do not start with a digit; of PAGE the lines'
-    coordinates, else the border's. Files of other kinds have a null box.
+    coordinates, else the border's. Files of other kinds have a null box. A layout file without any of
+    these, or with broken numbers, has an ``error``.
     """
 
     def boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,7 +306,7 @@ def bounding_boxes(rows: DataFrame) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
                     out.append((path, _content_box(bytes(content or b"")), None))
-                except LayoutError as e:
+                except (LayoutError, ValueError) as e:  # also numbers that are none
                     out.append((path, None, str(e)))
             yield pd.DataFrame([{"path": p, "found": b, "error": e} for p, b, e in out], columns=["path", "found", "error"])
 
@@ -316,7 +327,7 @@ def _content_box(content: bytes) -> dict | None:
             pts = [tuple(map(float, p.split(","))) for p in (tag.get("VALUE") or tag.get("LABEL") or "").split()]
             if len(pts) >= 3:
                 return dict(zip(("minx", "miny", "maxx", "maxy"), (*pts[0], *pts[2]), strict=True))
-        pts = [c for s in _all(root, "String") if s.get("CONTENT") and not s.get("CONTENT")[0].isdigit() for c in _corners(s) or ()]
+        pts = [c for s in _all(root, "String") if s.get("CONTENT", "").strip() and not s.get("CONTENT")[0].isdecimal() for c in _corners(s) or ()]
     else:
         lines = [c for t in _all(root, "TextLine") for c in _page_points(t)]
         border = [c for b in _all(root, "Border") for c in _page_points(b)]
@@ -324,5 +335,5 @@ def _content_box(content: bytes) -> dict | None:
         if not pts:
             raise LayoutError("neither lines nor a border")
     if not pts:
-        return None
+        raise LayoutError("no words to take the printed area from")
     return {"minx": min(p["x"] for p in pts), "miny": min(p["y"] for p in pts), "maxx": max(p["x"] for p in pts), "maxy": max(p["y"] for p in pts)}

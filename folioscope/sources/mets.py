@@ -1,7 +1,8 @@
 """METS files with MODS sections as small tables, and metadata of evaluation entries from them.
 
-All tables carry ``mets`` (the file's path), so that any number of METS files is read in one pass.
-``ord`` is the place in the document: first or last match is always a matter of it.
+All tables carry ``mets`` (the file's path), so that any number of METS files is read in one pass; what
+one file says is never mixed with another's. ``ord`` is the place in the document: first or last match
+is always a matter of it. An entry that several METS files name takes the first of them by path.
 """
 
 from __future__ import annotations
@@ -22,11 +23,19 @@ _HREF = f"{{{NS['xlink']}}}href"
 
 # Where the known dimensions stand in a MODS section.
 DIMENSION_PATHS = {
-    "language": ".//mods:language/mods:languageTerm", "languageTerm": ".//mods:languageTerm", "genre": ".//mods:genre",
-    "dateIssued": ".//mods:dateIssued", "dateCreated": ".//mods:dateCreated", "publisher": ".//mods:publisher", "place": ".//mods:placeTerm",
-    "title": ".//mods:titleInfo/mods:title", "author": ".//mods:name/mods:namePart", "subject": ".//mods:subject/mods:topic",
-    "classification": ".//mods:classification", "accessCondition": ".//mods:accessCondition",
-}
+    "language": ".//mods:language/mods:languageTerm[@type='code']",
+    "languageTerm": ".//mods:language/mods:languageTerm",
+    "genre": ".//mods:genre",
+    "dateIssued": ".//mods:originInfo/mods:dateIssued",
+    "dateCreated": ".//mods:originInfo/mods:dateCreated",
+    "publisher": ".//mods:originInfo/mods:publisher",
+    "place": ".//mods:originInfo/mods:place/mods:placeTerm",
+    "title": ".//mods:titleInfo/mods:title",
+    "author": ".//mods:name/mods:namePart",
+    "subject": ".//mods:subject/mods:topic",
+    "classification": ".//mods:classification",
+    "accessCondition": ".//mods:accessCondition",
+}
 
 _SCHEMA = (
     "mets string, part string, ord int, file_id string, href string, grp_use string, file_dmdid string, grp_dmdid string, kind string, div_id string, "
@@ -161,12 +170,49 @@ def with_metadata(entries: DataFrame, m: Mets, specs: list[str]) -> DataFrame:
         if column in entries.columns:
             continue
         entries = cut(entries)  # its plan is used twice below, so that it would double with every key
-        paired = match_hrefs(entries.select("path_groundtruth").distinct().filter("path_groundtruth IS NOT NULL"), known.select("href", "ord"))
-        got = paired.join(values.select("href", F.col("value").alias(column)), "href").select("path_groundtruth", column)
-        entries = entries.join(got.groupBy("path_groundtruth").agg(F.first(column, ignorenulls=True).alias(column)), "path_groundtruth", "left")
+        own = ["mets"] if "mets" in entries.columns else []
+        asked = entries.select(*own, "path_groundtruth").distinct().filter("path_groundtruth IS NOT NULL")
+        paired = match_hrefs(asked, known.select("mets", "href", "ord")).filter("href IS NOT NULL")
+        got = paired.join(values.select("mets", "href", F.col("value").alias(column)), ["mets", "href"]).select(*own, "path_groundtruth", column)
+        entries = entries.join(got, [*own, "path_groundtruth"], "left")
     return entries
 
 
+def coverage(entries: DataFrame, m: Mets) -> DataFrame:
+    """(kind, name): how evaluation entries (``path_groundtruth``) and the full-text references of METS files
+    meet. Kinds: ``mapped`` and ``missing`` entries, ``represented`` and ``unused`` references (each href of
+    a METS file once)."""
+    from ..operators.pairing import href_matches
+
+    asked = entries.select("path_groundtruth").distinct().filter("path_groundtruth IS NOT NULL")
+    refs = fulltext_refs(m.file).select("mets", "href", "ord").distinct()
+    met = cut(href_matches(asked, refs))
+    kind = lambda k, df, c: df.select(F.lit(k).alias("kind"), F.col(c).alias("name"))
+    hrefs = refs.select("mets", "href").distinct()
+    return (
+        kind("mapped", asked.join(met, "path_groundtruth", "left_semi"), "path_groundtruth").unionByName(kind("missing", asked.join(met, "path_groundtruth", "left_anti"), "path_groundtruth"))
+        .unionByName(kind("represented", hrefs.join(met, ["mets", "href"], "left_semi"), "href")).unionByName(kind("unused", hrefs.join(met, ["mets", "href"], "left_anti"), "href"))
+    )
+
+
+def coverage_lines(report: DataFrame, names: bool = False) -> list[str]:
+    """``coverage`` as lines of text: its four counts, what is missing on either side, and with ``names`` which."""
+    n = {r["kind"]: r["count"] for r in report.groupBy("kind").count().collect()}
+    count = lambda k: n.get(k, 0)
+    out = [
+        f"METS coverage: {count('mapped')}/{count('mapped') + count('missing')} evaluation items map to "
+        f"{count('represented')}/{count('represented') + count('unused')} full-text file references"
+    ]
+    if count("missing"):
+        out.append(f"{count('missing')} evaluation items are not represented by a METS full-text reference")
+    if count("unused"):
+        out.append(f"{count('unused')} METS full-text references have no evaluation item and are not counted")
+    if names:
+        said = {"missing": "evaluation item not in METS", "unused": "METS reference not evaluated"}
+        out += [f"{said[r['kind']]}: {r['name']}" for r in report.filter(F.col("kind").isin(*said)).orderBy("kind", "name").toLocalIterator()]
+    return out
+
+
 def select_hrefs(m: Mets, filters: list[str]) -> DataFrame:
     """Hrefs of full texts that satisfy all ``mods:…=…`` and ``mets:…=…`` filters, in document order."""
     from ..operators.filters import Filter, apply_filters

@@ -21,8 +21,8 @@ PAGE = """<PcGts xmlns="http://schema.primaresearch.org/PAGE/gts/pagecontent/201
 <TextRegion id="r2"><Coords points="0,50 50,50 50,70 0,70"/><TextLine id="b"><Coords points="0,50 50,50 50,70 0,70"/><TextEquiv><Unicode>line</Unicode></TextEquiv><Word id="w1"><Coords points="0,50 9,50 9,59"/><TextEquiv><Unicode>one</Unicode></TextEquiv></Word><Word id="w2"><Coords points="10,50 19,50 19,59"/><TextEquiv><Unicode>two
 more</Unicode></TextEquiv></Word></TextLine></TextRegion><TextRegion id="r3"><Coords points="0,90 5,90 5,95"/></TextRegion></Page></PcGts>"""
 METS = """<mets:mets xmlns:mets="http://www.loc.gov/METS/" xmlns:mods="http://www.loc.gov/mods/v3" xmlns:xlink="http://www.w3.org/1999/xlink">
-<mets:dmdSec ID="D1"><mets:mdWrap><mets:xmlData><mods:mods><mods:language><mods:languageTerm>ara</mods:languageTerm><mods:languageTerm>eng</mods:languageTerm></mods:language><mods:dateIssued>1867</mods:dateIssued></mods:mods></mets:xmlData></mets:mdWrap></mets:dmdSec>
-<mets:dmdSec ID="D2"><mets:mdWrap><mets:xmlData><mods:mods><mods:language><mods:languageTerm>ger</mods:languageTerm></mods:language></mods:mods></mets:xmlData></mets:mdWrap></mets:dmdSec>
+<mets:dmdSec ID="D1"><mets:mdWrap><mets:xmlData><mods:mods><mods:language><mods:languageTerm type="code">ara</mods:languageTerm><mods:languageTerm type="code">eng</mods:languageTerm><mods:languageTerm type="text">Arabic</mods:languageTerm></mods:language><mods:originInfo><mods:dateIssued>1867</mods:dateIssued></mods:originInfo><mods:relatedItem><mods:dateIssued>1999</mods:dateIssued></mods:relatedItem></mods:mods></mets:xmlData></mets:mdWrap></mets:dmdSec>
+<mets:dmdSec ID="D2"><mets:mdWrap><mets:xmlData><mods:mods><mods:language><mods:languageTerm type="code">ger</mods:languageTerm><mods:languageTerm type="text">German</mods:languageTerm></mods:language></mods:mods></mets:xmlData></mets:mdWrap></mets:dmdSec>
 <mets:fileSec><mets:fileGrp USE="fulltext" DMDID="D2"><mets:file ID="F1"><mets:FLocat xlink:href="p1.gt.xml"/></mets:file><mets:file ID="F2" DMDID="D9 D1"><mets:FLocat xlink:href="p2.gt.xml"/></mets:file><mets:file ID="F3"><mets:FLocat xlink:href="p3.gt.xml"/></mets:file></mets:fileGrp><mets:fileGrp USE="IMAGE"><mets:file ID="I1"><mets:FLocat xlink:href="p1.jpg"/></mets:file></mets:fileGrp></mets:fileSec>
 <mets:structMap TYPE="LOGICAL"><mets:div ID="L0" TYPE="volume" DMDID="D2"><mets:div ID="L1" TYPE="issue" DMDID="D1"/><mets:div ID="L2" LABEL="x" DMDID="D2"/></mets:div></mets:structMap>
 <mets:structMap TYPE="PHYSICAL"><mets:div ID="P0"><mets:div ID="P1"><mets:fptr FILEID="F1"/></mets:div></mets:div></mets:structMap>
@@ -77,6 +77,67 @@ def test_mets(spark):
     assert [r.href for r in mets.select_hrefs(m, ["mods:language=eng+ara", "mets:TYPE=issue"]).collect()] == ["p1.gt.xml", "p2.gt.xml"]
 
 
+def test_mets_values_stand_where_they_should(spark):
+    m = mets.read_mets(files(spark, m__xml=METS))
+    assert {r.href: r.value for r in mets.mods_values(m, "dateIssued").collect()} == {"p1.gt.xml": "1867", "p2.gt.xml": "1867"}
+    assert {r.href: r.value for r in mets.mods_values(m, "languageTerm").collect()}["p3.gt.xml"] == "ger+German"
+
+
+def test_several_mets_files_are_not_mixed(spark):
+    other = METS.replace('"code">ger<', '"code">rus<')
+    m = mets.read_mets(files(spark, m__xml=METS, n__xml=other))
+    assert [(r.mets, r.href) for r in mets.select_hrefs(m, ["mods:language=ger"]).collect()] == [("/d/m.xml", "p3.gt.xml")]
+    assert [(r.mets, r.href) for r in mets.select_hrefs(m, ["mods:language=rus"]).collect()] == [("/d/n.xml", "p3.gt.xml")]
+    e = spark.createDataFrame([("/x/p3.gt.xml",), ("/x/none.xml",)], "path_groundtruth string")
+    assert {r.path_groundtruth: r.mods_language for r in mets.with_metadata(e, m, ["mods:language"]).collect()} == {"/x/p3.gt.xml": "ger", "/x/none.xml": None}
+    report = mets.coverage(e, m)
+    assert {(r.kind, r.name) for r in report.collect()} == {("mapped", "/x/p3.gt.xml"), ("missing", "/x/none.xml"), ("represented", "p3.gt.xml"), ("unused", "p1.gt.xml"), ("unused", "p2.gt.xml")}
+    assert mets.coverage_lines(report)[0].startswith("METS coverage: 1/2 evaluation items map to 2/6")
+
+
+def test_first_matching_href_in_document_order(spark):
+    hrefs = spark.createDataFrame([("m", "old_p1.xml", 1), ("m", "p1.xml", 2), ("m", "x/p2.xml", 3), ("m", "p3", 4), ("m", "", 0)], "mets string, href string, ord int")
+    e = spark.createDataFrame([("/a/p1.xml",), ("/a/x/p2.xml",), ("/a/p3/q.xml",), ("/a/q.xml",), (None,)], "path_groundtruth string")
+    from folioscope.operators.pairing import match_hrefs
+
+    assert {r.path_groundtruth: (r.href, r.ord) for r in match_hrefs(e, hrefs).collect()} == {
+        "/a/p1.xml": ("old_p1.xml", 1), "/a/x/p2.xml": ("x/p2.xml", 3), "/a/p3/q.xml": ("p3", 4), "/a/q.xml": (None, None), None: (None, None)}
+
+
+def test_printed_area_of_the_reference_frames_the_candidate(spark, tmp_path):
+    from folioscope.plans.evaluation import Evaluation, register_metric
+
+    for d in ("ocr", "gt"):
+        os.makedirs(tmp_path / d)
+    noise = '<TextLine ID="l0" HPOS="0" VPOS="80" WIDTH="10" HEIGHT="10"><String ID="n1" CONTENT="margin" HPOS="150" VPOS="90" WIDTH="20" HEIGHT="9"/></TextLine>'
+    (tmp_path / "ocr/p1.xml").write_text(ALTO.replace('<TextLine ID="l1"', noise + '<TextLine ID="l1"', 1).replace('WIDTH="200"', 'WIDTH="300"'))
+    (tmp_path / "gt/p1.gt.xml").write_text(ALTO)
+    (tmp_path / "ocr/p2.txt").write_text("Haus am\nSee")
+    (tmp_path / "gt/p2.gt.txt").write_text("Haus am\nSee\n")
+    (tmp_path / "ocr/p3.xml").write_text(ALTO)
+    (tmp_path / "ocr/p4.xml").write_text(ALTO)
+    (tmp_path / "gt/p4.gt.xml").write_text(ALTO.replace('HPOS="60"', 'HPOS="x"'))
+
+    def values(ev):
+        return {r.path_candidate.rsplit("/", 1)[1]: r.value for r in ev.metrics("Ws").scores().collect()}
+
+    new = lambda: Evaluation(spark).candidates(f"{tmp_path}/ocr").reference(f"{tmp_path}/gt")
+    assert values(new()) == {"p1.xml": 100.0, "p2.txt": 100.0}
+    assert values(new().options(ignore_geometry=True)) == {"p1.xml": 80.0, "p2.txt": 100.0}
+    assert {(r.path_candidate.rsplit("/", 1)[1], r.problem.split(":")[0]) for r in new().problems().collect()} == {("p1.xml", "page dimensions differ"), ("p4.xml", "no printed area")}
+    assert [r.path.rsplit("/", 1)[1] for r in new().unpaired().collect()] == ["p3.xml"]
+    pair = Evaluation(spark).candidates(f"{tmp_path}/ocr/p1.xml").reference(f"{tmp_path}/gt/p1.gt.xml")
+    assert values(pair) == {"p1.xml": 100.0} and [r.eval_key for r in pair.run().collect()] == ["Ws@ocr"]
+    with pytest.raises(ValueError, match="single candidate"):
+        Evaluation(spark).candidates(f"{tmp_path}/ocr").reference(f"{tmp_path}/gt/p1.gt.xml").scores()
+    checked = new().metrics("DictLT,Cs").spell_checker(lambda: lambda t: t.count("am")).scores().filter("metric = 'DictLT'").collect()
+    assert {r.value for r in checked} == {75.0, 66.67}
+    register_metric("Len", "Length", lambda r, c, stop: (F.length(c) * 1.0, F.length(r)))
+    assert {r.metric for r in pair.metrics("Length,Cs").scores().collect()} == {"Len", "Cs"}
+    lines = cli.run(["eval", f"{tmp_path}/ocr", "-r", f"{tmp_path}/gt", "-vv"], spark)
+    assert "1 candidates have no reference" in lines and any("normalize_whitespace: 11 characters -> 11 characters" in x for x in lines)
+
+
 def test_commands(spark, tmp_path):
     for d in ("ocr/a", "gt/a", "img", "cut"):
         os.makedirs(tmp_path / d)
@@ -85,7 +146,7 @@ def test_commands(spark, tmp_path):
     (tmp_path / "mets.xml").write_text(METS.replace("p1.gt.xml", "p1.art.gt.xml"))
     base = ["eval", f"{tmp_path}/ocr", "-r", f"{tmp_path}/gt"]
     out = cli.run([*base, "-v", "--metrics", "Cs,Ls,Ws"], spark)
-    assert out[0] == "[p1](art) [Cs:93.33(  15), Ls:91.67(  12)(- 1.67), Ws:75.00(   4)]" and "Cs@a\t  1 items 15 refs\t∅:93.33" in out and any(x.startswith("Ws@ocr@article") for x in out)
+    assert out[0] == "[p1](art) [Cs:93.33(  15), Ls:91.67(  12)(- 1.66), Ws:75.00(   4)]" and "Cs@a\t  1 items 15 refs\t∅:93.33" in out and any(x.startswith("Ws@ocr@article") for x in out)
     with pytest.raises(ValueError):
         cli.run([*base, "--metrics", "Nope"], spark)
     assert cli.run(["frame", "-i", f"{tmp_path}/ocr", "-o", f"{tmp_path}/cut", "-p", "0,0 25,30"], spark)
