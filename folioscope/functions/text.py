@@ -83,13 +83,19 @@ def default_stop_words(spark, languages: tuple[str, ...] = ("german", "english",
     return sorted({w for lang in languages for w in loader.loadDefaultStopWords(lang)})
 
 
-def vowels_composed(x: Column) -> Column:
-    """A, o, u with a small e above as ä, ö, ü; the sign after another letter is an error."""
+def vowels_checked(x: Column) -> Column:
+    """Struct (text, misplaced): a, o, u with a small e above as ä, ö, ü; no text where the sign follows another letter."""
     y = x
     for vowels, umlaut in (("aA", "ä"), ("oO", "ö"), ("uU", "ü")):
         accented = {"a": "àáâãäåÀÁÂÃÄÅ", "o": "òóôõöÒÓÔÕÖ", "u": "ùúûüÙÚÛÜ"}[vowels[0]]
         y = F.regexp_replace(y, f"[{vowels}{accented}]{SMALL_E}", umlaut)
-    return F.when(y.contains(SMALL_E), F.raise_error(F.concat(F.lit("no vowel before the small e: "), x)).cast("string")).otherwise(y)
+    return F.struct(F.when(~y.contains(SMALL_E), y).alias("text"), y.contains(SMALL_E).alias("misplaced"))
+
+
+def vowels_composed(x: Column) -> Column:
+    """``vowels_checked`` that takes the sign after another letter for an error."""
+    y = vowels_checked(x)
+    return F.when(y["misplaced"], F.raise_error(F.concat(F.lit("no vowel before the small e: "), x)).cast("string")).otherwise(y["text"])
 
 
 def line_texts(x: Column) -> Column:

@@ -164,41 +164,50 @@ def broken_rows(raw: DataFrame, feeds: Sequence[Feed], line: str = "raw_line", f
     return check_rows(raw, feeds, line, feed_id).filter(F.col(fresh_name(raw, "reject_reason")).isNotNull())
 
 
-_TYPES = {"digits": "decimal(38,0)", "size": "decimal(38,0)", "ratio": "double"}
-
-
-def typed_rows(raw: DataFrame, feed: Feed, line: str = "raw_line", feed_id: str = "feed_id", keep: Sequence[str] = ("raw_id",)) -> DataFrame:
-    """The valid lines of one feed as typed columns after the columns ``keep``.
-
-    Numbers become bigint (null beyond its range), ratios double (null where empty), points an
-    array of (x, y) structs, all else string with the quotes undone. A field that shares its name
-    with a kept column comes out as ``<name>_``.
+def _typed(v: Column, name: str, quote: str) -> Column:
+    """A field's text as a value of its kind, with the quotes undone."""
+    v = F.when(v.startswith(quote), F.replace(F.substring(v, 2, F.length(v) - 2), F.lit(quote + quote), F.lit(quote))).otherwise(v)
+    kind = field_kind(name)
+    if kind in ("digits", "size"):
+        return v.try_cast("bigint")
+    if kind == "ratio":
+        return v.try_cast("double")
+    if kind == "points":
+        number = lambda p, i: F.split_part(p, F.lit(","), F.lit(i)).try_cast("bigint")
+        return F.transform(F.split(F.trim(v), " +"), lambda p: F.struct(number(p, 1).alias("x"), number(p, 2).alias("y")))
+    return v
+
+
+def loaded_rows(raw: DataFrame, feeds: Sequence[Feed], line: str = "raw_line", feed_id: str = "feed_id", keep: Sequence[str] = ("raw_id", "feed_id")) -> DataFrame:
+    """The valid lines of all feeds in one pass, as typed columns after the columns ``keep``.
+
+    There is one column per field name of any feed; a feed without that field has null there. Numbers
+    become bigint (null beyond its range), ratios double (null where empty), points an array of (x, y)
+    structs, all else string with the quotes undone. A field that shares its name with a kept column
+    comes out as ``<name>_``. Each line is matched once: a valid line comes back from its pattern with a
+    control character before every field, which no valid line holds; any other comes back as it was.
     """
     text = F.regexp_replace(F.col(line), r"\r\z", "")
-    pattern = row_pattern(feed)
-    glued = F.regexp_replace(text, pattern, _GLUE.join(f"${i + 1}" for i in range(len(feed.fields))))
-    rows = raw.filter((F.col(feed_id) == feed.feed_id) & text.rlike(pattern)).select(
-        *keep, F.split(glued, _GLUE, -1).alias("__fields")
-    )
+    marked = F.lit(None).cast("string")
+    for feed in feeds:
+        split = F.regexp_replace(text, row_pattern(feed), "".join(f"{_GLUE}${i + 1}" for i in range(len(feed.fields))))
+        marked = F.when(F.col(feed_id) == feed.feed_id, split).otherwise(marked)
+    rows = raw.filter(F.col(feed_id).isin([f.feed_id for f in feeds])).select("*", text.alias("__text"), marked.alias("__marked")).filter("__marked <> __text")
+    rows = rows.withColumn("__fields", F.split("__marked", _GLUE, -1))
     taken, cols = {k.lower() for k in keep}, []
-    for i, name in enumerate(feed.fields):
-        v, q = F.col("__fields")[i], feed.quote
-        v = F.when(v.startswith(q), F.replace(F.substring(v, 2, F.length(v) - 2), F.lit(q + q), F.lit(q))).otherwise(v)
-        kind = field_kind(name)
-        if kind in ("digits", "size"):
-            v = v.try_cast("bigint")
-        elif kind == "ratio":
-            v = v.try_cast("double")
-        elif kind == "points":
-            v = F.transform(
-                F.split(F.trim(v), " +"),
-                lambda p: F.struct(
-                    F.split_part(p, F.lit(","), F.lit(1)).try_cast("bigint").alias("x"),
-                    F.split_part(p, F.lit(","), F.lit(2)).try_cast("bigint").alias("y"),
-                ),
-            )
+    for name in dict.fromkeys(n for f in feeds for n in f.fields):
+        value = None
+        for feed in feeds:
+            if name in feed.fields:
+                one = _typed(F.get("__fields", F.lit(feed.fields.index(name) + 1)), name, feed.quote)
+                value = F.when(F.col(feed_id) == feed.feed_id, one) if value is None else value.when(F.col(feed_id) == feed.feed_id, one)
         while name.lower() in taken:
             name += "_"
         taken.add(name.lower())
-        cols.append(v.alias(name))
+        cols.append(value.alias(name))
     return rows.select(*keep, *cols)
+
+
+def typed_rows(raw: DataFrame, feed: Feed, line: str = "raw_line", feed_id: str = "feed_id", keep: Sequence[str] = ("raw_id",)) -> DataFrame:
+    """``loaded_rows`` of one feed."""
+    return loaded_rows(raw, [feed], line, feed_id, keep)

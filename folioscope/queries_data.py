@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .operators.nested import alto_table
 from .operators.orphans import mets_references, mets_targets, orphan_references
-from .operators.raw_rows import broken_rows, read_feeds
+from .operators.raw_rows import broken_rows, loaded_rows, read_feeds
 from .session import table
 
 
@@ -24,6 +24,14 @@ def p1_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broken.groupBy("feed_id", "reject_reason", "reject_field").agg(F.count("*").alias("lines"))
 
 
+def p1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valid lines of all feeds as typed rows; of points their number and the sums of their coordinates."""
+    raw = table(spark, sf_dir, "raw_record").select("raw_id", "feed_id", "raw_line")
+    rows = loaded_rows(raw, read_feeds(table(spark, sf_dir, "raw_feed")))
+    total = lambda c: F.aggregate("points", F.lit(0).cast("bigint"), lambda a, p: a + p[c])
+    return rows.withColumns({"n_points": F.size("points"), "sum_x": total("x"), "sum_y": total("y")}).drop("points").withColumn("n_points", F.when(F.col("n_points") >= 0, F.col("n_points")))
+
+
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = {n: table(spark, sf_dir, f"mets_{n}") for n in ("file", "div", "fptr", "dmd")}
     return orphan_references(mets_references(t["file"], t["div"], t["fptr"]), mets_targets(t["dmd"], t["file"]))
@@ -64,18 +72,47 @@ def _sql_field(name: str, sep: str, quote: str) -> str:
     return f"(?:{quote}{value}{quote}{bare})"
 
 
+# The feeds' layouts, written for the oracle only.
+_SQL_FEEDS = {
+    1: (",", '"', "string_id line_id content hpos vpos width height wc"),
+    2: (";", '"', "line_id region_id points text_equiv conf"),
+    3: ("\t", '"', "string_id content points wc"),
+    4: ("|", "'", "region_id region_type points text_equiv"),
+    5: (",", '"', "word_id line_id points content conf"),
+}
+
+
+def _sql_pattern(n: int) -> str:
+    """Pattern of a whole line of a feed with a group per field."""
+    sep, quote, names = _SQL_FEEDS[n]
+    s = {"\t": r"\t", "|": r"\|"}.get(sep, sep)
+    return s.join(f"({_sql_field(f, sep, quote)})" for f in names.split()).replace("'", "''")
+
+
+def _p1_rows_sql() -> str:
+    """Typed columns of the valid lines of every feed."""
+    columns = list(dict.fromkeys(f for _, _, names in _SQL_FEEDS.values() for f in names.split() if f != "points"))
+    parts = []
+    for n, (_, quote, names) in _SQL_FEEDS.items():
+        q, fields = quote.replace("'", "''"), names.split()
+
+        def value(f: str, fields=fields, q=q, n=n) -> str:
+            raw = f"regexp_extract(line, '{_sql_pattern(n)}', {fields.index(f) + 1}, 's')"
+            return f"CASE WHEN starts_with({raw}, '{q}') THEN replace(substr({raw}, 2, length({raw}) - 2), '{q}{q}', '{q}') ELSE {raw} END"
+
+        kind = {"hpos": "BIGINT", "vpos": "BIGINT", "width": "BIGINT", "height": "BIGINT", "wc": "DOUBLE", "conf": "DOUBLE"}
+        cols = [(f"try_cast({value(c)} AS {kind[c]})" if c in kind else value(c)) if c in fields else f"CAST(NULL AS {kind.get(c, 'VARCHAR')})" for c in columns]
+        pts = f"regexp_split_to_array(trim({value('points')}, ' '), ' +')" if "points" in fields else "CAST(NULL AS VARCHAR[])"
+        parts.append(f"SELECT raw_id, feed_id, {', '.join(f'{x} AS {c}' for x, c in zip(cols, columns, strict=True))}, {pts} AS pts FROM l WHERE feed_id = {n} AND regexp_full_match(line, '{_sql_pattern(n)}', 's')")
+    part = lambda i: f"CAST(list_sum(list_transform(pts, lambda p: CAST(split_part(p, ',', {i}) AS BIGINT))) AS BIGINT)"
+    return f"""WITH l AS (SELECT raw_id, feed_id, regexp_replace(raw_line, '\\r\\z', '') AS line FROM raw_record), v AS ({" UNION ALL ".join(parts)})
+SELECT raw_id, feed_id, {", ".join(columns)}, len(pts) AS n_points, {part(1)} AS sum_x, {part(2)} AS sum_y FROM v"""
+
+
 def _p1_sql() -> str:
-    feeds = {
-        1: (",", '"', "string_id line_id content hpos vpos width height wc"),
-        2: (";", '"', "line_id region_id points text_equiv conf"),
-        3: ("\t", '"', "string_id content points wc"),
-        4: ("|", "'", "region_id region_type points text_equiv"),
-        5: (",", '"', "word_id line_id points content conf"),
-    }
     when = []
-    for n, (sep, quote, names) in feeds.items():
-        s = {"\t": r"\t", "|": r"\|"}.get(sep, sep)
-        pattern = s.join(_sql_field(f, sep, quote) for f in names.split()).replace("'", "''")
+    for n in _SQL_FEEDS:
+        pattern = _sql_pattern(n)
         when.append(f"WHEN {n} THEN regexp_full_match(regexp_replace(raw_line, '\\r\\z', ''), '{pattern}', 's')")
     return f"SELECT raw_id FROM raw_record WHERE NOT CASE feed_id {' '.join(when)} ELSE false END"
 
@@ -123,10 +160,11 @@ SELECT page_id, parent AS parent_path, path AS child_path, e.id AS id, e.content
   e.width AS width, e.height AS height, e.wc AS wc, e.points AS points FROM st WHERE e.tag = 'String'"""
 )
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rejects, p2_found, p2_per_month, p5_found, p5_strings)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rejects, p1_rows, p2_found, p2_per_month, p5_found, p5_strings)}
 
 ORACLES = {
     "p1_found": _p1_sql(),
+    "p1_rows": _p1_rows_sql(),
     "p2_found": _P2_SQL,
     "p2_per_month": f"SELECT ref_table, ref_field, ref_month, count(*) AS orphans FROM ({_P2_SQL}) GROUP BY ALL",
     "p5_found": _P5_SQL,

@@ -1,20 +1,27 @@
 """Queries of the evaluation operators over the driver's tables, and their SQL.
 
 Each instance runs over whole tables and whole texts. Where a candidate text is needed it is the
-reference with some letters misread (``e`` as ``c``, ``o`` as ``0``).
+reference with some letters misread (``e`` as ``c``, ``o`` as ``0``), left out or doubled, and with words
+run together and parted.
 """
 
 from __future__ import annotations
 
+import json
+import xml.etree.ElementTree as ET
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import dates, similarity
 from .functions import text as tx
-from .operators import filters, geometry, grouping, pairing, reports, statistics
+from .operators import filters, geometry, grouping, images, pairing, reports, statistics
 from .plans.evaluation import score
+from .queries_data import _P5_BLOCKS
 from .session import table
+from .sources import layout, mets, writers
 
 # Stop words of the query instances.
 STOP = ["und", "der", "die", "das", "the", "and", "of", "was", "de", "la", "le"]
@@ -22,12 +29,30 @@ _FRAME = [(100.0, 200.0), (900.0, 200.0), (900.0, 1500.0), (100.0, 1500.0)]
 _R6 = lambda c: F.round(c, 6)
 
 
+# What the candidates have for the reference's letters, in this order, after the single letters.
+_SLIPS = (("rn", "m"), ("ss", "s"), ("ll", "lll"), ("nd ", "nd"), ("ch", "c h"), (", ", " "))
+
+
+def _slips(x: Column) -> Column:
+    x = F.translate(x, "eo", "c0")
+    for a, b in _SLIPS:
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return x
+
+
+def _sql_slips(x: str) -> str:
+    x = f"translate({x}, 'eo', 'c0')"
+    for a, b in _SLIPS:
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "page_line").filter("text_equiv IS NOT NULL").select("line_rid", "mets_id", "page_no", F.col("text_equiv").alias("ref")).distinct()
-    return rows.withColumn("cand", F.translate("ref", "eo", "c0"))
+    return rows.withColumn("cand", _slips(F.col("ref")))
 
 
-_LINES = "line AS (SELECT DISTINCT line_rid, mets_id, page_no, text_equiv AS ref, translate(text_equiv, 'eo', 'c0') AS cand FROM page_line WHERE text_equiv IS NOT NULL)"
+_LINES = f"line AS (SELECT DISTINCT line_rid, mets_id, page_no, text_equiv AS ref, {_sql_slips('text_equiv')} AS cand FROM page_line WHERE text_equiv IS NOT NULL)"
 
 
 def _sql_chars(chars: str) -> str:
@@ -114,7 +139,7 @@ k AS (SELECT {keys}, count(v) AS n2, {mean} AS mean2, stddev_pop(v) AS std2, med
   WHERE v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY {keys}),
 r AS (SELECT t.*, std >= 1 AND n_total > 1 AND coalesce(n2, 0) < n_total AS has, coalesce(n2, 0) AS n2, mean2, std2, med2 FROM t LEFT JOIN k USING ({keys}))
 SELECT {keys}, n_total, round(mean, 6) AS mean, round(std, 6) AS std, round(med, 6) AS median, n_chars,
-  CASE WHEN has THEN n2 END AS cleared_n, round(CASE WHEN has THEN mean2 END, 6) AS cleared_mean,
+  CASE WHEN has THEN n2 END AS cleared_n, round(CASE WHEN has THEN {"coalesce(mean2, 0.0)" if weighted else "mean2"} END, 6) AS cleared_mean,
   round(CASE WHEN has THEN std2 END, 6) AS cleared_std, round(CASE WHEN has THEN med2 END, 6) AS cleared_median FROM r"""
 
 
@@ -135,12 +160,41 @@ def evaluation_summary(spark, sf_dir):
     return _flat(statistics.summarise_cleared(keyed, ["eval_key"], weighted=True), "eval_key")
 
 
-@query()
+_FLAT_SQL = r"nfc_normalize(regexp_replace({0}, '\r\n|[\r\n\x0b\x0c]', ' ', 'g'))"
+
+
+def _measures_sql() -> str:
+    """Every measure of every line by SQL: (metric, mets_id, line_rid, v, w), values with two decimals."""
+    tr = f"{_WS}||{_PU}||{_DI}"
+    # DuckDB counts bytes: every character of a pair becomes one of ASCII.
+    chars = lambda x, of: f"coalesce(list_aggregate(list_transform(regexp_extract_all({x}, '(?s).'), lambda z: chr(CAST(33 + list_position({of}, z) AS INTEGER))), 'string_agg', ''), '')"
+    both = "list_distinct(list_concat(regexp_extract_all(r, '(?s).'), regexp_extract_all(c, '(?s).')))"
+    terms = lambda c: f"list_distinct(list_filter({c}, lambda x: NOT list_contains({_STOP_SQL}, x)))"
+    return f"""p AS (SELECT mets_id, line_rid, {_FLAT_SQL.format("ref")} AS r, {_FLAT_SQL.format("cand")} AS c FROM line),
+tk AS (SELECT mets_id, line_rid, r, c, translate(r, {tr}, '') AS lr, translate(c, {tr}, '') AS lc, {_TOK("r")} AS tr, {_TOK("c")} AS tc FROM p),
+u AS (SELECT *, {terms("tr")} AS ur, {terms("tc")} AS uc, list_distinct(list_concat(tr, tc)) AS d, {both} AS k FROM tk),
+e AS (SELECT *, {chars("r", "k")} AS r1, {chars("c", "k")} AS c1, {chars("lr", "k")} AS r2, {chars("lc", "k")} AS c2, greatest(len(tr), len(tc)) AS most, list_aggregate(list_transform(tr, lambda x: chr(CAST(33 + list_position(d, x) AS INTEGER))), 'string_agg', '') AS a,
+  list_aggregate(list_transform(tc, lambda x: chr(CAST(33 + list_position(d, x) AS INTEGER))), 'string_agg', '') AS b,
+  CASE WHEN len(uc) = 0 THEN 0.0 ELSE 100.0 * len(list_intersect(ur, uc)) / len(uc) END AS pre, CASE WHEN len(ur) > 0 THEN 100.0 * len(list_intersect(ur, uc)) / len(ur) END AS rec FROM u),
+x AS (SELECT line_rid, unnest(tr) AS token, 1 AS s FROM tk UNION ALL SELECT line_rid, unnest(tc), -1 FROM tk),
+o AS (SELECT line_rid, sum(odd) AS odd FROM (SELECT line_rid, token, abs(sum(s)) AS odd FROM x GROUP BY ALL) GROUP BY 1),
+m AS (SELECT 'Cs' AS metric, mets_id, line_rid, {_SIM("r1", "c1")} AS v, length(r) AS w FROM e UNION ALL SELECT 'Ls', mets_id, line_rid, {_SIM("r2", "c2")}, length(lr) FROM e
+  UNION ALL SELECT 'Ws', mets_id, line_rid, CASE WHEN most = 0 THEN 100.0 ELSE 100.0 * (1 - levenshtein(coalesce(a, ''), coalesce(b, '')) / most) END, len(tr) FROM e
+  UNION ALL SELECT 'BoWs', mets_id, e.line_rid, CASE WHEN len(tr) + len(tc) = 0 THEN 100.0 ELSE 100.0 * (1 - coalesce(odd, 0) / (len(tr) + len(tc))) END, len(tr) FROM e LEFT JOIN o USING (line_rid)
+  UNION ALL SELECT 'IRPre', mets_id, line_rid, pre, len(ur) FROM e UNION ALL SELECT 'IRRec', mets_id, line_rid, rec, len(ur) FROM e
+  UNION ALL SELECT 'IRF', mets_id, line_rid, coalesce(CASE WHEN pre + rec > 0 THEN 2 * pre * rec / (pre + rec) END, 0.0), len(ur) FROM e)"""
+
+
+def _scores(spark, sf_dir):
+    pairs = _lines(spark, sf_dir).select("mets_id", "line_rid", F.col("ref").alias("text_reference"), F.col("cand").alias("text_candidate"))
+    return score(pairs, ["Cs", "Ls", "Ws", "BoWs", "IRPre", "IRRec", "IRF"], STOP)
+
+
+@query(f"""WITH {_LINES}, {_measures_sql()},
+{_summary_sql("SELECT metric, mets_id, CAST(round_even(v, 2) AS DOUBLE) AS v, w FROM m WHERE v IS NOT NULL", "metric, mets_id", False)}""")
 def evaluation_measures(spark, sf_dir):
     """All measures of every line in long form, summarised per measure and work."""
-    pairs = _lines(spark, sf_dir).select("mets_id", F.col("ref").alias("text_reference"), F.col("cand").alias("text_candidate"))
-    scores = score(pairs, ["Cs", "Ls", "Ws", "BoWs", "IRPre", "IRRec", "IRF"], STOP)
-    return _flat(statistics.summarise_cleared(scores, ["metric", "mets_id"]), "metric", "mets_id")
+    return _flat(statistics.summarise_cleared(_scores(spark, sf_dir), ["metric", "mets_id"]), "metric", "mets_id")
 
 
 _ITEMS = "SELECT l_returnflag, l_linestatus, l_extendedprice / 1000 AS v, CAST(l_quantity AS BIGINT) AS w FROM lineitem"
@@ -211,12 +265,18 @@ def dictionary_lines(spark, sf_dir):
     return _lines(spark, sf_dir).select("line_rid", tx.dictionary_line(F.col("ref")).alias("words"))
 
 
-@query(f"""WITH {_LINES} SELECT line_rid, replace(replace(replace(ref, 'a' || chr(868), 'ä'), 'o' || chr(868), 'ö'), 'u' || chr(868), 'ü') AS words FROM line
-WHERE NOT regexp_matches(replace(replace(replace(ref, 'a' || chr(868), ''), 'o' || chr(868), ''), 'u' || chr(868), ''), chr(868))""")
+def _vowels_sql(x: str) -> str:
+    for letters, umlaut in (("aAàáâãäåÀÁÂÃÄÅ", "ä"), ("oOòóôõöÒÓÔÕÖ", "ö"), ("uUùúûüÙÚÛÜ", "ü")):
+        x = f"regexp_replace({x}, '[{letters}]' || chr(868), '{umlaut}', 'g')"
+    return x
+
+
+@query(f"""WITH {_LINES}, v AS (SELECT line_rid, {_vowels_sql("ref")} AS words FROM line)
+SELECT line_rid, contains(words, chr(868)) AS misplaced, CASE WHEN NOT contains(words, chr(868)) THEN words END AS words FROM v""")
 def vowels_composed(spark, sf_dir):
-    """Every line with a small e above a vowel as umlaut; lines where it stands elsewhere are left out."""
-    rows = _lines(spark, sf_dir).filter(~F.regexp_replace("ref", f"[aou]{tx.SMALL_E}", "").contains(tx.SMALL_E))
-    return rows.select("line_rid", tx.vowels_composed(F.col("ref")).alias("words"))
+    """Every line with a small e above a vowel as umlaut; where it stands elsewhere the line has no text but says so."""
+    v = tx.vowels_checked(F.col("ref"))
+    return _lines(spark, sf_dir).select("line_rid", v["misplaced"].alias("misplaced"), v["text"].alias("words"))
 
 
 @query("""WITH y AS (SELECT doc_id, try_cast(substr(trim(date_issued), 1, 4) AS INTEGER) AS y FROM documents WHERE regexp_full_match(substr(trim(date_issued), 1, 4), '[0-9]{1,4}'))
@@ -288,21 +348,29 @@ def names_of_files(spark, sf_dir):
     return e.select("mets_id", "file_id", "href", grouping.type_of_name(F.col("href")).alias("gt_type"), grouping.pattern_dimension(r"_(\d+)_(\d+)", 2).column.alias("page"))
 
 
+def _dmds(spark, sf_dir):
+    return table(spark, sf_dir, "mets_dmd").select("mets_id", "dmdid", "received_at", "mods").distinct()
+
+
+def _mods(spark, sf_dir):
+    m = _dmds(spark, sf_dir).select("mets_id", "dmdid", "received_at", F.inline("mods"))
+    return mets.joined_values(m.withColumnRenamed("mods_value", "value"), "mets_id", "dmdid", "received_at", "dimension")
+
+
 def _languages(spark, sf_dir):
-    m = table(spark, sf_dir, "mets_dmd").select("mets_id", "dmdid", "received_at", "mods").distinct()
-    own = F.filter("mods", lambda x: (x["dimension"] == "language") & x["mods_value"].isNotNull())
-    joined = F.array_join(F.transform(F.array_sort(F.transform(own, lambda x: F.struct(x["ord"].alias("o"), x["mods_value"].alias("v")))), lambda x: x["v"]), "+")
-    return m.select("mets_id", "dmdid", "received_at", F.nullif(joined, F.lit("")).alias("language"))
+    values = _mods(spark, sf_dir).filter("dimension = 'language'").select("mets_id", "dmdid", "received_at", F.col("value").alias("language"))
+    return _dmds(spark, sf_dir).drop("mods").join(values, ["mets_id", "dmdid", "received_at"], "left")
 
 
 _LANG = """lang AS (SELECT mets_id, dmdid, received_at, nullif(list_aggregate(list_transform(list_sort(list_transform(list_filter(mods, lambda x: x.dimension = 'language' AND x.mods_value IS NOT NULL),
 lambda x: {'o': x.ord, 'v': x.mods_value})), lambda x: x.v), 'string_agg', '+'), '') AS language FROM (SELECT DISTINCT mets_id, dmdid, received_at, mods FROM mets_dmd))"""
 
 
-@query(f"WITH {_LANG} SELECT * FROM lang")
+@query("""WITH d AS (SELECT DISTINCT mets_id, dmdid, received_at, mods FROM mets_dmd), x AS (SELECT mets_id, dmdid, received_at, unnest(mods) AS m FROM d)
+SELECT mets_id, dmdid, received_at, m.dimension AS dimension, string_agg(m.mods_value, '+' ORDER BY m.ord, m.mods_value) AS value FROM x WHERE m.mods_value <> '' GROUP BY ALL""")
 def mods_multi_value(spark, sf_dir):
-    """Languages of every dmdSec joined in document order."""
-    return _languages(spark, sf_dir)
+    """The values of every dimension of every dmdSec joined in document order."""
+    return _mods(spark, sf_dir)
 
 
 @query(f"""WITH {_LANG}, o AS (SELECT *, list_distinct(list_filter(list_transform(regexp_split_to_array(coalesce(language, ''), '[+|,]'), lambda x: trim(x)), lambda x: x <> '')) AS have FROM lang)
@@ -336,15 +404,32 @@ def prefix_first_match(spark, sf_dir):
     return pairing.pair_by_prefix(_candidates(spark, sf_dir), refs)
 
 
-@query(r"""WITH e AS (SELECT DISTINCT 'gt/' || mets_id || '/' || href AS path_groundtruth, href AS file FROM mets_file WHERE mets_id IS NOT NULL AND href IS NOT NULL),
-h AS (SELECT href, min(ord) AS ord FROM mets_file WHERE href IS NOT NULL GROUP BY 1),
-m AS (SELECT path_groundtruth, h.href, h.ord, row_number() OVER (PARTITION BY path_groundtruth ORDER BY h.ord, h.href) AS n FROM e JOIN h ON h.href = e.file)
-SELECT path_groundtruth, href, ord FROM m WHERE n = 1""")
+@query(r"""WITH f AS (SELECT DISTINCT mets_id, href, ord FROM mets_file WHERE mets_id IS NOT NULL AND href <> ''),
+e AS (SELECT DISTINCT mets_id AS mets, unnest(['gt/' || mets_id || '/' || href, 'gt/' || mets_id || '/' || substr(href, 3), 'gt/x' || href || '/page', 'gt/' || mets_id || '/none.xml']) AS path_groundtruth FROM f),
+m AS (SELECT mets, path_groundtruth, href, ord, row_number() OVER (PARTITION BY mets, path_groundtruth ORDER BY ord, href) AS n FROM e JOIN f ON f.mets_id = e.mets
+  AND (contains(href, regexp_extract(path_groundtruth, '[^/]*$')) OR contains(path_groundtruth, href)))
+SELECT e.mets, e.path_groundtruth, m.href, m.ord FROM e LEFT JOIN m ON e.mets = m.mets AND e.path_groundtruth = m.path_groundtruth AND m.n = 1""")
 def href_match(spark, sf_dir):
-    """Entries with the first METS file that matches in either direction."""
-    f = table(spark, sf_dir, "mets_file").filter("href IS NOT NULL AND mets_id IS NOT NULL")
-    e = f.select(F.concat_ws("/", F.lit("gt"), F.col("mets_id").cast("string"), "href").alias("path_groundtruth")).distinct()
-    return pairing.match_hrefs(e, f.groupBy("href").agg(F.min("ord").alias("ord")))
+    """Entries with the first METS file reference that holds their name, in whole or in part, or that their path holds."""
+    f = table(spark, sf_dir, "mets_file").filter("mets_id IS NOT NULL AND href <> ''").select(F.col("mets_id").alias("mets"), "href", "ord").distinct()
+    at = lambda *parts: F.concat(*[F.lit(x) if x.endswith("/") or x.startswith("/") or x == "gt/x" else F.col(x).cast("string") for x in parts])
+    named = F.array(at("gt/", "mets", "/", "href"), F.concat(at("gt/", "mets", "/"), F.substring("href", 3, 10_000)), at("gt/x", "href", "/page"), at("gt/", "mets", "/none.xml"))
+    e = f.select("mets", F.explode(named).alias("path_groundtruth")).distinct()
+    return pairing.match_hrefs(e, f)
+
+
+@query(r"""WITH f AS (SELECT DISTINCT mets_id AS mets, href FROM mets_file WHERE contains(upper(grp_use), 'FULLTEXT') AND href <> ''),
+e AS (SELECT DISTINCT 'gt/' || regexp_extract(href, '[^/]*$') AS path FROM mets_file WHERE href <> ''),
+m AS (SELECT DISTINCT path, mets, href FROM e JOIN f ON contains(f.href, regexp_extract(e.path, '[^/]*$')) OR contains(e.path, f.href))
+SELECT 'mapped' AS kind, count(DISTINCT path) AS n FROM m UNION ALL SELECT 'missing', count(*) FROM e WHERE path NOT IN (SELECT path FROM m)
+UNION ALL SELECT 'represented', count(*) FROM (SELECT DISTINCT mets, href FROM m) UNION ALL SELECT 'unused', count(*) FROM f WHERE (mets, href) NOT IN (SELECT (mets, href) FROM m)""")
+def mets_coverage(spark, sf_dir):
+    """How files of all groups and full-text references meet, counted."""
+    f = table(spark, sf_dir, "mets_file").filter("href <> ''").withColumnRenamed("mets_id", "mets")
+    e = f.select(F.concat(F.lit("gt/"), pairing.file_name(F.col("href"))).alias("path_groundtruth")).distinct()
+    report = mets.coverage(e, mets.Mets(f, None, None, None, None)).groupBy("kind").agg(F.count("*").alias("n"))
+    kinds = spark.createDataFrame([(k,) for k in ("mapped", "missing", "represented", "unused")], "kind string")
+    return kinds.join(report, "kind", "left").fillna(0)
 
 
 @query("""WITH l AS (SELECT DISTINCT doc_id FROM doc_label) SELECT 'labelled' AS side, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM l)
@@ -390,8 +475,7 @@ _WORDS = "word AS (SELECT DISTINCT string_rid, mets_id, page_no, line_ord, strin
 @query(f"WITH {_WORDS} SELECT mets_id, page_no, line_ord, min(hpos) AS minx, min(vpos) AS miny, max(hpos + width) AS maxx, max(vpos + height) AS maxy FROM word GROUP BY ALL")
 def bbox_by_line(spark, sf_dir):
     """The box of every line's words."""
-    w = _words(spark, sf_dir)
-    return w.groupBy("mets_id", "page_no", "line_ord").agg(F.min("hpos").alias("minx"), F.min("vpos").alias("miny"), F.max(F.col("hpos") + F.col("width")).alias("maxx"), F.max(F.col("vpos") + F.col("height")).alias("maxy"))
+    return geometry.boxes_of(_words(spark, sf_dir), "mets_id", "page_no", "line_ord")
 
 
 @query(f"""WITH {_WORDS} SELECT string_rid FROM word WHERE hpos + width / 2.0 > 100 AND hpos + width / 2.0 < 900 AND vpos + height / 2.0 > 200 AND vpos + height / 2.0 < 1500""")
@@ -427,34 +511,29 @@ def polygons_of_lines(spark, sf_dir):
     return p.select("line_rid", *[b[c].alias(c) for c in ("minx", "miny", "maxx", "maxy")], _R6(m["x"]).alias("cx"), _R6(m["y"]).alias("cy"))
 
 
-@query()
+_POINTS_SQL = r"""p AS (SELECT DISTINCT line_rid, regexp_split_to_array(trim(points), '\s+') AS p FROM page_line WHERE regexp_full_match(points, '\s*-?\d+(\.\d+)?,-?\d+(\.\d+)?(\s+-?\d+(\.\d+)?,-?\d+(\.\d+)?)+\s*')),
+n AS (SELECT line_rid, len(p) AS n, unnest(range(len(p))) AS i, p FROM p),
+v AS (SELECT line_rid, i, n, CAST(split_part(p[i + 1], ',', 1) AS DOUBLE) AS x, CAST(split_part(p[i + 1], ',', 2) AS DOUBLE) AS y,
+  CAST(split_part(p[(i + 1) % n + 1], ',', 1) AS DOUBLE) AS nx, CAST(split_part(p[(i + 1) % n + 1], ',', 2) AS DOUBLE) AS ny FROM n),
+a AS (SELECT line_rid, sum(x * ny - nx * y) AS a2, sum((x + nx) * (x * ny - nx * y)) AS sx, sum((y + ny) * (x * ny - nx * y)) AS sy, avg(x) AS ax, avg(y) AS ay FROM v GROUP BY 1)"""
+
+
+@query(f"WITH {_POINTS_SQL} SELECT line_rid, round(CASE WHEN a2 = 0 THEN ax ELSE sx / (3 * a2) END, 4) AS cx, round(CASE WHEN a2 = 0 THEN ay ELSE sy / (3 * a2) END, 4) AS cy FROM a")
 def polygon_centroids(spark, sf_dir):
     """Area centroid of every line's polygon."""
     p = table(spark, sf_dir, "page_line").select("line_rid", "points").distinct().withColumn("poly", geometry.polygon(F.col("points"))).filter("poly IS NOT NULL")
     c = geometry.centroid(F.col("poly"))
-    return p.select("line_rid", _R6(c["x"]).alias("cx"), _R6(c["y"]).alias("cy"))
+    return p.select("line_rid", F.round(c["x"], 4).alias("cx"), F.round(c["y"], 4).alias("cy"))
 
 
 @query(f"WITH {_WORDS} SELECT mets_id, page_no, line_ord, string_agg(content, ' ' ORDER BY string_ord, string_rid) AS text FROM word WHERE content IS NOT NULL GROUP BY ALL")
 def ordered_text_rollup(spark, sf_dir):
     """Text of every line in the order of its words."""
-    w = _words(spark, sf_dir).filter("content IS NOT NULL").groupBy("mets_id", "page_no", "line_ord").agg(F.array_sort(F.collect_list(F.struct("string_ord", "string_rid", "content"))).alias("ws"))
-    return w.select("mets_id", "page_no", "line_ord", F.array_join(F.transform("ws", lambda x: x["content"]), " ").alias("text"))
-
-
-def alto_line_words(elems: Column) -> Column:
-    """Words of a nested ALTO line: Strings up to a blank are one word, if the line has blanks at all."""
-    strings = F.filter(elems, lambda e: (e["tag"] == "String") & (F.trim(e["content"]) != ""))
-    step = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-    closed = lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["open"])))
-
-    def add(a: Column, e: Column) -> Column:
-        is_word = (e["tag"] == "String") & (F.trim(F.coalesce(e["content"], F.lit(""))) != "")
-        after = F.struct(closed(a).alias("done"), F.lit("").alias("open"))
-        more = F.struct(a["done"].alias("done"), F.concat(a["open"], F.coalesce(e["content"], F.lit(""))).alias("open"))
-        return F.when(e["tag"] == "SP", after).when(is_word, more).otherwise(a)
-
-    return F.when(F.exists(elems, lambda e: e["tag"] == "SP"), F.aggregate(elems, step, add, closed)).otherwise(F.transform(strings, lambda e: e["content"]))
+    w = _words(spark, sf_dir).filter("content IS NOT NULL")
+    pieces = w.select(F.concat_ws("/", "mets_id", "page_no").alias("path"), F.lit("word").alias("level"), F.lit(0).alias("region_ord"), "line_ord", F.col("string_ord").alias("word_ord"), F.col("content").alias("text"))
+    lines = layout.line_texts(pieces)
+    at = F.split("path", "/")
+    return lines.select(at[0].cast("bigint").alias("mets_id"), at[1].cast("int").alias("page_no"), "line_ord", "text")
 
 
 def alto_text_blocks(space: Column) -> Column:
@@ -469,22 +548,42 @@ def alto_text_blocks(space: Column) -> Column:
     return F.concat(own(space, F.lit("")), composed(space, F.lit(""), lambda c, at: F.concat(own(c, at), composed(c, at, own))))
 
 
-@query("""WITH page AS (SELECT DISTINCT page_id, print_space AS ps FROM alto_page), tb AS (SELECT page_id, 'tb:' || (i - 1) AS path, ps.text_blocks[i] AS e FROM page, range(1, 100000) r(i) WHERE i <= len(ps.text_blocks)),
-tl AS (SELECT page_id, path || '/tl:' || (i - 1) AS path, e.text_lines[i].elems AS es FROM tb, range(1, 100000) r(i) WHERE i <= len(e.text_lines)),
-el AS (SELECT page_id, path, i, es[i].tag AS tag, es[i].content AS content, sum(CASE WHEN es[i].tag = 'SP' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, path ORDER BY i) AS island,
-  sum(CASE WHEN es[i].tag = 'SP' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, path) AS sps FROM tl, range(1, 100000) r(i) WHERE i <= len(es)),
+def _alto_document(block: pd.Series) -> pd.Series:
+    """Each block as an ALTO file of its own; its lines are named by their place."""
+
+    def one(b) -> bytes:
+        root = ET.Element("alto", xmlns="http://www.loc.gov/standards/alto/ns-v3#")
+        page = ET.SubElement(ET.SubElement(root, "Layout"), "Page", ID="p", WIDTH="1", HEIGHT="1")
+        tb = ET.SubElement(ET.SubElement(page, "PrintSpace"), "TextBlock", ID="tb")
+        lines = json.loads(b).get("text_lines") or []
+        for j, line in enumerate(lines):
+            tl = ET.SubElement(tb, "TextLine", ID=f"tl:{j}")
+            for e in (line or {}).get("elems") or []:
+                ET.SubElement(tl, e["tag"], **({"CONTENT": e["content"]} if e.get("content") is not None else {}))
+        return ET.tostring(root)
+
+    return block.map(one)
+
+
+@query(_P5_BLOCKS.split(",\nst AS")[0] + """,
+el AS (SELECT page_id, path, i, e.elems[i].tag AS tag, e.elems[i].content AS content, sum(CASE WHEN e.elems[i].tag = 'SP' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, path ORDER BY i) AS island,
+  sum(CASE WHEN e.elems[i].tag = 'SP' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, path) AS sps FROM tl, range(1, 100000) r(i) WHERE i <= len(e.elems)),
 w AS (SELECT page_id, path, CASE WHEN sps > 0 THEN island ELSE i END AS island, string_agg(content, '' ORDER BY i) AS word FROM el WHERE tag = 'String' AND trim(content) <> '' GROUP BY ALL)
 SELECT page_id, path, string_agg(word, ' ' ORDER BY island) AS text FROM w GROUP BY ALL""")
 def sp_gap_island(spark, sf_dir):
-    """Words of all nested ALTO lines, at any depth of ComposedBlocks: Strings between blanks are one word."""
+    """Words of all nested ALTO lines, at any depth of ComposedBlocks, as the ALTO reader finds them: Strings between blanks are one word."""
     p = table(spark, sf_dir, "alto_page").select("page_id", "print_space").distinct()
-    b = p.select("page_id", F.inline(alto_text_blocks(F.col("print_space")))).select("page_id", F.col("path").alias("block"), F.posexplode("b.text_lines").alias("j", "l"))
-    path = F.concat(F.col("block"), F.lit("/tl:"), F.col("j").cast("string"))
-    return b.select("page_id", path.alias("path"), F.array_join(alto_line_words(F.col("l.elems")), " ").alias("text")).filter("text <> ''")
+    b = p.select("page_id", F.inline(alto_text_blocks(F.col("print_space")))).filter("size(b.text_lines) > 0")
+    document = F.pandas_udf(_alto_document, "binary")(F.to_json("b"))
+    files = b.select(F.concat_ws("/", F.col("page_id"), "path").alias("path"), document.alias("content"))
+    lines = layout.line_texts(layout.read_pieces(files).filter("error IS NULL")).filter("text <> ''")
+    names = layout.read_pieces(files).filter("level = 'line'").select("path", "region_ord", "line_ord", F.col("piece_id").alias("line"))
+    at = lines.join(names, ["path", "region_ord", "line_ord"])
+    return at.select(F.split_part("path", F.lit("/"), F.lit(1)).cast("bigint").alias("page_id"), F.concat(F.regexp_replace("path", r"\A[^/]*/", ""), F.lit("/"), "line").alias("path"), "text")
 
 
-@query("""SELECT mets_id, page_no, first(text_equiv ORDER BY equiv_index, line_rid) AS text FROM (SELECT DISTINCT line_rid, mets_id, page_no, equiv_index, text_equiv FROM page_line
-WHERE trim(text_equiv) <> '' AND equiv_index IS NOT NULL) GROUP BY ALL""")
+@query("""SELECT mets_id, page_no, first(text_equiv ORDER BY coalesce(equiv_index, ''), line_rid) AS text FROM (SELECT DISTINCT line_rid, mets_id, page_no, equiv_index, text_equiv FROM page_line
+WHERE trim(text_equiv) <> '') GROUP BY ALL""")
 def first_by_index(spark, sf_dir):
     """The text with the least index, compared as a string; a missing index is the empty string."""
     p = table(spark, sf_dir, "page_line").filter("trim(text_equiv) <> ''").select("line_rid", "mets_id", "page_no", "equiv_index", "text_equiv").distinct()
@@ -507,20 +606,75 @@ def report_lines(spark, sf_dir):
     return reports.summary_lines(statistics.summarise_cleared(s, ["eval_key"]))
 
 
-@query("""WITH p AS (SELECT vec_id, unnest(embedding) AS e FROM embeddings), g AS (SELECT vec_id, CAST(greatest(0, least(255, round(127.5 + 127.5 * e))) AS INTEGER) AS v FROM p)
-SELECT vec_id, median(v) AS reference FROM g WHERE v > 127 GROUP BY 1""")
+_GREY = "g AS (SELECT vec_id, CAST(greatest(0, least(255, round(127.5 + 127.5 * e))) AS INTEGER) AS v FROM (SELECT vec_id, unnest(embedding) AS e FROM embeddings))"
+
+
+def _kernel(spark, sf_dir, kernel, kind: str) -> DataFrame:
+    """(vec_id, value): a kernel over each vector, taken for a row of grey pixels."""
+
+    def run(vectors: pd.Series) -> pd.Series:
+        pixels = [np.clip(np.floor(127.5 + 127.5 * np.asarray(v, dtype=np.float64) + 0.5), 0, 255).astype(np.uint8).reshape(1, -1) for v in vectors]
+        return pd.Series([kernel(p) for p in pixels])
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.pandas_udf(run, kind)("embedding").alias("value"))
+
+
+@query(f"WITH {_GREY} SELECT vec_id, median(v) AS reference FROM g WHERE v > 127 GROUP BY 1")
 def grey_reference(spark, sf_dir):
-    """Median of the bright pixels, relationally."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.explode("embedding").alias("e")).select("vec_id", F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.round(127.5 + 127.5 * F.col("e").cast("double")))).cast("int").alias("v"))
-    return v.filter("v > 127").groupBy("vec_id").agg(F.median("v").alias("reference"))
+    """Median of the bright pixels by the image kernel."""
+    return _kernel(spark, sf_dir, images.grey_reference, "double").filter(~F.isnan("value")).select("vec_id", F.col("value").alias("reference"))
 
 
-@query("""WITH p AS (SELECT l_suppkey % 256 AS g, count(*) AS n FROM lineitem GROUP BY 1), c AS (SELECT g, sum(n) OVER (ORDER BY g) AS w, sum(n * g) OVER (ORDER BY g) AS s, sum(n) OVER () AS t, sum(n * g) OVER () AS st FROM p)
-SELECT g AS threshold FROM c WHERE w < t ORDER BY pow(CAST(st AS DOUBLE) * w / t - s, 2) / (CAST(w AS DOUBLE) * (t - w)) DESC, g LIMIT 1""")
+@query(f"""WITH {_GREY}, p AS (SELECT vec_id, v, count(*) AS n FROM g GROUP BY ALL),
+c AS (SELECT vec_id, v, sum(n) OVER k AS w, sum(n * v) OVER k AS s, sum(n) OVER (PARTITION BY vec_id) AS t, sum(n * v) OVER (PARTITION BY vec_id) AS st FROM p WINDOW k AS (PARTITION BY vec_id ORDER BY v)),
+b AS (SELECT vec_id, v, pow(CAST(st AS DOUBLE) * w / t - s, 2) / (CAST(w AS DOUBLE) * (t - w)) AS between_classes FROM c WHERE w < t)
+SELECT vec_id, round(max(between_classes), 3) AS best FROM b GROUP BY 1""")
 def otsu_histogram(spark, sf_dir):
-    """The threshold that parts a histogram best, relationally; at most 256 grey levels are sorted."""
-    p = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 256).alias("g")).agg(F.count("*").alias("n"))
-    up, all_ = W.partitionBy(F.lit(0)).orderBy("g"), W.partitionBy(F.lit(0))
-    c = p.select("g", F.sum("n").over(up).alias("w"), F.sum(F.col("n") * F.col("g")).over(up).alias("s"), F.sum("n").over(all_).alias("t"), F.sum(F.col("n") * F.col("g")).over(all_).alias("st"))
-    between = F.pow(F.col("st").cast("double") * F.col("w") / F.col("t") - F.col("s"), F.lit(2)) / (F.col("w").cast("double") * (F.col("t") - F.col("w")))
-    return c.filter("w < t").orderBy(F.desc(between), "g").limit(1).select(F.col("g").alias("threshold"))
+    """How well the threshold of the image kernel parts each vector's pixels: as well as the best one does."""
+
+    def parted(p: np.ndarray) -> float:
+        low = p[p <= images.otsu_threshold(p)].astype(float)
+        w, t, total = len(low), p.size, float(p.sum())
+        return (total * w / t - low.sum()) ** 2 / (w * (t - w)) if 0 < w < t else float("nan")
+
+    return _kernel(spark, sf_dir, parted, "double").filter(~F.isnan("value")).select("vec_id", F.round("value", 3).alias("best"))
+
+
+def _page_pieces(spark, sf_dir) -> DataFrame:
+    """The words of all scanned pages as pieces of ALTO files without blanks (each String is a word)."""
+    w = _words(spark, sf_dir).filter("hpos IS NOT NULL AND vpos IS NOT NULL AND width IS NOT NULL AND height IS NOT NULL AND trim(content) <> ''")
+    path = F.concat_ws("/", F.col("mets_id"), F.col("page_no"))
+    rows = w.select(path.alias("path"), F.lit("word").alias("level"), F.col("string_rid").cast("string").alias("piece_id"), F.lit("b").alias("region_id"), F.concat(F.lit("l"), "line_ord").alias("line_id"),
+                    F.lit(0).alias("region_ord"), "line_ord", F.col("string_ord").alias("word_ord"), F.regexp_replace("content", r"[^\x{9}\x{A}\x{D}\x{20}-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]", "").alias("text"), "poly")
+    above = lambda level, name, *by: rows.groupBy("path", *by).agg(F.first("poly").alias("poly"), F.lit(level).alias("level"), F.max(name).alias("piece_id"))
+    pieces = rows.unionByName(above("line", "line_id", "region_id", "line_id", "region_ord", "line_ord"), True).unionByName(above("region", "region_id", "region_id", "region_ord"), True)
+    return pieces.unionByName(rows.groupBy("path").agg(F.lit("page").alias("level"), F.lit("p").alias("piece_id"), F.first("poly").alias("poly")), True).withColumns(
+        {"format": F.lit("alto"), "error": F.lit(None).cast("string")})
+
+
+_BOXED = f"""{_WORDS}, w AS (SELECT mets_id || '/' || page_no AS path, line_ord, string_ord, string_rid, content, hpos AS x, vpos AS y, width AS w, height AS h FROM word
+  WHERE hpos IS NOT NULL AND vpos IS NOT NULL AND width IS NOT NULL AND height IS NOT NULL AND trim(content) <> ''),
+gt AS (SELECT path, min(x) AS minx, min(y) AS miny, max(x + w) AS maxx, max(y + h) AS maxy FROM w WHERE NOT regexp_matches(content, '^[0-9]') GROUP BY 1)"""
+
+
+@query(f"WITH {_BOXED} SELECT * FROM gt")
+def gt_boxes(spark, sf_dir):
+    """The printed area of every scanned page, read from its XML: the box of the words that do not start with a digit."""
+    xml = writers.to_xml(_page_pieces(spark, sf_dir)).select("path", F.encode("xml", "UTF-8").alias("content"))
+    b = F.col("box")
+    return layout.bounding_boxes(xml).filter("box IS NOT NULL").select("path", *[b[c].alias(c) for c in ("minx", "miny", "maxx", "maxy")])
+
+
+@query(f"""WITH {_BOXED}, k AS (SELECT w.path, string_agg(content, ' ' ORDER BY line_ord, string_ord, string_rid) AS text, count(*) AS n FROM w JOIN gt USING (path)
+  WHERE x + w / 2.0 > minx + 200 AND x + w / 2.0 < maxx - 200 AND y + h / 2.0 > miny AND y + h / 2.0 < maxy GROUP BY 1)
+SELECT path, n AS words, length(text) AS characters FROM k""")
+def framed_scores(spark, sf_dir):
+    """Words and characters of every scanned page inside its printed area without 200 pixels on either side."""
+    pieces = _page_pieces(spark, sf_dir)
+    words = pieces.filter("level = 'word'")
+    area = geometry.boxes_of(words.filter(~F.col("text").rlike(r"\A[0-9]")), "path")
+    area = area.select("path", F.struct((F.col("minx") + 200).alias("minx"), "miny", (F.col("maxx") - 200).alias("maxx"), "maxy").alias("box"))
+    inside = geometry.words_in_boxes(words.join(area.select("path"), "path", "left_semi"), area)
+    lines = layout.line_texts(inside).groupBy("path").agg(F.sum(F.length("text")).alias("c"), F.count("*").alias("n_lines"))
+    n = inside.groupBy("path").agg(F.count("*").alias("words"))
+    return n.join(lines, "path").select("path", "words", (F.col("c") + F.col("n_lines") - 1).alias("characters"))

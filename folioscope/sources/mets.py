@@ -124,11 +124,15 @@ def file_dmdids(m: Mets) -> DataFrame:
     return out.filter("d IS NOT NULL").select("mets", "href", "ord", F.split(F.trim("d"), r"\s+").alias("dmdids"))
 
 
+def joined_values(mods: DataFrame, *by: str) -> DataFrame:
+    """(by, value): the values of each section in document order (``ord``), joined by ``+``; empty ones count as none."""
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "value")))
+    return mods.filter("value <> ''").groupBy(*by).agg(F.array_join(F.transform(ordered, lambda r: r["value"]), "+").alias("value"))
+
+
 def mods_values(m: Mets, dimension: str) -> DataFrame:
     """(mets, href, ord, value): the first DMDID with values counts; several values are joined by ``+``."""
-    per = m.mods.filter(F.col("dimension") == dimension).groupBy("mets", "dmdid").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda r: r["value"]), "+").alias("value")
-    )
+    per = joined_values(m.mods.filter(F.col("dimension") == dimension), "mets", "dmdid")
     files = file_dmdids(m).select("mets", "href", "ord", F.posexplode("dmdids").alias("pos", "dmdid"))
     return files.join(per, ["mets", "dmdid"]).groupBy("mets", "href", "ord").agg(F.min_by("value", "pos").alias("value"))
 
