@@ -7,9 +7,9 @@ give the keys alive throughout, and ``referenced AND NOT alive`` leaves the keys
 the rows of those keys are compared with the targets' exact spans, since a target may begin or end
 inside the month.
 
-A key that a third of all rows reference is one bit after the map-side part of the aggregation, and
-a key range with all its months is bounded (two 4 KB bitmaps a month and field), so no task holds an
-unbounded group.
+A key that a third of all rows reference is one bit after the map-side part of the aggregation, its
+rows meet it again in ``PARTS`` parts, and a key range with all its months is bounded (two 4 KB bitmaps
+a month and field), so no task holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -29,6 +29,9 @@ RANGE = 32768
 #: A bitmap with fewer bits than this is kept as 16-bit positions, which take less room.
 SPARSE = RANGE // 16
 
+#: Parts over which the referring rows of one key and month are spread.
+PARTS = 8
+
 REFERENCE_COLUMNS = ("ref_table", "ref_field", "scope", "row_key", "target_kind", "target_id", "at")
 TARGET_COLUMNS = ("target_kind", "scope", "target_id", "from_at", "to_at")
 
@@ -133,18 +136,21 @@ def orphan_references(refs: DataFrame, spans: DataFrame) -> DataFrame:
     tables are fine on either side.
     """
     key = ["target_kind", "scope", "target_id"]
-    refs = refs.select(*REFERENCE_COLUMNS).withColumn("at", F.col("at").cast("timestamp_ntz"))
+    # Copies fall together before anything else is shuffled; what is left of a key is its distinct referring rows.
+    refs = cut(refs.select(*REFERENCE_COLUMNS).withColumn("at", F.col("at").cast("timestamp_ntz")).distinct())
     undated = refs.filter(F.col("at").isNull() | F.col("scope").isNull())
     refs = refs.filter(F.col("at").isNotNull() & F.col("scope").isNotNull()).withColumn("month", _month(F.col("at")))
-    spans = cut(merged_spans(spans.select(*TARGET_COLUMNS).filter(F.col("scope").isNotNull())))
+    spans = merged_spans(spans.select(*TARGET_COLUMNS).filter(F.col("scope").isNotNull()))
 
-    # Dictionary: keys sorted by document, so that a key range holds neighbours and few months.
-    asked = cut(refs.groupBy("ref_table", "ref_field", *key, "month").agg(F.lit(1).alias("one")).drop("one"))
-    keys = asked.select(*key).union(spans.select(*key)).distinct()
-    codes = cut(keys.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("code", F.monotonically_increasing_id() + 1))
+    # Dictionary: one row per key with all that is known of it, sorted by document, so that a key range holds
+    # neighbours and few months. A key has few spans (they do not overlap) and one entry per month and field.
+    asked = refs.groupBy("ref_table", "ref_field", *key, "month").agg(F.lit(1).alias("one")).select(*key, F.struct("ref_table", "ref_field", "month").alias("ask"), F.lit(None).cast("struct<from_at:timestamp_ntz,to_at:timestamp_ntz>").alias("span"))
+    known = asked.unionByName(spans.select(*key, F.lit(None).cast(asked.schema["ask"].dataType).alias("ask"), F.struct("from_at", "to_at").alias("span")))
+    keys = known.groupBy(*key).agg(F.collect_list("ask").alias("asks"), F.array_sort(F.collect_list("span")).alias("spans"))
+    keys = cut(keys.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("code", F.monotonically_increasing_id() + 1))
 
-    referenced = bitmaps(asked.join(codes, key), "ref_table", "ref_field", "month")
-    coded = spans.join(codes, key)
+    referenced = bitmaps(keys.select("code", F.inline("asks")), "ref_table", "ref_field", "month")
+    coded = keys.select("code", F.inline("spans"))
     first = F.when(_starts_month(F.col("from_at")), _month(F.col("from_at"))).otherwise(_month(F.col("from_at")) + 1)
     whole = coded.select("code", first.alias("first"), _month(F.col("to_at")).alias("after")).filter("first < after")
     changes = whole.select("code", F.inline(F.array(
@@ -157,13 +163,14 @@ def orphan_references(refs: DataFrame, spans: DataFrame) -> DataFrame:
         .applyInPandas(_and_not, "ref_table string, ref_field string, month int, code long")
     )
 
-    # Back to rows; a target that lives for part of the month is compared to the instant.
-    suspects = left.join(codes, "code").select("ref_table", "ref_field", "month", *key)
-    rows = refs.join(suspects, ["ref_table", "ref_field", "month", *key], "left_semi").distinct()
-    s = spans.select(*[F.col(k).alias(f"s_{k}") for k in key], "from_at", "to_at")
-    on = [F.col(k) == F.col(f"s_{k}") for k in key] + [F.col("at") >= F.col("from_at"), F.col("at") < F.col("to_at")]
-    orphans = rows.join(s, on, "left_anti").drop("month")
-    return orphans.unionByName(undated.distinct()).withColumn("ref_month", F.date_format("at", "yyyy-MM"))
+    # Back to rows; a target that lives for part of the month is compared to the instant. The suspects bring
+    # their spans along, and each is spread over the parts of its referring rows: a key that a third of all
+    # rows reference meets its rows in PARTS tasks.
+    suspects = left.join(keys.select("code", *key, "spans"), "code").select("ref_table", "ref_field", "month", *key, "spans", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    rows = refs.withColumn("part", F.pmod(F.xxhash64("row_key", "at"), F.lit(PARTS)).cast("int")).join(suspects, ["ref_table", "ref_field", "month", *key, "part"])
+    alive = F.exists("spans", lambda s: (F.col("at") >= s["from_at"]) & (F.col("at") < s["to_at"]))
+    orphans = rows.filter(~alive).select(*REFERENCE_COLUMNS)
+    return orphans.unionByName(undated).withColumn("ref_month", F.date_format("at", "yyyy-MM"))
 
 
 def orphan_counts(orphans: DataFrame) -> DataFrame:
