@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 # Letters that look like a Latin letter (Cyrillic and Greek, small and capital; script g).
 LOOKS_LATIN = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
-    "А": "A", "В": "B", "Е": "E", "З": "3", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Ѕ": "S", "Т": "T", "У": "Y", "Х": "X",
+    "А": "A", "В": "B", "Е": "E", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Ѕ": "S", "Т": "T", "У": "Y", "Х": "X",
     "ο": "o", "ν": "v", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "ɡ": "g", "ɑ": "a", "ı": "i", "K": "K", "Å": "Å",
+    "ɡ": "g", "ɑ": "a", "K": "K", "Å": "Å",
 }
-del LOOKS_LATIN["З"], LOOKS_LATIN["ı"]
 
 #: Latin letters that look like a Cyrillic one.
 LOOKS_CYRILLIC = {latin: c for c, latin in LOOKS_LATIN.items() if "Ѐ" <= c <= "џ"} | {"ο": "о", "Ο": "О", "Α": "А", "Β": "В", "Ε": "Е", "Η": "Н", "Κ": "К", "Μ": "М", "Ρ": "Р", "Τ": "Т", "Χ": "Х"}

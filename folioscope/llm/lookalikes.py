@@ -15,13 +15,14 @@ member meet the rows again.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ..session import cut
 from .characters import folded, plain_form
+from .vocabulary import meet
 
 #: A word with its accents and joiners, or one mark or blank beyond ASCII.
 VALUE = r"[\p{L}\p{M}\p{N}\p{Cf}]+|[^\p{L}\p{M}\p{N}\p{Cf}\x{20}-\x{7E}]"
@@ -40,21 +41,27 @@ def page_texts(alto_string: DataFrame, page_line: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["tbl", "mets_id", "page_no", "row_id", "text"])
 
 
-def _letters(pattern: str) -> Column:
-    return F.coalesce(F.sum(F.length(F.regexp_replace("text", f"[^{pattern}]", ""))).over(W.partitionBy("tbl", "mets_id", "page_no")), F.lit(0))
-
-
 def with_script(rows: DataFrame) -> DataFrame:
     """Adds ``script``, the one with most letters on the row's page (``Pers`` is Arabic script with
-    more letters that only Persian uses than such that only Arabic uses; ``none`` without letters)."""
-    counts = rows.withColumns({"_l": _letters("A-Za-zÀ-ɏ"), "_c": _letters("Ѐ-ӿ"), "_a": _letters("؀-ۿ"),
-                               "_p": _letters("پچژگکی"), "_q": _letters("يكىةأإ")})
+    more letters that only Persian uses than such that only Arabic uses; ``none`` without letters).
+
+    A row whose work or page is null is judged by itself.
+    """
+    beyond = F.col("text").rlike(r"[^\x00-\x7F]")
+    letters = lambda pattern: F.length(F.regexp_replace("text", f"[^{pattern}]+", ""))
+    other = lambda pattern: F.when(beyond, letters(pattern)).otherwise(0)
+    counts = rows.withColumns({
+        "_l": F.when(beyond, letters("A-Za-zÀ-ɏ")).otherwise(letters("A-Za-z")), "_c": other("Ѐ-ӿ"), "_a": other("؀-ۿ"), "_p": other("پچژگکی"), "_q": other("يكىةأإ"),
+        "_own": F.when(F.col("mets_id").isNull() | F.col("page_no").isNull(), F.col("row_id")),
+    })
+    page = W.partitionBy("tbl", "mets_id", "page_no", "_own")
+    counts = counts.withColumns({c: F.sum(c).over(page) for c in ("_l", "_c", "_a", "_p", "_q")})
     most = F.greatest("_l", "_c", "_a")
     script = (
         F.when(most == 0, "none").when(F.col("_l") == most, "Latn").when(F.col("_c") == most, "Cyrl")
         .when(F.col("_p") > F.col("_q"), "Pers").otherwise("Arab")
     )
-    return counts.withColumn("script", script).drop("_l", "_c", "_a", "_p", "_q")
+    return counts.withColumn("script", script).drop("_l", "_c", "_a", "_p", "_q", "_own")
 
 
 @F.pandas_udf(T.StringType())
@@ -93,13 +100,15 @@ def canonical_values(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def deviating_values(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(tbl, row_id, script, value, canonical) for each value of a row that is not its class's canonical member."""
-    rows = cut(with_script(rows))  # read twice: for the classes, and to meet them
+    """(tbl, row_id, script, value, canonical) for each value of a row (with ``script``) that is not its
+    class's canonical member. A frequent value is met apart from the others (``vocabulary.meet``)."""
     odd = canonical_values(rows, lexicon).filter("value <> canonical")
+    key = F.concat_ws("\u0001", "script", "value")
     # Plain ASCII on a Latin page is canonical by construction, so such values need not meet the classes.
-    seen = rows.select("tbl", "row_id", "script", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(VALUE), F.lit(0)))).alias("value"))
+    ascii_ = F.col("text").rlike(r"\A[\x{20}-\x{7E}]*\z") & (F.col("script") == "Latn")
+    seen = rows.filter(~ascii_).select("tbl", "row_id", "script", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(VALUE), F.lit(0)))).alias("value"))
     seen = seen.filter(~((F.col("script") == "Latn") & F.col("value").rlike(r"\A[\x{20}-\x{7E}]*\z")))
-    return seen.join(odd, ["script", "value"])
+    return meet(seen, key, cut(odd.select(key.alias("key"), "canonical")), "key", "inner")
 
 
 def lookalike_rows(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -108,15 +117,15 @@ def lookalike_rows(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     Null, empty and blank texts have no values. Ties between members go to the lesser in binary
     order. Works on empty tables.
     """
-    return deviating_values(rows, lexicon).select("tbl", "row_id").distinct()
+    return deviating_values(cut(with_script(rows)), lexicon).select("tbl", "row_id").distinct()
 
 
 def normalised_rows(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     """The rows (tbl, row_id, text) with every deviating value replaced by its canonical member."""
+    rows = cut(with_script(rows))  # read for the classes, to meet them, and for the result
     odd = deviating_values(rows, lexicon).groupBy("tbl", "row_id").agg(
         F.map_from_entries(F.collect_set(F.struct("value", "canonical"))).alias("new")
     )
     pieces = F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))
     better = F.array_join(F.transform(pieces, lambda t: F.coalesce(F.try_element_at("new", t), t)), "")
     return rows.join(odd, ["tbl", "row_id"], "left").select("tbl", "row_id", F.when(F.col("new").isNotNull(), better).otherwise(F.col("text")).alias("text"))
-

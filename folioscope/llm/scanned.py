@@ -17,7 +17,7 @@ misread words put right.
 
 Pages are kept by blocks of ``BLOCK`` scans. Work-wide counts are summed up per block, then per work,
 and handed back to the blocks, so that no step gathers a work: a work with a third of all pages is
-spread like any other. Words meet the vocabulary through ``_meet``, which parts frequent words from
+spread like any other. Words meet the vocabulary through ``vocabulary.meet``, which parts frequent words from
 the others, so that no word is gathered either.
 """
 
@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from ..session import cut
 from .characters import BLANK_CLASS, ZERO_WIDTH, _BMP_WIDE, word_form
+from .vocabulary import is_small, meet
 
 #: Scans before and after a page on which its edge lines are sought one by one.
 REACH = 4
@@ -46,10 +47,6 @@ HEAD_DIFFERENCE = 0.2
 NAME_COUNT = 5
 #: A word so many times as frequent makes a rare near miss of it a misreading.
 DOMINANCE = 10
-#: Words that are shipped to every task at most; a larger vocabulary is joined by shuffle.
-BROADCAST_WORDS = 200_000
-#: A word that makes up more than this part of all is frequent: there are at most as many of them as the number says.
-FREQUENT = 10_000
 
 # Signs that break a word at the end of a line.
 HYPHENS = "-⸗=¬‐‑­"
@@ -277,30 +274,6 @@ def _known(lexicon: DataFrame) -> DataFrame:
     return lexicon.filter("word IS NOT NULL").select(_form("word").alias("word_in")).distinct()
 
 
-def _few(df: DataFrame, bound: int) -> bool:
-    return df.limit(bound + 1).count() <= bound
-
-
-def _meet(df: DataFrame, on: Column, words: DataFrame, key: str, how: str = "left", small: bool | None = None) -> DataFrame:
-    """``df`` joined with ``words`` (one row per ``key``, which goes) where the expression ``on`` is the key.
-
-    Up to ``BROADCAST_WORDS`` words are sent to every task (``small`` tells if that has been checked).
-    Of more, the frequent ones (of which there are ``FREQUENT`` at most, whatever the size of ``df``) are
-    sent, and only rows with other words are shuffled by their word.
-    """
-    w = words.withColumnRenamed(key, "_w")
-    if _few(w, BROADCAST_WORDS) if small is None else small:
-        return df.join(F.broadcast(w), on == F.col("_w"), how).drop("_w")
-    df = df.withColumn("_on", on)
-    counts = df.groupBy("_on").agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    often = cut(counts.filter((F.col("_n") > total / FREQUENT) & F.col("_on").isNotNull()).select("_on"))
-    hot, cold = df.join(F.broadcast(often), "_on", "left_semi"), df.join(F.broadcast(often), "_on", "left_anti")
-    hot_words = w.join(F.broadcast(often), F.col("_w") == F.col("_on"), "left_semi")
-    hot = hot.join(F.broadcast(hot_words), F.col("_on") == F.col("_w"), how)
-    return hot.unionByName(cold.join(w, F.col("_on") == F.col("_w"), how)).drop("_w", "_on")
-
-
 def _skeleton(x: Column, order: int = 0) -> Column:
     for a, b in CONFUSIONS[order]:
         x = F.replace(x, F.lit(a), F.lit(b))
@@ -325,7 +298,7 @@ def misreadings(counts: DataFrame, known: DataFrame) -> DataFrame:
     """
     known = known.filter("word_in <> ''")
     flagged = counts.withColumn("often", F.col("n_inside") >= NAME_COUNT)
-    flagged = _meet(flagged, F.col("core"), known.withColumn("in_lexicon", F.lit(True)), "word_in")
+    flagged = meet(flagged, F.col("core"), known.withColumn("in_lexicon", F.lit(True)), "word_in")
     flagged = cut(flagged.withColumn("in_lexicon", F.coalesce("in_lexicon", F.lit(False))))
     number = F.col("core").rlike(r"\A[\p{N}]+(?:[.,:/\-–][\p{N}]+)*(?:st|nd|rd|th|er|e|te|ten|n)?\z") | F.col("core").rlike(r"\A\p{L}{0,2}[²³½¼¾]\z")
     unknown = flagged.filter(~F.col("in_lexicon") & ~number & (F.col("core") != ""))
@@ -366,7 +339,6 @@ class Scans:
 
     def __init__(self, alto_string: DataFrame, page_line: DataFrame, lexicon: DataFrame):
         self.known = cut(_known(lexicon))
-        self.known_small = _few(self.known, BROADCAST_WORDS)
         raw = cut(page_words(alto_string, page_line))
         pages = raw.join(page_furniture(raw), _PAGE, "left")
         # A row without a place meets no page's furniture, since its work, page or line is null.
@@ -418,9 +390,9 @@ class Scans:
         conj = F.col("better").isin(*CONJUNCTIONS)
         vocabulary = says(self.known, "word_in", known=F.lit(True)).unionByName(says(own.filter(F.col("name") | conj), "core", name=F.col("name"), conj=F.coalesce(conj, F.lit(False))))
         vocabulary = cut(vocabulary.groupBy("word").agg(*[F.max(n).alias(n) for n in ("known", "name", "conj")]))
-        small = _few(vocabulary, BROADCAST_WORDS)
+        small = is_small(vocabulary)
         for c in ("fa", "f1", "f2", "c1", "c2"):
-            e = _meet(e, F.col(c), vocabulary.select("word", F.struct("known", "name", "conj").alias(f"is_{c}")), "word", small=small)
+            e = meet(e, F.col(c), vocabulary.select("word", F.struct("known", "name", "conj").alias(f"is_{c}")), "word", small=small)
         is_ = lambda c, what: F.coalesce(F.col(f"is_{c}.{what}"), F.lit(False))
         w1, w2 = is_("c1", "known") | is_("c1", "name"), is_("c2", "known") | is_("c2", "name")
         starts = F.col("b1.tok").rlike(r"\A[\p{L}\p{M}\p{Cf}]")
@@ -461,7 +433,7 @@ class Scans:
         # "Land-" before "oder" is the beginning of a word, not a misread one.
         open_ = F.when(F.col("tok").rlike(rf"[{HYPHENS}]\W*\z"), F.col("core"))
         forms = forms.join(prefixes, open_ == F.col("stem"), "left_anti")
-        tokens = _meet(self._tokens(), F.col("tok"), cut(forms.select(F.col("tok").alias("word"), "better")), "word", "inner")
+        tokens = meet(self._tokens(), F.col("tok"), cut(forms.select(F.col("tok").alias("word"), "better")), "word", "inner")
         j = self.joins()
         ends = j.select(*_PAGE, "line_ord", (F.col("n_words") - 1).alias("pos"))
         starts = j.select("tbl", "mets_id", F.col("next_page").alias("page_no"), F.col("next_ord").alias("line_ord"), F.lit(0).alias("pos"))

@@ -2,7 +2,7 @@ import pytest
 
 pytest.importorskip("folioscope.llm")
 
-from folioscope.llm import scanned  # noqa: E402
+from folioscope.llm import scanned, vocabulary  # noqa: E402
 
 A = "string_rid long, mets_id long, page_no int, line_ord int, string_ord int, content string"
 P = "line_rid long, mets_id long, page_no int, line_ord int, text_equiv string"
@@ -63,10 +63,10 @@ def test_words_met_by_shuffle_and_by_broadcast(spark, monkeypatch):
     rows = spark.createDataFrame([(i, "und" if i % 3 else f"w{i % 40}") for i in range(600)] + [(999, None)], "id long, tok string")
     words = spark.createDataFrame([("und", 1), ("w3", 2), ("w9", 3), ("no", 4)], "word string, n int")
     for how in ("left", "inner"):
-        want = sorted(map(tuple, scanned._meet(rows, rows["tok"], words, "word", how).collect()), key=repr)
-        monkeypatch.setattr(scanned, "BROADCAST_WORDS", 0)
-        assert sorted(map(tuple, scanned._meet(rows, rows["tok"], words, "word", how).collect()), key=repr) == want
-        monkeypatch.setattr(scanned, "BROADCAST_WORDS", 200_000)
+        want = sorted(map(tuple, vocabulary.meet(rows, rows["tok"], words, "word", how).collect()), key=repr)
+        monkeypatch.setattr(vocabulary, "BROADCAST_WORDS", 0)
+        assert sorted(map(tuple, vocabulary.meet(rows, rows["tok"], words, "word", how).collect()), key=repr) == want
+        monkeypatch.setattr(vocabulary, "BROADCAST_WORDS", 200_000)
 
 
 def test_a_misread_conjunction_still_parts_a_compound(spark):
