@@ -83,11 +83,11 @@ def page_words(alto_string: DataFrame, page_line: DataFrame) -> DataFrame:
     rows = a.unionByName(p).filter(F.col("row_id").isNotNull()).distinct()
     rows = rows.withColumns({"block": F.floor(F.col("page_no") / BLOCK), "lone": F.when(~placed, F.col("row_id"))})
     rows = rows.repartition("tbl", "mets_id", "block", "lone")
-    lines = rows.groupBy(*_KEY, "line_ord").agg(F.array_sort(F.collect_list(F.struct("ord", "row_id", "text"))).alias("rows"))
+    lines = rows.groupBy(*_KEY, "line_ord").agg(F.sort_array(F.collect_list(F.struct("ord", "row_id", "text"))).alias("rows"))
     toks = lambda r: F.filter(F.split(F.coalesce(r["text"], F.lit("")), BLANK_CLASS + "+"), lambda t: t != "")
     words = F.flatten(F.transform("rows", lambda r: F.transform(toks(r), lambda t: F.struct(r["row_id"].alias("id"), t.alias("tok")))))
     line = F.struct("line_ord", F.array_distinct(F.transform("rows", lambda r: r["row_id"])).alias("ids"), words.alias("words"))
-    return lines.select(*_KEY, line.alias("line")).groupBy(*_KEY).agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    return lines.select(*_KEY, line.alias("line")).groupBy(*_KEY).agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
 def _edge_text(words: Column) -> Column:
@@ -163,7 +163,7 @@ def _recurring_afar(lone: DataFrame) -> DataFrame:
     but = lambda a, i: F.concat(F.slice(a, F.lit(1), i), F.slice(a, i + 2, F.size(a)))
     less = F.transform("words", lambda w, i: F.array_join(but(F.col("words"), i), " "))
     keys = F.when(F.size("words") == 1, _deletions(F.col("x"), twice=False)).otherwise(F.transform(F.array_distinct(F.concat(F.array("x"), less)), lambda t: F.xxhash64(t)))
-    rows = lone.withColumn("key", F.explode(F.array_distinct(keys))).drop("x", "words")
+    rows = cut(lone.withColumn("key", F.explode(F.array_distinct(keys))).drop("x", "words"))
     by = ["tbl", "mets_id", "side", "at", "key"]
     block = rows.groupBy(*by, "block").agg(F.count("*").alias("n"))  # a page has a place and key once
     often = block.groupBy(*by).agg(F.sum("n").alias("n")).filter(F.col("n") >= FAR_PAGES).select(*by)
