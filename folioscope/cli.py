@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import spelling
 from .operators import geometry, reports, training_pairs
-from .operators.pairing import match_images
+from .operators.pairing import file_name, match_images
 from .plans.evaluation import Evaluation
 from .session import cut, ship
 from .sources import layout, mets, writers
@@ -50,7 +50,7 @@ def parser() -> argparse.ArgumentParser:
 
     s = sub.add_parser("slice", help="cut lines of images with their texts")
     s.add_argument("data")
-    s.add_argument("-i", "--images", required=True, help="folder of PGM or PPM images")
+    s.add_argument("-i", "--images", required=True, help="folder of PNG, TIFF, PGM or PPM images")
     s.add_argument("-o", "--output", default="training_data")
     s.add_argument("-m", "--minchars", type=int, default=1)
     s.add_argument("-s", "--summary", action="store_true")
@@ -77,14 +77,14 @@ def _polygon(text: str | None) -> list[tuple[float, float]] | None:
 
 
 def _images(spark: SparkSession, pages: DataFrame, folder: str) -> DataFrame:
-    """(path, image) of pages with exactly one image; more than one is an error."""
-    found = layout.files(spark, folder, "*.{pgm,ppm}", recursive=False)
-    names = found.select(F.regexp_replace("path", r"\.p[gp]m\z", ".png").alias("path"))
-    matched = match_images(pages.select("path"), names)
+    """(path, image) of pages: the image that a PAGE file names, else the one whose name fits; more than one is an error."""
+    found = layout.files(spark, folder, "*.{png,tif,tiff,pgm,ppm}", recursive=False)
+    own = layout.image_names(pages).filter("image_name IS NOT NULL")
+    by_name = own.join(found.select(file_name(F.col("path")).alias("image_name"), F.col("path").alias("path_image")), "image_name").select("path", "path_image")
+    matched = match_images(pages.select("path").join(by_name, "path", "left_anti"), found.select("path"))
     one = F.when(F.col("n_images") > 1, F.raise_error(F.concat(F.lit("several images for "), "path")).cast("string")).otherwise(F.col("path_image"))
-    stem = F.regexp_replace("path_image", r"\.png\z", "")
-    got = matched.filter("n_images > 0").withColumn("path_image", one).withColumn("_stem", stem)
-    return got.join(found.select(F.regexp_replace("path", r"\.p[gp]m\z", "").alias("_stem"), F.col("content").alias("image")), "_stem").select("path", "image")
+    got = by_name.unionByName(matched.filter("n_images > 0").select("path", one.alias("path_image")))
+    return got.join(found.select(F.col("path").alias("path_image"), F.col("content").alias("image")), "path_image").select("path", "image")
 
 
 def run(argv: Sequence[str], spark: SparkSession) -> list[str]:
@@ -114,11 +114,12 @@ def run(argv: Sequence[str], spark: SparkSession) -> list[str]:
             lines += [r["line"] for r in reports.pair_lines(scores).orderBy("path_candidate").toLocalIterator()]
         return lines + [r["line"] for r in reports.summary_lines(ev.run(scores)).orderBy("eval_key", "part").toLocalIterator()]
     if a.command == "frame":
-        pieces = cut(layout.read_pieces(layout.files(spark, a.input)))
-        framed = geometry.cut_to_frame(pieces.filter("error IS NULL"), _polygon(a.points))
-        writers.write_xml(writers.to_xml(framed), a.output)
-        log = geometry.change_log(pieces.filter("error IS NULL"), framed).orderBy("level", "change")
-        return [f"{r['level']} {r['change']}: {r['n']}" for r in log.toLocalIterator()]
+        done = cut(writers.framed_files(layout.files(spark, a.input), _polygon(a.points)))
+        writers.write_xml(done.filter("error IS NULL"), a.output)
+        broken = [f"{r['path']}: {r['error']}" for r in done.filter("error IS NOT NULL").orderBy("path").toLocalIterator()]
+        count = lambda what: done.select(F.explode(what).alias("name", "n")).groupBy("name").agg(F.sum("n").alias("n")).withColumn("change", F.lit(what))
+        log = count("removed").unionByName(count("resized")).orderBy("name", "change")
+        return broken + [f"{r['name']} {r['change']}: {r['n']}" for r in log.toLocalIterator()]
     if a.command == "corpus":
         return [r["href"] for r in mets.select_hrefs(mets.read_mets(layout.files(spark, a.mets, "*", recursive=False)), a.filter_by).toLocalIterator()]
     pages = layout.files(spark, a.data, recursive=False)
@@ -130,6 +131,7 @@ def run(argv: Sequence[str], spark: SparkSession) -> list[str]:
     done = training_pairs.write_pairs(lines, images, a.output, a.sanitize, a.intrusion_ratio, a.rotation_threshold, a.padding, a.binarize)
     out = [f"{r['name']}: {r['reason'] or 'written'}" for r in done.orderBy("path", "name").toLocalIterator()]
     if a.summary:
+        training_pairs.write_summaries(lines, a.output)
         out += [r["text"] for r in training_pairs.summary_lines(lines).orderBy("prefix", "line_ord").toLocalIterator()]
     return out
 

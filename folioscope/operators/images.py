@@ -6,6 +6,8 @@ an image library pixel by pixel.
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -219,8 +221,87 @@ def painted(image: np.ndarray, shapes: Sequence[Polygon], colour: tuple[int, int
     return np.round(rgb * (1 - strength) + layer * strength).astype(np.uint8)
 
 
+def _grey(pixels: np.ndarray) -> np.ndarray:
+    """Rows of pixels with 1 to 4 channels as grey; a last channel of transparency is left out."""
+    if pixels.shape[2] < 3:
+        return pixels[:, :, 0].copy()
+    return np.round(pixels[:, :, :3] @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
+
+
+def _png_pixels(content: bytes) -> np.ndarray:
+    """Pixels of a PNG image of 8 bits a channel, without interlacing."""
+    at, data, palette = 8, b"", None
+    while at < len(content):
+        size, kind = int.from_bytes(content[at : at + 4], "big"), content[at + 4 : at + 8]
+        body = content[at + 8 : at + 8 + size]
+        if kind == b"IHDR":
+            width, height, depth, colour, woven = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big"), body[8], body[9], body[12]
+            if depth != 8 or woven:
+                raise ValueError("only PNG images of 8 bits without interlacing are read")
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            data += body
+        at += size + 12
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    rows = np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, 1 + width * channels)
+    out = np.zeros((height, width, channels), np.int32)
+    above = np.zeros((width, channels), np.int32)
+    for y in range(height):
+        method, line = rows[y, 0], rows[y, 1:].reshape(width, channels).astype(np.int32)
+        if method == 0:
+            pass
+        elif method == 1:
+            line = np.cumsum(line, axis=0)
+        elif method == 2:
+            line = line + above
+        else:  # these two need the pixel to the left, one by one
+            left = corner = np.zeros(channels, np.int32)
+            for x in range(width):
+                if method == 3:
+                    guess = (left + above[x]) // 2
+                else:
+                    p = left + above[x] - corner
+                    a, b, c = abs(p - left), abs(p - above[x]), abs(p - corner)
+                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, above[x], corner))
+                corner, left = above[x], (line[x] + guess) % 256
+                line[x] = left
+        above = out[y] = line % 256
+    return palette[out[:, :, 0]] if palette is not None and colour == 3 else out.astype(np.uint8)
+
+
+def _tiff_tags(content: bytes) -> tuple[str, dict[int, list[int]]]:
+    """Byte order and the whole-number tags of the first image of a TIFF file (of fractions: where they stand)."""
+    order = "little" if content[:2] == b"II" else "big"
+    num = lambda at, n: int.from_bytes(content[at : at + n], order)
+    at, tags = num(4, 4), {}
+    for k in range(num(at, 2)):
+        e = at + 2 + 12 * k
+        size, n = {1: 1, 3: 2, 4: 4}.get(num(e + 2, 2), 0), num(e + 4, 4)
+        start = e + 8 if size * n <= 4 else num(e + 8, 4)
+        tags[num(e, 2)] = [num(start + size * i, size) for i in range(n)] if size else [num(e + 8, 4)]
+    return order, tags
+
+
+def _tiff_pixels(content: bytes) -> np.ndarray:
+    """Pixels of a TIFF image of 8 bits a channel in strips, plain or deflated."""
+    _, tags = _tiff_tags(content)
+    one = lambda tag, default: tags.get(tag, [default])[0]
+    width, height, channels, packed = one(256, 0), one(257, 0), one(277, 1), one(259, 1)
+    if any(b != 8 for b in tags.get(258, [1])) or packed not in (1, 8, 32946) or one(284, 1) != 1 or 273 not in tags or one(317, 1) != 1:
+        raise ValueError("only plain or deflated TIFF images of 8 bits in strips are read")
+    strips = [content[a : a + n] for a, n in zip(tags[273], tags[279], strict=True)]
+    data = b"".join(strips if packed == 1 else map(zlib.decompress, strips))
+    pixels = np.frombuffer(data, np.uint8, width * height * channels).reshape(height, width, channels)
+    return 255 - pixels if one(262, 1) == 0 else pixels
+
+
 def read_grey(content: bytes) -> np.ndarray:
-    """A binary PGM or PPM image as grey."""
+    """A PNG, TIFF, binary PGM or PPM image as grey."""
+    if content[:8] == b"\x89PNG\r\n\x1a\n":
+        return _grey(_png_pixels(content))
+    if content[:4] in (b"II*\0", b"MM\0*"):
+        return _grey(_tiff_pixels(content))
     fields, at = [], 0
     while len(fields) < 4:
         end = at
@@ -241,10 +322,31 @@ def read_grey(content: bytes) -> np.ndarray:
     raise ValueError(f"unknown image format {kind!r}")
 
 
-def write_image(image: np.ndarray) -> bytes:
-    """A binary PGM (grey) or PPM (colour) image."""
-    kind = b"P5" if image.ndim == 2 else b"P6"
-    return kind + b"\n%d %d\n255\n" % (image.shape[1], image.shape[0]) + np.ascontiguousarray(image, dtype=np.uint8).tobytes()
+def write_image(image: np.ndarray, kind: str = "pnm", dpi: tuple[int, int] = (300, 300)) -> bytes:
+    """An image of grey or colour as ``tif`` (deflated, with its resolution), ``png`` (likewise) or ``pnm``."""
+    image = np.ascontiguousarray(image, dtype=np.uint8)
+    height, width, channels = *image.shape[:2], 1 if image.ndim == 2 else 3
+    if kind == "pnm":
+        return (b"P5" if channels == 1 else b"P6") + b"\n%d %d\n255\n" % (width, height) + image.tobytes()
+    if kind == "png":
+        chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+        rows = np.concatenate([np.zeros((height, 1), np.uint8), image.reshape(height, -1)], axis=1)
+        per_metre = [round(d / 0.0254) for d in dpi]
+        return b"\x89PNG\r\n\x1a\n" + b"".join([
+            chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0 if channels == 1 else 2, 0, 0, 0)),
+            chunk(b"pHYs", struct.pack(">IIB", *per_metre, 1)), chunk(b"IDAT", zlib.compress(rows.tobytes())), chunk(b"IEND", b""),
+        ])
+    if kind != "tif":
+        raise ValueError(f"unknown kind of image {kind!r}")
+    data = zlib.compress(image.tobytes())
+    # Header, one directory of 13 entries, its longer values, then the strip.
+    more = 8 + 2 + 13 * 12 + 4
+    entries = [
+        (256, 4, 1, width), (257, 4, 1, height), (258, 3, channels, 8 if channels == 1 else more + 16), (259, 3, 1, 8), (262, 3, 1, 1 if channels == 1 else 2),
+        (273, 4, 1, more + 22), (277, 3, 1, channels), (278, 4, 1, height), (279, 4, 1, len(data)), (282, 5, 1, more), (283, 5, 1, more + 8), (284, 3, 1, 1), (296, 3, 1, 2),
+    ]
+    table = b"".join(struct.pack("<HHII", *e) for e in entries)
+    return b"II*\0" + struct.pack("<IH", 8, len(entries)) + table + struct.pack("<I", 0) + struct.pack("<IIII", dpi[0], 1, dpi[1], 1) + struct.pack("<HHH", 8, 8, 8) + data
 
 
 def dots_per_inch(content: bytes, default: int = 300) -> tuple[int, int]:

@@ -81,7 +81,7 @@ def match_images(pages: DataFrame, images: DataFrame) -> DataFrame:
     offered under their stem and pages under their stem and its parts, which meet by equality.
     """
     stem = lambda c: F.regexp_extract(file_name(F.col(c)), r"\A[^.]*", 0)
-    i = images.filter(file_name(F.col("path")).rlike(r"(?i)\.(?:jpe?g|tiff?|png)\z")).select(F.col("path").alias("path_image"), stem("path").alias("_stem"))
+    i = images.filter(file_name(F.col("path")).rlike(r"(?i)\.(?:jpe?g|tiff?|png|p[gp]m)\z")).select(F.col("path").alias("path_image"), stem("path").alias("_stem"))
     p = pages.withColumn("_name", file_name(F.col("path"))).join(_lengths(i, F.col("_stem")))
     hit = p.select("path", F.explode(_parts(F.col("_name"), F.col("_ls"))).alias("_stem")).join(i, "_stem")
     found = hit.groupBy("path").agg(F.count("*").alias("n_images"), F.min("path_image").alias("path_image"))

@@ -14,6 +14,7 @@ from . import images
 from .filters import long_enough
 from .geometry import point_list, vertex_mean
 from .pairing import file_stem
+from ..sources.files import save
 
 MANIFEST = "path string, line_id string, text string, name string, written boolean, reason string"
 
@@ -45,9 +46,10 @@ def write_pairs(
     lines: DataFrame, image_files: DataFrame, folder: str, sanitize: bool = True, ratio: float | Sequence[float] = 0.1, turn_from: float = 0.1,
     padding: int = 0, binarize: bool = False,
 ) -> DataFrame:
-    """Writes ``<prefix>/<name>.gt.txt`` and ``.pgm`` below ``folder`` (shared by all executors) and returns the manifest.
+    """Writes ``<prefix>/<name>.gt.txt`` and ``.tif`` with the page image's resolution below ``folder`` (shared by
+    all executors, or with a scheme) and returns the manifest.
 
-    ``image_files`` has (path, image): the page's file and its image as PGM or PPM. A line whose part
+    ``image_files`` has (path, image): the page's file and its image as PNG, TIFF, PGM or PPM. A line whose part
     is black or lies outside the image is skipped with a reason. Each page's lines are cut from one
     decoded image.
     """
@@ -57,7 +59,8 @@ def write_pairs(
         for r in rows.sort_values("line_ord").itertuples():
             reason = None
             try:
-                page = images.read_grey(bytes(r.image)) if page is None else page
+                if page is None:
+                    page, dpi = images.read_grey(bytes(r.image)), images.dots_per_inch(bytes(r.image))
                 shape = [tuple(map(int, p.split(","))) for p in r.points.split()]
                 part = images.crop(page, shape)
                 if not part.any():
@@ -66,12 +69,9 @@ def write_pairs(
                     part = images.sanitized(part, shape, ratio, turn_from, padding)
                 if binarize:
                     part = images.binarized(part)
-                os.makedirs(os.path.join(folder, r.prefix), exist_ok=True)
-                base = os.path.join(folder, r.prefix, r.name)
-                with open(f"{base}.pgm", "wb") as f:
-                    f.write(images.write_image(part))
-                with open(f"{base}.gt.txt", "w", encoding="utf-8") as f:
-                    f.write(r.text)
+                base = f"{folder.rstrip('/')}/{r.prefix}/{r.name}"
+                save(f"{base}.tif", images.write_image(part, "tif", dpi))
+                save(f"{base}.gt.txt", r.text.encode())
             except ValueError as e:
                 reason = str(e)
             out.append((r.path, r.line_id, r.text, r.name, reason is None, reason))
@@ -81,6 +81,17 @@ def write_pairs(
     return named.groupBy("path").applyInPandas(cut, MANIFEST)
 
 
+def write_summaries(lines: DataFrame, folder: str) -> None:
+    """Writes the texts of each page's lines to ``<prefix>_summary.gt.txt`` below ``folder``, a line each."""
+    pages = with_names(lines).groupBy("prefix").agg(F.array_sort(F.collect_list(F.struct("line_ord", "text"))).alias("ls"))
+
+    def write(rows) -> None:
+        for r in rows:
+            save(f"{folder.rstrip('/')}/{r['prefix']}_summary.gt.txt", "".join(f"{x['text']}\n" for x in r["ls"]).encode())
+
+    pages.foreachPartition(write)
+
+
 def summary_lines(lines: DataFrame) -> DataFrame:
     """(prefix, line_ord, text): the lines of each page's summary file."""
     return with_names(lines).select("prefix", "line_ord", "text")
@@ -103,10 +114,8 @@ def show_pages(pieces: DataFrame, image_files: DataFrame, folder: str) -> DataFr
                 continue
             hidden = [s for deeper, _ in stages[k + 1 :] for s in shapes[deeper]]
             picture = images.painted(picture, shapes[level], colours[level], hidden)
-            name = os.path.join(folder, f"{os.path.basename(rows['path'].iloc[0]).split('.')[0]}_sgm_{tag}.ppm")
-            os.makedirs(folder, exist_ok=True)
-            with open(name, "wb") as f:
-                f.write(images.write_image(picture))
+            name = f"{folder.rstrip('/')}/{os.path.basename(rows['path'].iloc[0]).split('.')[0]}_sgm_{tag}.png"
+            save(name, images.write_image(picture, "png", images.dots_per_inch(bytes(rows["image"].iloc[0]))))
             out.append((rows["path"].iloc[0], level, name, len(shapes[level])))
         return pd.DataFrame(out, columns=["path", "stage", "file", "shapes"])
 

@@ -285,6 +285,12 @@ def page_dimensions(rows: DataFrame) -> DataFrame:
     return rows.select("path", number("WIDTH", "imageWidth").alias("width"), number("HEIGHT", "imageHeight").alias("height"))
 
 
+def image_names(rows: DataFrame) -> DataFrame:
+    """(path, image_name): the file name of the image that a PAGE file stands for; null for other files."""
+    name = F.regexp_extract(F.decode("content", "UTF-8"), r'<(?:\w+:)?Page\b[^>]*\bimageFilename="([^"]*)"', 1)
+    return rows.select("path", F.nullif(F.regexp_extract(name, r"[^/\\]*\z", 0), F.lit("")).alias("image_name"))
+
+
 def name_box(path: Column) -> Column:
     """The box that a file name ends with, as ``_100x200_300x400``; null without one."""
     m = lambda i: F.regexp_extract(path, r"_(\d{2,})x(\d{2,})_(\d{2,})x(\d{2,})", i).try_cast("double")

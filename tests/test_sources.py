@@ -150,15 +150,17 @@ def test_commands(spark, tmp_path):
     with pytest.raises(ValueError):
         cli.run([*base, "--metrics", "Nope"], spark)
     assert cli.run(["frame", "-i", f"{tmp_path}/ocr", "-o", f"{tmp_path}/cut", "-p", "0,0 25,30"], spark)
-    assert "Haus" in (tmp_path / "cut/p1.xml").read_text() and "gut" not in (tmp_path / "cut/p1.xml").read_text()
+    cut = (tmp_path / "cut/p1.xml").read_text()
+    assert 'CONTENT="Ha"' in cut and 'CONTENT="us"' in cut and "gut" not in cut and 'ID="p2"' in cut and "OtherTag" in cut
     page = np.full((100, 200), 200, dtype=np.uint8)
     page[5:15, 5:60] = 20
     (tmp_path / "img/p1.pgm").write_bytes(im.write_image(page))
     made = cli.run(["slice", f"{tmp_path}/ocr/a", "-i", f"{tmp_path}/img", "-o", f"{tmp_path}/pairs", "-s", "--padding", "2"], spark)
     assert made == ["p1_l1: written", "p1_l2: written", "Haus am", "See gut"]
-    assert (tmp_path / "pairs/p1/p1_l1.gt.txt").read_text() == "Haus am" and im.read_grey((tmp_path / "pairs/p1/p1_l1.pgm").read_bytes()).shape == (24, 104)
+    assert (tmp_path / "pairs/p1/p1_l1.gt.txt").read_text() == "Haus am" and im.read_grey((tmp_path / "pairs/p1/p1_l1.tif").read_bytes()).shape == (24, 104)
+    assert (tmp_path / "pairs/p1_summary.gt.txt").read_text() == "Haus am\nSee gut\n" and im.dots_per_inch((tmp_path / "pairs/p1/p1_l1.tif").read_bytes()) == (300, 300)
     shown = cli.run(["show", "-d", f"{tmp_path}/ocr/a", "-i", f"{tmp_path}/img", "-o", f"{tmp_path}/shown"], spark)
-    assert [x.split(" ")[1] for x in shown] == ["region:", "line:", "word:"] and os.path.exists(tmp_path / "shown/p1_sgm_wrd.ppm")
+    assert [x.split(" ")[1] for x in shown] == ["region:", "line:", "word:"] and os.path.exists(tmp_path / "shown/p1_sgm_wrd.png")
     assert cli.run(["corpus", f"{tmp_path}/mets.xml", "--filter-by", "mods:language=ger"], spark) == ["p3.gt.xml"]
 
 
@@ -208,3 +210,47 @@ def test_stream(spark, tmp_path):
         assert i < 2
     assert {r.k: (r.n_total, r.median) for r in live.latest(spark, f"{tmp_path}/r", ["k"]).collect()} == {"a": (2, 91.0), "b": (1, 50.0)}
     assert {r.k: r.n_chars for r in live.running_moments(spark.read.parquet(f"{tmp_path}/in"), ["k"]).collect()} == {"a": 4, "b": 2}
+
+
+def test_a_frame_keeps_all_else_of_a_file(spark):
+    composed = ALTO.replace('<TextBlock ID="b1"', '<ComposedBlock ID="c1" HPOS="0" VPOS="0" WIDTH="150" HEIGHT="90"><TextBlock ID="b1"').replace("</TextBlock><TextBlock", "</TextBlock></ComposedBlock><Illustration ID='i1'/><TextBlock", 1)
+    composed = composed.replace('CONTENT="am"', 'CONTENT="am" WC="0.7" STYLEREFS="S1"').replace("<Tags>", "<!-- kept --><Tags>")
+    page = PAGE.replace("<TextRegion id=\"r2\">", "<TableRegion id=\"t\"><Coords points=\"0,0 99,0 99,99 0,99\"/><TextRegion id=\"r2\">").replace("</TextRegion><TextRegion id=\"r3\">", "</TextRegion></TableRegion><TextRegion id=\"r3\">")
+    out = {r.path: r for r in writers.framed_files(files(spark, a__xml=composed, b__xml=page, c__xml="<x/>", d__txt="no"), [(0, 0), (36, 0), (36, 58), (0, 58)]).collect()}
+    a = out["/d/a.xml"].xml
+    assert all(x in a for x in ("<!-- kept -->", 'WC="0.7"', 'STYLEREFS="S1"', 'ID="i1"', 'ID="p2"')) and 'CONTENT="gut"' not in a and 'CONTENT="See"' in a
+    assert '<ComposedBlock ID="c1" HPOS="0" VPOS="0" WIDTH="40" HEIGHT="40">' in a and out["/d/a.xml"].removed["String"] == 1
+    b = out["/d/b.xml"].xml
+    assert 'imageFilename="i.tif"' in b and "RegionRefIndexed" in b and 'id="w1"' in b and '<TableRegion id="t"><Coords points="0,50 19,50 19,59 0,59"/>' in b and 'id="w0"' in b
+    assert out["/d/c.xml"].error and out["/d/d.txt"].error and out["/d/c.xml"].xml is None
+    assert writers.framed_files(files(spark, a__xml=composed), [(900, 900), (901, 900), (901, 901)]).collect()[0].removed["TextLine"] == 3  # also the line that had no words
+
+
+def test_image_files():
+    rng = np.random.default_rng(2)
+    for image in (rng.integers(0, 256, (7, 5), dtype=np.uint8), rng.integers(0, 256, (4, 9, 3), dtype=np.uint8)):
+        grey = im.read_grey(im.write_image(image))
+        for kind in ("tif", "png"):
+            data = im.write_image(image, kind, (150, 75))
+            assert (im.read_grey(data) == grey).all() and im.dots_per_inch(data) == (150, 75)
+    with pytest.raises(ValueError):
+        im.write_image(image, "bmp")
+
+
+def test_png_filters():
+    import struct
+    import zlib
+
+    rng = np.random.default_rng(4)
+    image = rng.integers(0, 256, (5, 6), dtype=np.uint8).astype(int)
+    rows = []
+    for y in range(5):
+        up, left = (image[y - 1] if y else np.zeros(6, int)), np.concatenate([[0], image[y, :-1]])
+        corner = np.concatenate([[0], up[:-1]])
+        p = left + up - corner
+        paeth = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+        guess = [0 * up, left, up, (left + up) // 2, paeth][y]
+        rows.append(bytes([y]) + bytes(((image[y] - guess) % 256).astype(np.uint8)))
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 6, 5, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(rows))) + chunk(b"IEND", b"")
+    assert (im.read_grey(data) == image).all()
