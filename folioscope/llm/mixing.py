@@ -140,6 +140,19 @@ class Mixture:
         return t.select("source", "target_share", "max_repeats", "tokens", "records", "most_copies", could.alias("available_tokens"), share.alias("actual_share"), reason.alias("reason"))
 
 
+    def violations(self) -> DataFrame:
+        """(rule, n): records used too often, used twice as the same copy, without their earlier copies, or of no target source."""
+        rows = cut(self.queued())
+        targets = self.targets.groupBy("source").agg(F.max("max_repeats").alias("most"))
+        n = lambda df, rule: df.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n")
+        per = rows.groupBy("doc_id", "source").agg(F.count("*").alias("k"), F.count_distinct("copy").alias("copies"), F.max("copy").alias("last"))
+        known = per.join(F.broadcast(targets), "source", "left")
+        return (
+            n(known.filter("k > most"), "used too often").unionByName(n(per.filter("k <> copies"), "same copy twice"))
+            .unionByName(n(per.filter("last + 1 <> copies"), "earlier copy missing")).unionByName(n(known.filter("most IS NULL"), "no target source"))
+        )
+
+
 def mixture(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, **options) -> Mixture:
     """The mixture of whole texts sized by the tokenizer."""
     return Mixture(sized_documents(documents, vocabulary), targets, **options)

@@ -303,3 +303,21 @@ def fill_report(packed: DataFrame, kinds: DataFrame) -> DataFrame:
         "fill": F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")),
         "least_containers": F.ceil(F.col("tokens") / F.col("capacity_tokens")),
     })
+
+
+RULES = ("overfull containers", "texts with other tokens", "texts with gaps", "small texts divided")
+
+
+def violations(packed: DataFrame, sizes: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(container_kind, rule, n): how often a packing breaks a rule, and the number of its texts (rule ``texts``)."""
+    packed = cut(packed)
+    k = kinds.groupBy("container_kind").agg(F.max("capacity_tokens").cast("bigint").alias("capacity"))
+    n = lambda cond: F.coalesce(F.sum(F.when(cond, 1).otherwise(0)), F.lit(0))
+    fill = packed.groupBy("container_kind", "container_id").agg(F.sum("tokens").alias("t")).join(F.broadcast(k), "container_kind").groupBy("container_kind").agg(n(F.col("t") > F.col("capacity")).alias(RULES[0]))
+    per = packed.groupBy("container_kind", "doc_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("pieces"), F.max("piece").alias("last"), F.sum("token_start").alias("starts"))
+    per = per.join(sizes.select("doc_id", F.coalesce("tokens", F.lit(0)).alias("own")), "doc_id").join(F.broadcast(k), "container_kind")
+    whole = (F.col("last") + 1 == F.col("pieces")) & (F.col("starts") == F.col("capacity") * F.col("last") * (F.col("last") + 1) / 2)
+    texts = per.groupBy("container_kind").agg(
+        n(F.col("t") != F.col("own")).alias(RULES[1]), n(~whole).alias(RULES[2]), n((F.col("own") <= F.col("capacity")) & (F.col("pieces") > 1)).alias(RULES[3]), F.count("*").alias("texts"))
+    both = fill.join(texts, "container_kind")
+    return both.select("container_kind", F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"`{r}`").cast("bigint").alias("n")) for r in (*RULES, "texts")])))

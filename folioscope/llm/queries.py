@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import cut, table
 from . import lookalikes, mixing, packing, quality, scanned
 
 
@@ -69,6 +70,42 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_label"), table(spark, sf_dir, "lexicon"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_paragraphs, p4_found, p4_normalised, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_quality, p8_report)}
+def p6_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the packing of all texts breaks one of its rules."""
+    sizes, kinds = cut(packing.sized_texts(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "container_kind")
+    return packing.violations(packing.pack(sizes, kinds), sizes, kinds)
 
-ORACLES: dict[str, str] = {}
+
+def p7_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mixture breaks one of its rules."""
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target")).violations()
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of every document that SQL can count as well."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").dropDuplicates(["doc_id"])
+    stats = quality.document_statistics(rows, table(spark, sf_dir, "lexicon"))
+    return stats.select("doc_id", *[F.round(c, 6).alias(c) for c in ("digit_ratio", "mean_line_length", "repeated_lines")])
+
+
+QUERIES = {f.__name__: f for f in (
+    p3_found, p3_paragraphs, p4_found, p4_normalised, p6_containers, p6_fill, p6_violations, p7_mixture, p7_shares, p7_violations, p8_found, p8_quality, p8_report, p8_statistics,
+)}
+
+
+def _plain_sql(x: str) -> str:
+    """The text as the statistics count it: long s, small e above, signs without width."""
+    for a, b in ((0x17F, "'s'"), ((0x61, 0x364), "'ä'"), ((0x6F, 0x364), "'ö'"), ((0x75, 0x364), "'ü'"), *((c, "''") for c in (0x200B, 0x200D, 0x2060, 0xFEFF, 0xAD, 0x200E, 0x200F))):
+        x = f"replace({x}, {' || '.join(f'chr({c})' for c in (a if isinstance(a, tuple) else (a,)))}, {b})"
+    return f"lower({x})"
+
+
+ORACLES = {
+    "p6_violations": """SELECT container_kind, rule, 0 AS n FROM (SELECT DISTINCT container_kind FROM container_kind), (SELECT unnest(['overfull containers', 'texts with other tokens', 'texts with gaps', 'small texts divided']) AS rule)
+UNION ALL SELECT container_kind, 'texts', (SELECT count(DISTINCT doc_id) FROM documents) FROM (SELECT DISTINCT container_kind FROM container_kind)""",
+    "p7_violations": "SELECT unnest(['used too often', 'same copy twice', 'earlier copy missing', 'no target source']) AS rule, 0 AS n",
+    "p8_statistics": f"""WITH t AS (SELECT DISTINCT doc_id, {_plain_sql("coalesce(text, '')")} AS x FROM documents),
+l AS (SELECT doc_id, x, list_filter(string_split(x, chr(10)), lambda y: NOT regexp_full_match(y, '[\\s\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x{{1C}}-\\x{{1F}}]*')) AS ls FROM t)
+SELECT doc_id, CASE WHEN len(ls) = 0 THEN 0.0 ELSE round((length(x) - length(translate(x, '0123456789', ''))) / greatest(1, length(translate(x, ' ' || chr(10) || chr(9), ''))), 6) END AS digit_ratio,
+  CASE WHEN len(ls) = 0 THEN 0.0 ELSE round(length(x) / len(ls), 6) END AS mean_line_length, CASE WHEN len(ls) = 0 THEN 0.0 ELSE round(1 - len(list_distinct(ls)) / len(ls), 6) END AS repeated_lines FROM l""",
+}
