@@ -47,9 +47,10 @@ def ranked_values(scores: DataFrame, keys: list[str], value: str = "value", weig
     return _same(counts.withColumn("inside", inside), totals, [*keys, "range"]).select(*keys, "value", "n", "w", (F.col("inside") + F.col("before")).alias("upto"))
 
 
-def _at(rank: Column) -> Column:
-    """Aggregate: the (value, n, upto) that holds the rank."""
-    return F.max(F.when((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank), F.struct("value", "n", "upto")))
+def _at(rank: Column, name: str, *what: str) -> list[Column]:
+    """Aggregates: ``<name>_<what>`` of the one row that holds the rank (plain numbers, so no struct has to be sorted)."""
+    here = (F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)
+    return [F.max(F.when(here, F.col(c))).alias(f"{name}_{c}") for c in what or ("value",)]
 
 
 def _middle(first: Column, n: Column) -> tuple[Column, Column]:
@@ -59,7 +60,7 @@ def _middle(first: Column, n: Column) -> tuple[Column, Column]:
 
 def _pair(low: str, high: str) -> Column:
     """The mean of two picked values; null where there are none."""
-    return (F.col(f"{low}.value") + F.col(f"{high}.value")) / 2
+    return (F.col(f"{low}_value") + F.col(f"{high}_value")) / 2
 
 
 def _sums(weighted: bool) -> list[Column]:
@@ -93,26 +94,26 @@ def summarise_cleared(
     total = r.groupBy(*keys).agg(*_sums(weighted))
     lo, hi = _middle(F.lit(1), F.col("n_total"))
     known = r.filter("n > 0")
-    middle = _same(known, total, keys).groupBy(*keys).agg(_at(lo).alias("lo"), _at(hi).alias("hi"), _deviation().alias("std"))
+    middle = _same(known, total, keys).groupBy(*keys).agg(*_at(lo, "lo", "value", "n", "upto"), *_at(hi, "hi", "value", "n", "upto"), _deviation().alias("std"))
     total = _same(total, middle, keys, "left").withColumn("median", _pair("lo", "hi"))
     out = total.select(*keys, "n_total", "mean", "std", "median", "n_chars")
     if strict:
         return out.withColumn("cleared", F.lit(None).cast(_CLEARED))
     # Ranks strictly below and above the median: its own value belongs to neither half.
-    one = F.col("lo.value") == F.col("hi.value")
-    below = F.when(one, F.col("lo.upto") - F.col("lo.n")).otherwise(F.col("lo.upto"))
-    above = F.col("n_total") - F.when(one, F.col("hi.upto")).otherwise(F.col("hi.upto") - F.col("hi.n"))
+    one = F.col("lo_value") == F.col("hi_value")
+    below = F.when(one, F.col("lo_upto") - F.col("lo_n")).otherwise(F.col("lo_upto"))
+    above = F.col("n_total") - F.when(one, F.col("hi_upto")).otherwise(F.col("hi_upto") - F.col("hi_n"))
     wide = cut(total.filter((F.col("std") >= SPREAD) & (F.col("n_total") > 1)).select(*keys, below.alias("below"), (F.col("n_total") - above + 1).alias("from"), above.alias("above"), "n_total"))
     open_ = _same(known, wide, keys)
     (a, b), (c, d) = _middle(F.lit(1), F.col("below")), _middle(F.col("from"), F.col("above"))
-    half = lambda n, rank: _at(F.when(F.col(n) > 0, rank))
-    q = open_.groupBy(*keys).agg(half("below", a).alias("a"), half("below", b).alias("b"), half("above", c).alias("c"), half("above", d).alias("d"))
+    half = lambda n, rank, name: _at(F.when(F.col(n) > 0, rank), name)
+    q = open_.groupBy(*keys).agg(*half("below", a, "a"), *half("below", b, "b"), *half("above", c, "c"), *half("above", d, "d"))
     q = q.select(*keys, _pair("a", "b").alias("q1"), _pair("c", "d").alias("q3"))
     reach = (F.col("q3") - F.col("q1")) * ratio
     kept = _same(known, q.select(*keys, (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high")), keys).filter(F.col("value").between(F.col("low"), F.col("high")))
     sums = kept.groupBy(*keys).agg(*_sums(weighted), F.min(F.col("upto") - F.col("n") + 1).alias("first"))
     e, f = _middle(F.col("first"), F.col("n_total"))
-    inner = _same(kept, sums.select(*keys, "n_total", "plain", "first"), keys).groupBy(*keys).agg(_at(e).alias("e"), _at(f).alias("f"), _deviation().alias("std"))
+    inner = _same(kept, sums.select(*keys, "n_total", "plain", "first"), keys).groupBy(*keys).agg(*_at(e, "e"), *_at(f, "f"), _deviation().alias("std"))
     sums = _same(sums, inner.select(*keys, "std", _pair("e", "f").alias("median")), keys)
     rest = _same(wide.select(*keys), sums, keys, "left").fillna(0, ["n_total", "n_chars"] + (["mean"] if weighted else []))
     cleared = rest.select(*keys, F.struct("n_total", "mean", "std", "median", "n_chars").cast(_CLEARED).alias("cleared"))

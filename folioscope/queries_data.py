@@ -52,6 +52,30 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alto_table(table(spark, sf_dir, "alto_page")).select("page_id", "parent_path", F.col("path").alias("child_path"))
 
 
+def _elements(spark: SparkSession, sf_dir: str, code: str) -> DataFrame:
+    return alto_table(table(spark, sf_dir, "alto_page"), code).drop("kind").withColumnRenamed("path", "child_path")
+
+
+def p5_composed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of the pages' ComposedBlocks."""
+    return _elements(spark, sf_dir, "cb")
+
+
+def p5_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of the pages' TextBlocks."""
+    return _elements(spark, sf_dir, "tb")
+
+
+def p5_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of the pages' TextLines."""
+    return _elements(spark, sf_dir, "tl")
+
+
+def p5_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of the pairs of points of all elements."""
+    return _elements(spark, sf_dir, "pt")
+
+
 def p5_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat table of the pages' Strings."""
     return alto_table(table(spark, sf_dir, "alto_page"), "st").drop("kind", "tag").withColumnRenamed("path", "child_path")
@@ -153,6 +177,19 @@ SELECT page_id, parent AS parent_path, path AS child_path FROM node
 UNION ALL SELECT page_id, path, path || '/pt:' || (unnest(range(len(string_split_regex(trim(points), '\\s+')))) ) FROM node WHERE trim(points) <> ''"""
 )
 
+_P5_POINTS_SQL = _P5_SQL.split("\nSELECT page_id, parent AS parent_path")[0] + """
+, pts AS (SELECT page_id, path, string_split_regex(trim(points), '\\s+') AS ps FROM node WHERE trim(points) <> ''), pt AS (SELECT page_id, path, ps, unnest(range(len(ps))) AS i FROM pts)
+SELECT page_id, path AS parent_path, path || '/pt:' || i AS child_path, ps[i + 1] AS value FROM pt"""
+
+
+def _p5_element_sql(code: str) -> str:
+    """The flat table of one kind of block or line."""
+    source = "(SELECT * FROM c1 UNION ALL SELECT page_id, parent, path, {'id': e.id, 'hpos': e.hpos, 'vpos': e.vpos, 'width': e.width, 'height': e.height, 'points': e.points} FROM c2)" if code == "cb" else code
+    if code == "cb":
+        source = source.replace("SELECT * FROM c1", "SELECT page_id, parent, path, {'id': e.id, 'hpos': e.hpos, 'vpos': e.vpos, 'width': e.width, 'height': e.height, 'points': e.points} AS e FROM c1")
+    return f"{_P5_BLOCKS} SELECT page_id, parent AS parent_path, path AS child_path, e.id AS id, e.hpos AS hpos, e.vpos AS vpos, e.width AS width, e.height AS height, e.points AS points FROM {source} WHERE e IS NOT NULL"
+
+
 _P5_STRINGS_SQL = (
     _P5_BLOCKS
     + """
@@ -160,7 +197,7 @@ SELECT page_id, parent AS parent_path, path AS child_path, e.id AS id, e.content
   e.width AS width, e.height AS height, e.wc AS wc, e.points AS points FROM st WHERE e.tag = 'String'"""
 )
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rejects, p1_rows, p2_found, p2_per_month, p5_found, p5_strings)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rejects, p1_rows, p2_found, p2_per_month, p5_found, p5_strings, p5_composed_blocks, p5_text_blocks, p5_text_lines, p5_points)}
 
 ORACLES = {
     "p1_found": _p1_sql(),
@@ -169,4 +206,8 @@ ORACLES = {
     "p2_per_month": f"SELECT ref_table, ref_field, ref_month, count(*) AS orphans FROM ({_P2_SQL}) GROUP BY ALL",
     "p5_found": _P5_SQL,
     "p5_strings": _P5_STRINGS_SQL,
+    "p5_composed_blocks": _p5_element_sql("cb"),
+    "p5_text_blocks": _p5_element_sql("tb"),
+    "p5_text_lines": _p5_element_sql("tl"),
+    "p5_points": _P5_POINTS_SQL,
 }
