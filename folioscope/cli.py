@@ -123,7 +123,7 @@ def run(argv: Sequence[str], spark: SparkSession) -> list[str]:
     if a.command == "corpus":
         return [r["href"] for r in mets.select_hrefs(mets.read_mets(layout.files(spark, a.mets, "*", recursive=False)), a.filter_by).toLocalIterator()]
     pages = layout.files(spark, a.data, recursive=False)
-    pieces = cut(layout.read_pieces(pages).filter("error IS NULL"))
+    pieces = cut(layout.read_pieces(pages, skip_lines=a.command == "slice").filter("error IS NULL"))
     images = cut(_images(spark, pages, a.images))
     if a.command == "show":
         return [f"{r['path']} {r['stage']}: {r['shapes']} -> {r['file']}" for r in training_pairs.show_pages(pieces, images, a.output).toLocalIterator()]

@@ -130,17 +130,17 @@ def ir_measures(spark, sf_dir):
     return _lines(spark, sf_dir).select("line_rid", _R6(p).alias("pre"), _R6(q).alias("rec"), _R6(similarity.f_measure(p, q)).alias("f"))
 
 
-def _summary_sql(source: str, keys: str, weighted: bool) -> str:
+def _summary_sql(source: str, keys: str, weighted: bool, chars: bool = False) -> str:
     mean = "CASE WHEN sum(w) > 0 THEN sum(v * w) / sum(w) ELSE avg(v) END" if weighted else "avg(v)"
     return f"""s AS ({source}),
 t AS (SELECT {keys}, count(v) AS n_total, {mean} AS mean, stddev_pop(v) AS std, median(v) AS med, sum(w) AS n_chars FROM s GROUP BY {keys}),
 q AS (SELECT {keys}, median(CASE WHEN v < med THEN v END) AS q1, median(CASE WHEN v > med THEN v END) AS q3 FROM s JOIN t USING ({keys}) GROUP BY {keys}),
-k AS (SELECT {keys}, count(v) AS n2, {mean} AS mean2, stddev_pop(v) AS std2, median(v) AS med2 FROM s JOIN q USING ({keys})
+k AS (SELECT {keys}, count(v) AS n2, {mean} AS mean2, stddev_pop(v) AS std2, median(v) AS med2, sum(w) AS chars2 FROM s JOIN q USING ({keys})
   WHERE v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY {keys}),
-r AS (SELECT t.*, std >= 1 AND n_total > 1 AND coalesce(n2, 0) < n_total AS has, coalesce(n2, 0) AS n2, mean2, std2, med2 FROM t LEFT JOIN k USING ({keys}))
+r AS (SELECT t.*, std >= 1 AND n_total > 1 AND coalesce(n2, 0) < n_total AS has, coalesce(n2, 0) AS n2, mean2, std2, med2, chars2 FROM t LEFT JOIN k USING ({keys}))
 SELECT {keys}, n_total, round(mean, 6) AS mean, round(std, 6) AS std, round(med, 6) AS median, n_chars,
   CASE WHEN has THEN n2 END AS cleared_n, round(CASE WHEN has THEN {"coalesce(mean2, 0.0)" if weighted else "mean2"} END, 6) AS cleared_mean,
-  round(CASE WHEN has THEN std2 END, 6) AS cleared_std, round(CASE WHEN has THEN med2 END, 6) AS cleared_median FROM r"""
+  round(CASE WHEN has THEN std2 END, 6) AS cleared_std, round(CASE WHEN has THEN med2 END, 6) AS cleared_median{", CASE WHEN has THEN coalesce(chars2, 0) END AS cleared_chars" if chars else ""} FROM r"""
 
 
 def _flat(df: DataFrame, *keys: str) -> DataFrame:
@@ -599,7 +599,19 @@ def pair_metric_delta(spark, sf_dir):
     return reports.with_difference(s, "l_orderkey").select("l_orderkey", "metric_idx", _R6(F.col("difference")).alias("difference"))
 
 
-@query()
+def _report_sql() -> str:
+    """The summaries as lines of text, with a second line for the cleared one."""
+    grouped = lambda x: f"replace(format('{{:,}}', CAST({x} AS BIGINT)), ',', '_')"
+    number = lambda x: f"coalesce(printf('%5.2f', {x}), '  nan')"
+    source = f"SELECT 'Cs@' || l_returnflag || '/' || l_linestatus AS eval_key, v, w FROM ({_ITEMS})"
+    return f"""WITH x AS (SELECT * FROM (WITH {_summary_sql(source, "eval_key", False, chars=True)}))
+SELECT eval_key, 0 AS part, eval_key || chr(9) || printf('%3d items ', n_total) || {grouped("n_chars")} || ' refs' || chr(9) || '∅:' || printf('%5.2f', mean)
+  || CASE WHEN n_total > 1 THEN ' M:' || printf('%5.2f', median) || ' σ:' || printf('%5.2f', std) ELSE '' END AS line FROM x
+UNION ALL SELECT eval_key, 1, eval_key || printf('(-%d)', n_total - cleared_n) || chr(9) || printf('%3d items ', cleared_n) || {grouped("cleared_chars")} || ' refs' || chr(9) || '∅:'
+  || {number("cleared_mean")} || ' M:' || {number("cleared_median")} || ' σ:' || {number("cleared_std")} FROM x WHERE cleared_n IS NOT NULL"""
+
+
+@query(_report_sql())
 def report_lines(spark, sf_dir):
     """Summaries as lines of text."""
     s = _items(spark, sf_dir).withColumn("eval_key", F.concat(F.lit("Cs@"), "l_returnflag", F.lit("/"), "l_linestatus"))

@@ -185,8 +185,8 @@ def _reading_order(page: ET.Element) -> dict[str, int]:
     return order
 
 
-def page_pieces(root: ET.Element) -> Iterator[dict]:
-    """Pieces of a PAGE file."""
+def page_pieces(root: ET.Element, skip_lines: bool = False) -> Iterator[dict]:
+    """Pieces of a PAGE file; with ``skip_lines`` lines without words whose polygon is missing or broken fall away."""
     pages = _all(root, "Page")
     if len(pages) != 1:
         raise LayoutError(f"{len(pages)} pages instead of one")
@@ -204,7 +204,12 @@ def page_pieces(root: ET.Element) -> Iterator[dict]:
         poly = _page_points(region)
         for line in lines:
             lid, words = line.get("id") or f"l{n}", []
-            lpoly, own = _page_points(line), _page_text(line)
+            try:
+                lpoly, own = _page_points(line), _page_text(line)
+            except LayoutError:
+                if skip_lines and not _all(line, "Word"):
+                    continue
+                raise
             multiple = sum(1 for c in line if _tag(c) == "TextEquiv") > 1
             at = {"region_id": rid, "line_id": lid, "region_ord": r, "line_ord": n}
             for k, w in enumerate([] if multiple and own else _all(line, "Word")):
@@ -222,24 +227,24 @@ def page_pieces(root: ET.Element) -> Iterator[dict]:
     yield from out
 
 
-def read_content(content: bytes) -> tuple[str, list[dict]]:
+def read_content(content: bytes, skip_lines: bool = False) -> tuple[str, list[dict]]:
     """Format and pieces of one file."""
     kind, root = sniff(content)
     try:
-        return kind, list((alto_pieces if kind == "alto" else page_pieces)(root))
+        return kind, list(alto_pieces(root) if kind == "alto" else page_pieces(root, skip_lines))
     except (LayoutError, TypeError, ValueError) as e:
         raise BrokenLayout(kind, str(e) if isinstance(e, LayoutError) else f"bad number: {e}") from e
 
 
-def read_pieces(rows: DataFrame) -> DataFrame:
+def read_pieces(rows: DataFrame, skip_lines: bool = False) -> DataFrame:
     """Pieces of all files in ``rows`` (path, content); unreadable files have one row with ``error``, and with
-    ``format`` if they are layout files that break its rules."""
+    ``format`` if they are layout files that break its rules. ``skip_lines``: see ``page_pieces``."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    kind, pieces = read_content(bytes(content or b""))
+                    kind, pieces = read_content(bytes(content or b""), skip_lines)
                     out = [p | {"path": path, "format": kind} for p in pieces]
                 except LayoutError as e:
                     out = [_piece(path=path, error=str(e), format=getattr(e, "kind", None))]

@@ -212,6 +212,15 @@ def test_stream(spark, tmp_path):
     assert {r.k: r.n_chars for r in live.running_moments(spark.read.parquet(f"{tmp_path}/in"), ["k"]).collect()} == {"a": 4, "b": 2}
 
 
+def test_slicing_leaves_out_a_broken_line_only(spark):
+    bad = PAGE.replace('<TextRegion id="r1">', '<TextRegion id="r0"><Coords points="0,0 9,0 9,9"/><TextLine id="z"><TextEquiv><Unicode>lost</Unicode></TextEquiv></TextLine></TextRegion><TextRegion id="r1">')
+    assert layout.read_pieces(files(spark, a__xml=bad)).filter("error IS NULL").count() == 0
+    p = layout.read_pieces(files(spark, a__xml=bad), skip_lines=True)
+    assert {r.line_id for r in tp.training_lines(p).collect()} == {"a", "b"}
+    broken_word = bad.replace('points="10,50 19,50 19,59"', 'points=""')
+    assert layout.read_pieces(files(spark, a__xml=broken_word), skip_lines=True).filter("error IS NOT NULL").count() == 1
+
+
 def test_a_frame_keeps_all_else_of_a_file(spark):
     composed = ALTO.replace('<TextBlock ID="b1"', '<ComposedBlock ID="c1" HPOS="0" VPOS="0" WIDTH="150" HEIGHT="90"><TextBlock ID="b1"').replace("</TextBlock><TextBlock", "</TextBlock></ComposedBlock><Illustration ID='i1'/><TextBlock", 1)
     composed = composed.replace('CONTENT="am"', 'CONTENT="am" WC="0.7" STYLEREFS="S1"').replace("<Tags>", "<!-- kept --><Tags>")
