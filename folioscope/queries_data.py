@@ -133,6 +133,27 @@ def _p1_rows_sql() -> str:
 SELECT raw_id, feed_id, {", ".join(columns)}, len(pts) AS n_points, {part(1)} AS sum_x, {part(2)} AS sum_y FROM v"""
 
 
+def _p1_reasons_sql() -> str:
+    """Why each line is rejected: the first field whose prefix fails, told apart by the outer form of the fields."""
+    kinds = {"hpos": "digits", "vpos": "digits", "width": "size", "height": "size", "points": "points", "wc": "ratio", "conf": "ratio", "region_type": "region_type"}
+    feeds = []
+    for n, (sep, quote, names) in _SQL_FEEDS.items():
+        s, q, fields = {"\t": r"\t", "|": r"\|"}.get(sep, sep), quote.replace("'", "''"), names.split()
+        form = f"(?:{q}(?:[^{q}]|{q}{q})*{q}|[^{s}{q}\\n]*)"
+        cases = []
+        for k, name in enumerate(fields, 1):
+            prefix = s.join(_sql_field(f, sep, quote) for f in fields[:k]).replace("'", "''")
+            bad = "bad_id" if name.endswith("_id") else f"bad_{kinds.get(name, 'text')}"
+            shape = lambda m, end: f"regexp_matches(line, '\\A{s.join([form] * m)}{end}', 's')"  # noqa: B023, E731
+            missing = f"WHEN {shape(k - 1, chr(92) + 'z')} THEN 'missing_fields'" if k > 1 else ""
+            why = f"CASE {missing} WHEN NOT {shape(k, f'(?:{s}|{chr(92)}z)')} THEN 'broken_quoting' ELSE '{bad}' END"
+            cases.append(f"WHEN NOT regexp_matches(line, '\\A{prefix}(?:{s}|\\z)', 's') THEN {why} || '/{name}'")
+        feeds.append(f"WHEN {n} THEN CASE WHEN regexp_full_match(line, '{_sql_pattern(n)}', 's') THEN NULL {' '.join(cases)} ELSE 'extra_fields/' END")
+    return f"""WITH l AS (SELECT raw_id, feed_id, regexp_replace(raw_line, '\\r\\z', '') AS line FROM raw_record),
+w AS (SELECT feed_id, CASE WHEN line IS NULL THEN 'null_line/' ELSE CASE feed_id {" ".join(feeds)} ELSE 'unknown_feed/' END END AS why FROM l)
+SELECT feed_id, split_part(why, '/', 1) AS reject_reason, nullif(split_part(why, '/', 2), '') AS reject_field, count(*) AS lines FROM w WHERE why IS NOT NULL GROUP BY ALL"""
+
+
 def _p1_sql() -> str:
     when = []
     for n in _SQL_FEEDS:
@@ -201,6 +222,7 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_rejects, p1_rows, p2_found, p2_p
 
 ORACLES = {
     "p1_found": _p1_sql(),
+    "p1_rejects": _p1_reasons_sql(),
     "p1_rows": _p1_rows_sql(),
     "p2_found": _P2_SQL,
     "p2_per_month": f"SELECT ref_table, ref_field, ref_month, count(*) AS orphans FROM ({_P2_SQL}) GROUP BY ALL",
