@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -49,6 +51,7 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, str(p.relative_to(root.parent)))
     sc.addPyFile(f.name)
+    atexit.register(Path(f.name).unlink, missing_ok=True)
     sc._folioscope_shipped = True
 
 
@@ -92,8 +95,8 @@ def clear_cuts(folder: str | None = None) -> None:
         try:
             path = spark._jvm.org.apache.hadoop.fs.Path(f)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # noqa: BLE001, S110 - the session may be gone: the folder's owner clears it then
-            pass
+        except Exception:  # noqa: BLE001 - the session may be gone already: a folder of this machine goes without it
+            shutil.rmtree(re.sub(r"\Afile:/*(?=/)", "", f), ignore_errors=True)
 
 
 def bounded_collect(df: DataFrame, bound: int, what: str) -> list:
