@@ -126,13 +126,13 @@ class Mixture:
         """Per source of the targets: target and actual share, tokens, records, most copies of one, the tokens
         that its repeats could give, and the ``reason`` of a share that was missed: ``no tokens``, ``ran out``,
         ``too coarse`` (the next record would not fit), else null (within half a point of its weight)."""
-        got = self.queued().groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("records"), (F.max("copy") + 1).alias("most_copies"))
+        got = cut(self.queued().groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("records"), (F.max("copy") + 1).alias("most_copies")))
+        total = got.agg(F.sum("tokens")).first()[0] or 0
         t = self.targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).join(got, "source", "left")
-        total = got.agg(F.sum("tokens").alias("_total"))  # one row
-        t = t.join(self._constants().select("source", "weight", "source_tokens"), "source", "left").join(F.broadcast(total))
-        t = t.fillna(0, ["tokens", "records", "most_copies", "source_tokens", "_total"])
+        t = t.join(self._constants().select("source", "weight", "source_tokens"), "source", "left")
+        t = t.fillna(0, ["tokens", "records", "most_copies", "source_tokens"])
         could = F.col("max_repeats") * F.col("source_tokens")
-        share = F.when(F.col("_total") > 0, F.col("tokens") / F.col("_total")).otherwise(0.0)
+        share = F.col("tokens") / total if total else F.lit(0.0)
         reason = (
             F.when(F.col("source_tokens") == 0, "no tokens").when((could <= F.col("weight") * self.ends) & (F.col("weight") - share > 0.005), "ran out")
             .when(F.col("weight") - share > 0.005, "too coarse")
