@@ -115,20 +115,29 @@ def bag_value(reference: Column, candidate: Column, distances: Column | None = N
     return F.when(n == 0, 100.0).otherwise(100.0 * (1 - d["odd"] / n))
 
 
-def _terms(x: Column, stop: list[str]) -> Column:
+def terms(x: Column, stop: list[str]) -> Column:
+    """Distinct tokens that are no stop words."""
     return tx.without(tx.tokens(x), stop)
 
 
+def term_precision(r: Column, c: Column) -> Column:
+    """``precision`` of term sets."""
+    return F.when(F.size(c) == 0, 0.0).otherwise(100.0 * F.size(F.array_intersect(r, c)) / F.nullif(F.size(c), F.lit(0)))
+
+
+def term_recall(r: Column, c: Column) -> Column:
+    """``recall`` of term sets."""
+    return F.when(F.size(r) > 0, 100.0 * F.size(F.array_intersect(r, c)) / F.nullif(F.size(r), F.lit(0)))
+
+
 def precision(reference: Column, candidate: Column, stop: list[str]) -> Column:
     """Share of the candidate's distinct terms that the reference has; 0 without terms."""
-    r, c = _terms(reference, stop), _terms(candidate, stop)
-    return F.when(F.size(c) == 0, 0.0).otherwise(100.0 * F.size(F.array_intersect(r, c)) / F.nullif(F.size(c), F.lit(0)))
+    return term_precision(terms(reference, stop), terms(candidate, stop))
 
 
 def recall(reference: Column, candidate: Column, stop: list[str]) -> Column:
     """Share of the reference's distinct terms that the candidate has; null without terms."""
-    r, c = _terms(reference, stop), _terms(candidate, stop)
-    return F.when(F.size(r) > 0, 100.0 * F.size(F.array_intersect(r, c)) / F.nullif(F.size(r), F.lit(0)))
+    return term_recall(terms(reference, stop), terms(candidate, stop))
 
 
 def f_measure(p: Column, r: Column) -> Column:

@@ -53,11 +53,14 @@ def register_metric(short: str, long: str, make: Callable[[Column, Column, list[
     _ALIASES.update({short: short, long: short})
 
 
-def metric_columns(names: Sequence[str], r: Column, c: Column, stop: list[str]) -> dict[str, tuple[Column, Column]]:
-    """(value, size of the reference) of each measure over prepared texts; sizes are characters, tokens or distinct tokens."""
+def metric_columns(names: Sequence[str], r: Column, c: Column, stop: list[str], made_terms: tuple[Column, Column] | None = None) -> dict[str, tuple[Column, Column]]:
+    """(value, size of the reference) of each measure over prepared texts; sizes are characters, tokens or distinct tokens.
+
+    ``made_terms`` are columns with the terms of both texts, where those have been made already.
+    """
     d = sim.token_distances(r, c)  # one pass over the tokens for both measures that need it
-    terms = F.size(tx.without(tx.tokens(r), stop))
-    p, q = sim.precision(r, c, stop), sim.recall(r, c, stop)
+    rt, ct = made_terms or (sim.terms(r, stop), sim.terms(c, stop))
+    terms, p, q = F.size(rt), sim.term_precision(rt, ct), sim.term_recall(rt, ct)
     made: dict[str, Callable[[], tuple[Column, Column]]] = {
         "Cs": lambda: (sim.character_similarity(r, c, long=True), F.length(r)),
         "Ls": lambda: (sim.letter_similarity(r, c, long=True), F.length(tx.letters(r))),
@@ -74,7 +77,11 @@ def score(pairs: DataFrame, names: Sequence[str], stop: list[str], form: str = "
     """One row per pair and measure: metric, metric_idx, value (two decimals, halves to even) and n_ref; pairs without a value fall out."""
     own = pairs.columns
     pairs = pairs.withColumns({"_r": tx.prepared(F.col(reference), form), "_c": tx.prepared(F.col(candidate), form)})
-    cols = metric_columns(names, F.col("_r"), F.col("_c"), stop)
+    made = None
+    if any(n.startswith("IR") for n in names):  # all three measures read the same terms
+        pairs = pairs.withColumns({"_rt": sim.terms(F.col("_r"), stop), "_ct": sim.terms(F.col("_c"), stop)})
+        made = F.col("_rt"), F.col("_ct")
+    cols = metric_columns(names, F.col("_r"), F.col("_c"), stop, made)
     listed = F.array(*[
         F.struct(F.lit(n).alias("metric"), F.lit(i).alias("metric_idx"), F.bround(v.cast("double"), 2).alias("value"), s.cast("bigint").alias("n_ref"))
         for i, (n, (v, s)) in enumerate(cols.items())
