@@ -5,9 +5,9 @@ misread words put right.
   recurs in the work.
 * Running heads and feet: the line at the edge, or the one next to a page number there, that recurs
   fuzzily at that edge of one of the four scans before or after, or, where it stands alone among its
-  neighbours, on three scans of the whole work or more (equal in all but one word, or but one letter).
-  Lines further in, up to ``EDGE_LINES`` from the edge, belong to it as well if all lines outside them
-  do and they recur on two neighbouring scans or on three of the work. The first of a run that opens a
+  neighbours, often enough around or in the whole work (``_recurring_afar``). Lines further in, up to
+  ``EDGE_LINES`` from the edge, belong to it as well if all lines outside them do and they recur on two
+  neighbouring scans or as often. The first of a run that opens a
   chapter (no number at the top where the work has it there, or another head before it) is a section
   heading and stays.
 * Broken words: a line whose last word ends in a hyphen, unless a conjunction follows ("Land- und");
@@ -39,8 +39,12 @@ REACH = 4
 BLOCK = 64
 #: Lines at the upper and at the lower edge of a page that may be heads and feet.
 EDGE_LINES = 4
-#: Scans of a work on which a line must stand at the edge if none of its neighbours has it.
-FAR_PAGES = 3
+#: Scans of its own and the two blocks beside it on which a line must stand at the edge if no neighbour has it.
+CLOSE_PAGES = 5
+#: Scans of the whole work on which it must stand otherwise, and of how many scans it must be on one.
+FAR_PAGES, FAR_SPACING = 3, 24
+#: Letters of a line up to which it may differ in a letter, beyond which in a word.
+SHORT = 30
 #: Share of a head's characters that may differ between two pages.
 HEAD_DIFFERENCE = 0.2
 #: Least count in the corpus of a word outside the lexicon that is taken for a name.
@@ -151,23 +155,30 @@ def _with_numbers(pages: DataFrame) -> DataFrame:
     return pages.withColumns({f"{c}_no": printed(c) for c in names}).drop(*names, "diff")
 
 
-def _recurring_afar(lone: DataFrame) -> DataFrame:
-    """Of the edge lines (tbl, mets_id, block, page_no, side, at, text) those that stand on ``FAR_PAGES``
-    scans of their work or more at the same place, equal in all but one word or, if they are one word, but one letter.
+def _recurring_afar(lone: DataFrame, scans: DataFrame) -> DataFrame:
+    """Of the edge lines (tbl, mets_id, block, page_no, side, at, text) those that recur at the same place, equal
+    in all but one letter or, if they are longer than ``SHORT``, but a short word: on ``CLOSE_PAGES`` scans of their own and
+    the two blocks beside it, or in the whole work on ``FAR_PAGES`` scans and on one of ``FAR_SPACING``.
 
-    Each line has a key for its skeleton and for what is left of it without each word or letter; the
-    keys are counted per block and then per work, so lines never meet in pairs.
+    The more scans a work has, the more lines of its text are alike by chance; so the whole work asks for a
+    share of its ``scans`` (tbl, mets_id, scans). Each line has a key for its skeleton and for what is left of
+    it without each letter or short word; the keys are counted per block first, so lines never meet in pairs.
     """
     x = F.trim(_skeleton(F.regexp_replace("text", r"[^\p{L}\p{M}\p{N} ]", "")))
     lone = lone.select("tbl", "mets_id", "block", "page_no", "side", "at", x.alias("x")).withColumn("words", F.split("x", " +"))
     but = lambda a, i: F.concat(F.slice(a, F.lit(1), i), F.slice(a, i + 2, F.size(a)))
     less = F.transform("words", lambda w, i: F.array_join(but(F.col("words"), i), " "))
-    keys = F.when(F.size("words") == 1, _deletions(F.col("x"), twice=False)).otherwise(F.transform(F.array_distinct(F.concat(F.array("x"), less)), lambda t: F.xxhash64(t)))
+    # A word that makes up much of the line tells it from others, as in headings of one form.
+    less = F.filter(less, lambda t: F.length(t) >= 0.7 * F.length("x"))
+    keys = F.when(F.length("x") <= SHORT, _deletions(F.col("x"), twice=False)).otherwise(F.transform(F.array_distinct(F.concat(F.array("x"), less)), lambda t: F.xxhash64(t)))
     rows = cut(lone.withColumn("key", F.explode(F.array_distinct(keys))).drop("x", "words"))
     by = ["tbl", "mets_id", "side", "at", "key"]
     block = rows.groupBy(*by, "block").agg(F.count("*").alias("n"))  # a page has a place and key once
-    often = block.groupBy(*by).agg(F.sum("n").alias("n")).filter(F.col("n") >= FAR_PAGES).select(*by)
-    often = block.select(*by, "block").join(often, by)
+    beside = block.withColumn("block", F.explode(F.array(*[F.col("block") + d for d in (-1, 0, 1)])))
+    close = beside.groupBy(*by, "block").agg(F.sum("n").alias("n")).filter(F.col("n") >= CLOSE_PAGES).select(*by, "block")
+    work = block.groupBy(*by).agg(F.sum("n").alias("n")).filter(F.col("n") >= FAR_PAGES).join(scans, ["tbl", "mets_id"])
+    work = block.select(*by, "block").join(work.filter(F.col("n") * FAR_SPACING >= F.col("scans")).select(*by), by)
+    often = close.unionByName(work)
     return rows.join(often, [*by, "block"], "left_semi").select(*_PAGE, F.concat("side", "at").alias("place")).groupBy(*_PAGE).agg(F.collect_set("place").alias("afar"))
 
 
@@ -231,9 +242,10 @@ def page_furniture(pages: DataFrame) -> DataFrame:
     for c in ("head", "foot"):
         listed.append(side(c, 0, F.col(c), ~F.col(f"{c}_before") & ~F.col(f"{c}_after")))
         listed += [side(c, k + 1, F.get(f"{c}_more", F.lit(k))["text"], ~F.col(f"{c}_more_{k}")) for k in range(2)]
-    afar = _recurring_afar(pages.select("tbl", "mets_id", "block", "page_no", F.inline(F.array_compact(F.array(*listed)))))
     usual = pages.groupBy("tbl", "mets_id", "block").agg(F.sum(F.col("top_no").cast("int")).alias("k"), F.count("*").alias("n"))
-    usual = usual.groupBy("tbl", "mets_id").agg((F.sum("k") > F.sum("n") * 0.5).alias("top_usual"))
+    usual = cut(usual.groupBy("tbl", "mets_id").agg((F.sum("k") > F.sum("n") * 0.5).alias("top_usual"), F.sum("n").alias("scans")))
+    afar = _recurring_afar(pages.select("tbl", "mets_id", "block", "page_no", F.inline(F.array_compact(F.array(*listed)))), usual.select("tbl", "mets_id", "scans"))
+    usual = usual.drop("scans")
     pages = _per_work(pages, usual).join(afar, _PAGE, "left")
     far = lambda place: F.coalesce(F.array_contains("afar", place), F.lit(False))
 
