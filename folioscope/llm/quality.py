@@ -143,8 +143,8 @@ def document_statistics(documents: DataFrame, lexicon: DataFrame, text: str = "t
 PROSE_RULES = (("common_ratio", 0.3, 2), ("words_per_line", 5.0, 1), ("words", 20.0, 1))
 #: Weak rules for structural junk, from a value on and up to a value. Known words, few digits or few signs say
 #: nothing for prose, since lists of words have them as well. ``sentence_share`` has no vote: it is the trees' to use.
-JUNK_FROM = (("structural_lines", 0.5, 1), ("digit_ratio", 0.15, 1), ("symbol_ratio", 0.3, 1), ("marks_per_word", 0.6, 1), ("mean_word_length", 8.0, 1))
-JUNK_UP_TO = (("common_ratio", 0.15, 2), ("known_ratio", 0.5, 1), ("words_per_line", 2.5, 2), ("words", 4.0, 2))
+JUNK_FROM = (("structural_lines", 0.5, 2), ("digit_ratio", 0.15, 1), ("symbol_ratio", 0.3, 1), ("marks_per_word", 0.6, 1), ("mean_word_length", 8.0, 1))
+JUNK_UP_TO = (("common_ratio", 0.15, 2), ("known_ratio", 0.5, 3), ("words_per_line", 2.5, 2), ("words", 4.0, 2))
 #: Votes by which one side must lead.
 LEAD = 2
 
